@@ -26,13 +26,12 @@ def _located(records: DataFrame) -> DataFrame:
         F.col("_metadata.file_size").alias("file_size"),
         F.unix_seconds(F.col("_metadata.file_modification_time")).alias("file_mtime"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("rid"),
         "value",
     )
 
 
 def read_mbox(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per record: file facts, block and order inside it, raw text."""
+    """One row per record: file facts, input block, raw text."""
     return _located(spark.read.option("lineSep", RECORD_SEPARATOR).text(path))
 
 
@@ -48,10 +47,14 @@ def stream_mbox(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """Headers and sizes of each record; the text itself ends here."""
+    """Headers and sizes of each record; the text itself ends here.
+
+    `rid` keeps the order of the records inside their input block.
+    """
     text = F.make_valid_utf8(F.col("value"))
     return records.select(
-        "file", "file_size", "file_mtime", "block_start", "rid",
+        "file", "file_size", "file_mtime", "block_start",
+        F.monotonically_increasing_id().alias("rid"),
         F.octet_length("value").cast("long").alias("nbytes"),
         F.startswith(F.col("value"), F.lit(SEPARATOR)).alias("has_separator"),
         # A blank line is empty or one carriage return.

@@ -164,11 +164,11 @@ def random_mbox(rng):
     return start + body + rng.choice([eol, b""])
 
 
-@pytest.mark.parametrize("split_bytes", [300, 128 * 1024 * 1024])
-def test_matches_sequential_reader(spark, tmp_path, split_bytes):
+@pytest.mark.parametrize("files, split_bytes", [(25, 300), (200, 128 * 1024 * 1024)])
+def test_matches_sequential_reader(spark, tmp_path, files, split_bytes):
     rng = random.Random(20)
     expected = {}
-    for i in range(150):
+    for i in range(files):
         data = random_mbox(rng)
         # A separator cut off by the end of the file holds no record.
         if data.endswith(b"\nFrom ") or data == b"From ":
