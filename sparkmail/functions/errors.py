@@ -53,7 +53,7 @@ def error_kind(message: Column, origin: Column, transient: Column) -> Column:
 def backoff_seconds(attempt: Column) -> Column:
     """1, 2, 4 ... 32 seconds; up to a second of jitter comes on top."""
     doublings = F.least(F.greatest(attempt - 1, F.lit(0)), F.lit(MAX_BACKOFF_DOUBLINGS))
-    return F.shiftleft(F.lit(1), doublings.cast("int")).cast("long")
+    return F.pow(F.lit(2), doublings).cast("long")
 
 
 def gives_up(attempt: Column, transient: Column) -> Column:

@@ -31,24 +31,23 @@ def carry_last(
     def before(*partition: str, by: str, end: int):
         return W.partitionBy(*partition).orderBy(by).rowsBetween(W.unboundedPreceding, end)
 
-    # Last value of each tile, and of each group of tiles.
+    # One row per tile: its last value, NULL when the tile has none.
     tails = (
-        tiled.filter(F.col("__value").isNotNull())
-        .groupBy(*keys, t).agg(F.max_by("__value", order).alias("tail"))
-    )
-    present = tiled.select(*keys, t).distinct().join(tails, [*keys, t], "left") \
+        tiled.groupBy(*keys, t)
+        .agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("tail"))
         .withColumn(g, F.floor(F.col(t) / TILES_PER_GROUP))
-    group_tails = present.groupBy(*keys, g).agg(
-        F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col(t))).alias("group_tail")
     )
-    group_carry = group_tails.select(
+    # One row per group of tiles, so that no window holds all tiles of a key.
+    groups = tails.groupBy(*keys, g).agg(
+        F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col(t))).alias("group_tail")
+    ).select(
         *keys, g,
         F.last("group_tail", ignorenulls=True).over(before(*keys, by=g, end=-1)).alias("group_carry"),
     )
     carry = (
-        present
+        tails
         .withColumn("carry", F.last("tail", ignorenulls=True).over(before(*keys, g, by=t, end=-1)))
-        .join(group_carry, [*keys, g])
+        .join(groups, [*keys, g])
         .select(*keys, t, F.coalesce("carry", "group_carry").alias("__carry"))
     )
     local = F.last("__value", ignorenulls=True).over(before(*keys, t, by=order, end=end))

@@ -13,27 +13,25 @@ MIN_SPAN_S = 0.5
 CHANGE_TILE_US = 3_600_000_000
 
 
-def sliding_rate(samples: DataFrame, keys: list[str] = ["run_id"]) -> DataFrame:
-    """Messages and bytes per second at each sample (keys, t_us, messages_seen,
-    bytes_done, ...), measured from the oldest sample of the last 30 seconds,
-    or from the sample before when the window holds no other.
+def _rate_columns(rows: DataFrame, keys: list[str], stretch: Column | None = None) -> DataFrame:
+    """Add the two rates to samples that carry the `previous` sample.
 
-    Each 30-second tile is windowed with the tile before it, so a run with
-    most of the samples still spreads over many tasks.
+    Each 30-second tile is windowed with the tile before it, so a key with
+    most of the samples still spreads over many tasks. `stretch` marks samples
+    that start a window of their own; every start inside a sample's window is
+    visible in its pair of tiles.
     """
-    others = [c for c in samples.columns if c not in (*keys, "t_us")]
-    # Counters only grow, so the largest of one instant is the latest.
-    instants = samples.groupBy(*keys, "t_us").agg(*[F.max(c).alias(c) for c in others])
-    sample = F.struct("t_us", "messages_seen", "bytes_done")
-    rows = carry_last(instants, keys, "t_us", sample, "previous", WINDOW_US)
-
     own = F.floor(F.col("t_us") / WINDOW_US)
     tiled = rows.withColumn("own", own).withColumn(
         "frame", F.explode(F.array(F.col("own"), F.col("own") + 1))
     )
-    window = W.partitionBy(*keys, "frame").orderBy("t_us").rangeBetween(-WINDOW_US, 0)
+    partition = [*keys, "frame"]
+    if stretch is not None:
+        started = F.sum(stretch.cast("int")).over(W.partitionBy(*partition).orderBy("t_us"))
+        tiled, partition = tiled.withColumn("stretch", started), [*partition, "stretch"]
+    window = W.partitionBy(*partition).orderBy("t_us").rangeBetween(-WINDOW_US, 0)
     framed = (
-        tiled.withColumn("oldest", F.first(sample).over(window))
+        tiled.withColumn("oldest", F.first(F.struct("t_us", "messages_seen", "bytes_done")).over(window))
         .withColumn("in_window", F.count("*").over(window))
         .filter(F.col("frame") == F.col("own"))
         .withColumn("oldest", F.when(F.col("in_window") >= 2, F.col("oldest")).otherwise(F.col("previous")))
@@ -43,23 +41,36 @@ def sliding_rate(samples: DataFrame, keys: list[str] = ["run_id"]) -> DataFrame:
         span >= MIN_SPAN_S, F.greatest(F.col(c) - F.col(f"oldest.{c}"), F.lit(0)) / span
     )
     return framed.select(
-        *keys, "t_us", *others,
+        *[c for c in rows.columns if c != "previous"],
         per_second("messages_seen").alias("messages_per_sec"),
         per_second("bytes_done").alias("bytes_per_sec"),
     )
 
 
-def observed_rate(observations: DataFrame, viewer: str = "viewer") -> DataFrame:
-    """Rates as one viewer sees them: its window starts over whenever the
-    active run changes or there is none (run_id NULL)."""
-    run = F.struct("run_id")
-    rows = carry_last(observations, [viewer], "t_us", run, "before", CHANGE_TILE_US)
+def sliding_rate(samples: DataFrame) -> DataFrame:
+    """Messages and bytes per second at each sample of a run (run_id, t_us,
+    messages_seen, bytes_done, ...), measured from the oldest sample of the
+    last 30 seconds, or from the one before when that window holds no other.
+    """
+    others = [c for c in samples.columns if c not in ("run_id", "t_us")]
+    # Counters only grow, so the largest of one instant is the latest.
+    instants = samples.groupBy("run_id", "t_us").agg(*[F.max(c).alias(c) for c in others])
+    sample = F.struct("t_us", "messages_seen", "bytes_done")
+    return _rate_columns(carry_last(instants, ["run_id"], "t_us", sample, "previous", WINDOW_US), ["run_id"])
+
+
+def observed_rate(observations: DataFrame) -> DataFrame:
+    """Rates as each viewer sees them (viewer, t_us, run_id, messages_seen,
+    bytes_done): the window starts over whenever the active run changes or
+    there is none (run_id NULL)."""
+    sample = F.struct("t_us", "messages_seen", "bytes_done", "run_id")
+    rows = carry_last(observations, ["viewer"], "t_us", sample, "before", CHANGE_TILE_US)
     changed = F.col("before").isNull() | ~F.col("run_id").eqNullSafe(F.col("before.run_id"))
-    stretches = carry_last(
-        rows.withColumn("changed_at", F.when(changed, F.col("t_us"))).drop("before"),
-        [viewer], "t_us", F.col("changed_at"), "stretch", CHANGE_TILE_US, inclusive=True,
-    ).drop("changed_at")
-    return sliding_rate(stretches.filter(F.col("run_id").isNotNull()), [viewer, "stretch", "run_id"])
+    rows = rows.withColumn("changed", changed).withColumn(
+        "previous", F.when(~F.col("changed"), F.struct("before.t_us", "before.messages_seen", "before.bytes_done"))
+    ).drop("before")
+    rated = _rate_columns(rows, ["viewer"], stretch=F.col("changed"))
+    return rated.filter(F.col("run_id").isNotNull()).drop("changed")
 
 
 def displayed_rate(per_sec: Column) -> Column:
