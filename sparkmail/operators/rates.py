@@ -37,9 +37,11 @@ def _rate_columns(rows: DataFrame, keys: list[str], stretch: Column | None = Non
         .withColumn("oldest", F.when(F.col("in_window") >= 2, F.col("oldest")).otherwise(F.col("previous")))
     )
     span = (F.col("t_us") - F.col("oldest.t_us")) / 1_000_000
-    per_second = lambda c: F.when(
-        span >= MIN_SPAN_S, F.greatest(F.col(c) - F.col(f"oldest.{c}"), F.lit(0)) / span
-    )
+
+    def per_second(counter: str) -> Column:
+        moved = F.col(counter) - F.col(f"oldest.{counter}")
+        return F.when((span >= MIN_SPAN_S) & moved.isNotNull(), F.greatest(moved, F.lit(0)) / span)
+
     return framed.select(
         *[c for c in rows.columns if c != "previous"],
         per_second("messages_seen").alias("messages_per_sec"),

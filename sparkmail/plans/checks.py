@@ -433,14 +433,12 @@ def oracle_sql() -> dict[str, str]:
                WHEN mps > 0 AND total_m IS NOT NULL THEN ceil(greatest(total_m - m, 0) / mps) END AS BIGINT) AS eta_s FROM rates"""
     sql["observed_rate"] = f"""
         WITH {_POLLS},
-        -- A poll keeps its window from the last poll that saw another run.
-        breaks AS (SELECT p.viewer, p.t, p.i, max(o.i) AS last_other FROM polls p
-                   LEFT JOIN polls o ON o.viewer = p.viewer AND o.i < p.i AND o.run_id IS DISTINCT FROM p.run_id
-                   AND o.i >= p.i - 400
-                   WHERE p.run_id IS NOT NULL GROUP BY ALL),
-        starts AS (SELECT b.viewer, b.t, b.i, coalesce(min(CASE WHEN q.t >= b.t - 30000000 THEN q.t END), max(q.t)) AS from_t
-                   FROM breaks b LEFT JOIN polls q ON q.viewer = b.viewer AND q.i < b.i
-                     AND q.i > coalesce(b.last_other, 0) AND q.i >= b.i - 400 GROUP BY ALL)
+        -- Polls between two changes of the run share a window.
+        islands AS (SELECT viewer, t, i, run_id, e, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY viewer ORDER BY i) AS island
+                    FROM (SELECT *, i > 1 AND run_id IS NOT DISTINCT FROM lag(run_id) OVER (PARTITION BY viewer ORDER BY i) AS same FROM polls)),
+        starts AS (SELECT b.viewer, b.i, coalesce(min(CASE WHEN q.t >= b.t - 30000000 THEN q.t END), max(q.t)) AS from_t
+                   FROM islands b LEFT JOIN islands q ON q.viewer = b.viewer AND q.island = b.island AND q.i < b.i
+                   WHERE b.run_id IS NOT NULL GROUP BY b.viewer, b.i)
         SELECT p.viewer, p.t AS t_us, p.run_id,
                round(CASE WHEN p.t - f.t >= 500000 THEN greatest(p.e - f.e, 0) / ((p.t - f.t) / 1e6) END, 4) AS messages_per_sec
         FROM polls p JOIN starts s USING (viewer, i) LEFT JOIN polls f ON f.viewer = p.viewer AND f.t = s.from_t"""
@@ -449,10 +447,10 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN polls b ON b.viewer = p.viewer AND b.i = p.i - 1 WHERE p.runs_key IS DISTINCT FROM b.runs_key"""
     sql["retry_schedule"] = """
         WITH a AS (SELECT event_id // 1000 AS run_id, event_id % 1000 + 1 AS attempt_no, event_type FROM events),
-        r AS (SELECT a.run_id, a.attempt_no, a.event_type,
-                     a.attempt_no - coalesce(max(p.attempt_no), 1) + 1 AS retries
+        l AS (SELECT a.run_id, a.attempt_no, a.event_type, max(p.attempt_no) AS last_progress
               FROM a LEFT JOIN a p ON p.run_id = a.run_id AND p.attempt_no <= a.attempt_no AND p.event_type = 'view'
-              GROUP BY ALL)
+              GROUP BY a.run_id, a.attempt_no, a.event_type),
+        r AS (SELECT *, attempt_no - coalesce(last_progress, 1) + 1 AS retries FROM l)
         SELECT run_id, attempt_no, retries, CAST(power(2, least(retries - 1, 5)) AS BIGINT) AS wait_s,
                event_type = 'error' OR retries > 3 AS gives_up FROM r"""
     kept = """

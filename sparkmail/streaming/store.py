@@ -86,6 +86,13 @@ class StatsStore:
             return self.spark.createDataFrame([], schema).drop("epoch")
         return self.read(f"senders/epoch={latest}", T.StructType(schema.fields[:2]))
 
+    def rejected_files(self) -> DataFrame:
+        """Files of the import folder that were refused."""
+        schema = T.StructType.fromDDL(
+            "file string, start_offset bigint, has_separator boolean, epoch string"
+        )
+        return mbox.split_valid_files(self._committed("located_mbox", schema))[1]
+
     def events(self) -> DataFrame:
         return self.read("run_events", schemas.RUN_EVENTS_SCHEMA)
 
@@ -111,17 +118,15 @@ class StatsStore:
         self._progress(run_id)
 
     def apply_mbox(self, records: DataFrame, run_id: int, batch_id: int) -> None:
-        """Import one batch of mbox records; files that are not mbox are set
-        aside in the `rejected` table."""
+        """Import one batch of mbox records, without files that are not mbox."""
         epoch = epoch_of(run_id, batch_id)
         if self._is_committed(epoch):
             return
         parsed = self._write(mbox.parse_records(records), "staged_mbox", epoch)
-        valid, rejected = mbox.split_valid_files(mbox.with_offsets(parsed))
-        located = self._write(valid, "located_mbox", epoch)
-        self._write(rejected, "rejected", epoch)
-        count = mbox.import_counts(located).first()["messages_seen"]
-        batch = mbox.import_batch(located, F.struct("file", "start_offset"))
+        located = self._write(mbox.with_offsets(parsed), "located_mbox", epoch)
+        valid, _ = mbox.split_valid_files(located)
+        count = mbox.import_counts(valid).first()["messages_seen"]
+        batch = mbox.import_batch(valid, F.struct("file", "start_offset"))
         self._apply(batch, count, run_id, batch_id, "mbox")
 
     def apply_messages(self, documents: DataFrame, run_id: int, batch_id: int) -> None:

@@ -55,7 +55,7 @@ def test_scan_then_import_counts_each_message_once(store, tmp_path):
     run = ingest.import_mbox(store, str(tmp_path / "mbox"), str(tmp_path / "c2"))
     assert run == 2 and senders(store) == [("a@x.com", 1), ("b@x.com", 1), ("c@x.com", 1)]
     assert store.ledger().count() == 5
-    assert store.read("rejected", store.spark.createDataFrame([], "file string").schema).count() == 1
+    assert rows(store.rejected_files().select(F.substring_index("file", "/", -1))) == [("notes.txt",)]
 
     runs = store.runs().orderBy("run_id").collect()
     assert [(r.source, r.state, r.messages_seen, r.messages_new) for r in runs] == [
