@@ -65,8 +65,14 @@ class StatsStore:
     def _committed(self, name: str, schema: T.StructType) -> DataFrame:
         return self.read(name, schema).join(self.commits().select("epoch"), "epoch", "left_semi")
 
-    def _is_committed(self, epoch: str) -> bool:
-        return not self.commits().filter(F.col("epoch") == epoch).isEmpty()
+    def _progress_so_far(self, epoch: str, run_id: int) -> Row:
+        """What is committed: this epoch or not, the newest one, the run's totals."""
+        mine = F.col("run_id") == run_id
+        return self.commits().agg(
+            F.count_if(F.col("epoch") == epoch).alias("done"), F.max("epoch").alias("latest"),
+            F.sum(F.when(mine, F.col("messages_seen"))).alias("seen"),
+            F.sum(F.when(mine, F.col("messages_new"))).alias("new"),
+        ).first()
 
     def ledger(self) -> DataFrame:
         return self._committed("ledger", schemas.LEDGER_SCHEMA)
@@ -80,11 +86,13 @@ class StatsStore:
 
     def senders(self) -> DataFrame:
         """Counters after the latest committed batch."""
-        latest = self.commits().agg(F.max("epoch")).first()[0]
-        schema = schemas.SENDERS_SCHEMA
-        if latest is None:
-            return self.spark.createDataFrame([], schema).drop("epoch")
-        return self.read(f"senders/epoch={latest}", T.StructType(schema.fields[:2]))
+        return self._senders_at(self.commits().agg(F.max("epoch")).first()[0])
+
+    def _senders_at(self, epoch: str | None) -> DataFrame:
+        schema = T.StructType([f for f in schemas.SENDERS_SCHEMA.fields if f.name != "epoch"])
+        if epoch is None:
+            return self.spark.createDataFrame([], schema)
+        return self.read(f"senders/epoch={epoch}", schema)
 
     def rejected_files(self) -> DataFrame:
         """Files of the import folder that were refused."""
@@ -106,47 +114,59 @@ class StatsStore:
         df = self.spark.createDataFrame([row], schemas.COMMITS_SCHEMA)
         self._write(df.coalesce(1), "commits", epoch)
 
-    def _apply(self, batch: DataFrame, seen_count: int, run_id: int, batch_id: int, source: str) -> None:
+    def _apply(self, batch: DataFrame, seen: int, run_id: int, batch_id: int, source: str, before: Row) -> None:
         epoch = epoch_of(run_id, batch_id)
         rows = dedupe.new_rows(batch, self.seen()).select(
             "mail_id", "rfc_message_id", "sender",
             F.lit(source).alias("source"), F.lit(run_id).cast("long").alias("run_id"), "counted",
         )
         mine = self._write(rows, "ledger", epoch)
-        self._write(counters.add_counts(self.senders(), counters.increments(mine)), "senders", epoch)
-        self._commit(epoch, run_id, batch_id, seen_count, mine.filter("counted").count())
-        self._progress(run_id)
+        senders = counters.add_counts(self._senders_at(before["latest"]), counters.increments(mine))
+        self._write(senders, "senders", epoch)
+        new = mine.filter("counted").count()
+        self._commit(epoch, run_id, batch_id, seen, new)
+        self._record_progress(run_id, before, seen, new)
+
+    def _record_progress(self, run_id: int, before: Row, seen: int, new: int) -> None:
+        self.record(
+            run_id, "progress", messages_seen=(before["seen"] or 0) + seen, messages_new=(before["new"] or 0) + new
+        )
 
     def apply_mbox(self, records: DataFrame, run_id: int, batch_id: int) -> None:
         """Import one batch of mbox records, without files that are not mbox."""
         epoch = epoch_of(run_id, batch_id)
-        if self._is_committed(epoch):
+        before = self._progress_so_far(epoch, run_id)
+        if before["done"]:
             return
         parsed = self._write(mbox.parse_records(records), "staged_mbox", epoch)
         located = self._write(mbox.with_offsets(parsed), "located_mbox", epoch)
         valid, _ = mbox.split_valid_files(located)
         count = mbox.import_counts(valid).first()["messages_seen"]
         batch = mbox.import_batch(valid, F.struct("file", "start_offset"))
-        self._apply(batch, count, run_id, batch_id, "mbox")
+        self._apply(batch, count, run_id, batch_id, "mbox", before)
 
     def apply_messages(self, documents: DataFrame, run_id: int, batch_id: int) -> None:
         epoch = epoch_of(run_id, batch_id)
-        if self._is_committed(epoch):
+        before = self._progress_so_far(epoch, run_id)
+        if before["done"]:
             return
         staged = self._write(message_fields(documents), "staged_messages", epoch)
-        self._apply(staged, staged.count(), run_id, batch_id, "gmail_api")
+        self._apply(staged, staged.count(), run_id, batch_id, "gmail_api", before)
 
     def apply_repair(self, documents: DataFrame, run_id: int, batch_id: int) -> None:
         """Fill in missing ids from fetched documents and take back doubles."""
         epoch = epoch_of(run_id, batch_id)
-        if self._is_committed(epoch):
+        before = self._progress_so_far(epoch, run_id)
+        if before["done"]:
             return
         fetched = self._write(message_fields(documents), "staged_repairs", epoch)
         mine = self._write(dedupe.repair_rows(fetched, self.seen()), "repairs", epoch)
-        self._write(counters.take_back(self.senders(), counters.decrements(mine)), "senders", epoch)
+        senders = counters.take_back(self._senders_at(before["latest"]), counters.decrements(mine))
+        self._write(senders, "senders", epoch)
         done = dedupe.repair_outcome(fetched, mine).first()
-        self._commit(epoch, run_id, batch_id, done["examined"], done["populated"] + done["missing_id"])
-        self._progress(run_id)
+        seen, new = done["examined"], done["populated"] + done["missing_id"]
+        self._commit(epoch, run_id, batch_id, seen, new)
+        self._record_progress(run_id, before, seen, new)
 
     def import_baseline(self, seen: DataFrame, senders: DataFrame) -> None:
         """Start a store from older tables: collapse repeated mail_ids (needs
@@ -162,29 +182,31 @@ class StatsStore:
 
     # --- runs -----------------------------------------------------------
 
-    def record(self, run_id: int, event: str, at_unix: int | None = None, **columns) -> None:
-        """Append one event to the run log."""
+    def _event(self, run_id: int, event: str, **columns) -> tuple:
         known = {f.name: None for f in schemas.RUN_EVENTS_SCHEMA.fields}
-        row = known | columns | {
-            "run_id": run_id, "event": event, "event_seq": time.time_ns(),
-            "at_unix": int(time.time()) if at_unix is None else at_unix,
-        }
-        df = self.spark.createDataFrame([tuple(row.values())], schemas.RUN_EVENTS_SCHEMA)
+        row = known | {"event_seq": time.time_ns(), "at_unix": int(time.time())} | columns
+        return tuple((row | {"run_id": run_id, "event": event}).values())
+
+    def _append_events(self, events: list[tuple]) -> None:
+        df = self.spark.createDataFrame(events, schemas.RUN_EVENTS_SCHEMA)
         df.coalesce(1).write.mode("append").parquet(self._path("run_events"))
 
-    def _progress(self, run_id: int) -> None:
-        mine = self.commits().filter(F.col("run_id") == run_id)
-        done = mine.agg(F.sum("messages_seen").alias("s"), F.sum("messages_new").alias("n")).first()
-        self.record(run_id, "progress", messages_seen=done["s"], messages_new=done["n"])
+    def record(self, run_id: int, event: str, **columns) -> None:
+        """Append one event to the run log."""
+        self._append_events([self._event(run_id, event, **columns)])
 
     def start_run(self, source: str, **columns) -> int:
-        """Close runs a dead ingester left open, then open a new one."""
-        runs = self.runs()
-        stale = runs.filter(~run_ops.is_terminal(F.col("state"))).select("run_id")
-        for row in stale.toLocalIterator():
-            self.record(row["run_id"], "abandoned", state="abandoned")
-        run_id = run_ops.max_run_id(runs).first()[0] + 1
-        self.record(run_id, "created", source=source, state="running", **columns)
+        """Close the runs a dead ingester left open, then open a new one.
+
+        Every start closes what is open, so there is at most a handful.
+        """
+        open_ids = F.collect_list(F.when(~run_ops.is_terminal(F.col("state")), F.col("run_id")))
+        known = self.runs().agg(F.max("run_id").alias("newest"), open_ids.alias("open")).first()
+        run_id = (known["newest"] or 0) + 1
+        self._append_events([
+            *[self._event(r, "abandoned", state="abandoned") for r in known["open"]],
+            self._event(run_id, "created", source=source, state="running", **columns),
+        ])
         return run_id
 
     def finish_run(self, run_id: int, state: str, error_kind: str | None = None, error: str | None = None) -> None:
