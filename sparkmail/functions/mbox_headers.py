@@ -3,13 +3,15 @@
 A record is the text between two separators, as the `lineSep="\\nFrom "` scan
 delivers it: the rest of the separator line, the header lines, a blank line
 and the body. The body is cut off first, so the work per message depends on
-its headers only. Lines are handled as Latin-1 text, where one character is
+its headers only. Headers are handled as Latin-1 text, where one character is
 one byte, so byte limits are exact; values are decoded as UTF-8 at the end.
 """
 
-from pyspark.sql import Column, functions as F, types as T
+from collections.abc import Callable
 
-from sparkmail.functions.text import trim, trim_ascii
+from pyspark.sql import Column, functions as F
+
+from sparkmail.functions.text import trim
 
 # Longest kept line and longest unfolded header value, in bytes.
 MAX_LINE_BYTES = 8192
@@ -18,74 +20,81 @@ MAX_VALUE_BYTES = 8192
 # Kept headers and the field each one fills.
 KEPT_HEADERS = {"message-id": "message_id", "from": "from_", "return-path": "return_path"}
 
-_STATE = T.StructType([
-    T.StructField("bad", T.BooleanType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("value", T.StringType()),
-    T.StructField("message_id", T.StringType()),
-    T.StructField("from_", T.StringType()),
-    T.StructField("return_path", T.StringType()),
-])
+# Joins a header to its continuation lines; no Latin-1 text contains it.
+_FOLD = "\u0100"
+_REST = 2**30
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` evaluated once: higher-order functions do not
+    share common parts."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _decode(latin1: Column) -> Column:
     return F.make_valid_utf8(F.encode(latin1, "ISO-8859-1").cast("string"))
 
 
-def header_lines(record: Column) -> Column:
-    """Header lines as Latin-1 text, capped and without line ends."""
+def _cap(line: Column) -> Column:
+    return F.substring(line, 1, MAX_LINE_BYTES)
+
+
+def header_section(record: Column) -> Column:
+    """The separator line, then one element per header with its folds."""
     head = F.substring_index(F.substring_index(record, "\n\n", 1), "\n\r\n", 1)
-    lines = F.split(F.decode(head.cast("binary"), "ISO-8859-1"), "\n")
-    capped = F.transform(
-        F.slice(lines, F.lit(2), F.size(lines)),
-        lambda line: F.regexp_replace(F.substring(line, 1, MAX_LINE_BYTES), r"\r\z", ""),
-    )
-    # Only the last line can still be blank, when the record ends there.
-    return F.filter(capped, lambda line: line != "")
-
-
-def _commit(s: Column) -> dict[str, Column]:
-    """The three slots after the current header is closed: first value wins."""
-    return {
-        field: F.coalesce(
-            s[field], F.when((s["name"] == header) & (s["value"] != ""), s["value"])
+    text = F.decode(head.cast("binary"), "ISO-8859-1")
+    for blank in (" ", "\t"):
+        text = F.replace(text, F.lit("\n" + blank), F.lit(_FOLD + blank))
+    return F.split(text, "\n")
+
+
+def _is_header(header: Column, *names: str) -> Column:
+    """Names match without ASCII case and outer ASCII whitespace."""
+    return header.rlike(r"(?i)^[\t\n\x0c\r ]*(?:" + "|".join(names) + r")[\t\n\x0c\r ]*:")
+
+
+def _is_broken(header: Column) -> Column:
+    """A line without a name and a colon. Only the last line can be blank,
+    when the record ends there."""
+    first_line = _cap(F.substring_index(header, _FOLD, 1))
+    return ~header.isin("", "\r") & (F.instr(first_line, ":") <= 1)
+
+
+def _unfold(header: Column) -> Column:
+    """Value of a header: its trimmed lines joined by spaces, as long as the
+    value stays below the limit."""
+    def text(line: Column, i: Column) -> Column:
+        kept = _cap(line)
+        value = F.when(i == 0, F.substring(kept, F.instr(kept, ":") + 1, F.length(kept))).otherwise(kept)
+        return trim(_decode(value))
+
+    def append(value: Column, part: Column) -> Column:
+        fits = F.octet_length(value) + F.octet_length(part) < MAX_VALUE_BYTES
+        return (
+            F.when(value.isNull(), part)
+            .when((part == "") | ~fits, value)
+            .when(value == "", part)
+            .otherwise(F.concat(value, F.lit(" "), part))
         )
-        for header, field in KEPT_HEADERS.items()
-    }
-
-
-def _state(bad, name, value, slots: dict[str, Column]) -> Column:
-    return F.struct(
-        bad.alias("bad"), name.alias("name"), value.alias("value"),
-        *[slots[f].alias(f) for f in ("message_id", "from_", "return_path")],
-    )
-
-
-def _step(s: Column, line: Column) -> Column:
-    kept = {f: s[f] for f in KEPT_HEADERS.values()}
-    colon = F.instr(line, ":")
-    folded = F.startswith(line, F.lit(" ")) | F.startswith(line, F.lit("\t"))
-    interesting = s["name"].isin(*KEPT_HEADERS)
-
-    part = trim(_decode(line))
-    fits = (part != "") & (F.octet_length(s["value"]) + F.octet_length(part) < MAX_VALUE_BYTES)
-    longer = F.when(
-        interesting & fits,
-        F.when(s["value"] == "", part).otherwise(F.concat(s["value"], F.lit(" "), part)),
-    ).otherwise(s["value"])
-
-    name = F.lower(trim_ascii(F.substring(line, F.lit(1), colon - 1)))
-    value = F.when(
-        name.isin(*KEPT_HEADERS), trim(_decode(F.substring(line, colon + 1, F.length(line))))
-    )
-    broken = _state(F.lit(True), s["name"], s["value"], kept)
-    return (
-        F.when(s["bad"], s)
-        .when(folded & s["name"].isNull(), broken)
-        .when(folded, _state(F.lit(False), s["name"], longer, kept))
-        .when(colon <= 1, broken)
-        .otherwise(_state(F.lit(False), name, value, _commit(s)))
-    )
+
+    lines = F.transform(F.split(header, _FOLD), text)
+    return F.aggregate(lines, F.lit(None).cast("string"), append)
+
+
+def _first_value(headers: Column, name: str) -> Column:
+    """Of repeated headers the first one with a value wins."""
+    values = F.transform(F.filter(headers, lambda h: _is_header(h, name)), _unfold)
+    return F.get(F.filter(values, lambda v: v != ""), 0)
+
+
+def _parse(section: Column) -> Column:
+    headers = F.slice(section, 2, _REST)
+    # A continuation right after the separator has no header to belong to.
+    bad = F.contains(F.get(section, 0), F.lit(_FOLD)) | F.exists(headers, _is_broken)
+    kept = F.filter(headers, lambda h: _is_header(h, *KEPT_HEADERS))
+    return _bind(kept, lambda k: F.struct(
+        bad.alias("bad"), *[_first_value(k, name).alias(field) for name, field in KEPT_HEADERS.items()]
+    ))
 
 
 def parse_headers(record: Column) -> Column:
@@ -94,13 +103,4 @@ def parse_headers(record: Column) -> Column:
     `bad` marks a header section with a line that is neither a header nor a
     continuation; such a message is dropped by the importer.
     """
-    empty = F.lit(None).cast("string")
-    start = _state(
-        F.lit(False), empty, empty, {f: empty for f in KEPT_HEADERS.values()}
-    ).cast(_STATE)
-    return F.aggregate(
-        header_lines(record), start, lambda s, line: _step(s, line).cast(_STATE),
-        lambda s: F.struct(
-            s["bad"].alias("bad"), *[c.alias(f) for f, c in _commit(s).items()]
-        ),
-    )
+    return _bind(header_section(record), _parse)

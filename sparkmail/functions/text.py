@@ -8,13 +8,7 @@ UNICODE_WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The ASCII whitespace that may surround a header name.
-ASCII_WHITESPACE = "\t\n\x0c\r "
 
 
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(UNICODE_WHITESPACE))
-
-
-def trim_ascii(c: Column) -> Column:
-    return F.btrim(c, F.lit(ASCII_WHITESPACE))

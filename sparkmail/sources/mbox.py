@@ -51,14 +51,16 @@ def parse_records(records: DataFrame) -> DataFrame:
 
     `rid` keeps the order of the records inside their input block.
     """
-    text = F.make_valid_utf8(F.col("value"))
+    # A blank line is empty or one carriage return.
+    has_text = F.when(F.ltrim(F.col("value"), F.lit("\r\n")) != "", True).otherwise(
+        F.contains(F.col("value"), F.lit("\r\r"))
+    )
     return records.select(
         "file", "file_size", "file_mtime", "block_start",
         F.monotonically_increasing_id().alias("rid"),
         F.octet_length("value").cast("long").alias("nbytes"),
         F.startswith(F.col("value"), F.lit(SEPARATOR)).alias("has_separator"),
-        # A blank line is empty or one carriage return.
-        text.rlike(r"[^\r\n]|\r(?!\n|\z)").alias("has_text"),
+        has_text.alias("has_text"),
         # Only the first block can hold the prefix a fingerprint covers.
         F.when(F.col("block_start") == 0, F.xxhash64("value")).alias("content_hash"),
         parse_headers(F.col("value")).alias("h"),
