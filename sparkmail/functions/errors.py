@@ -1,6 +1,6 @@
 """Landed fetch errors: retry or not, which kind, and how long to wait."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Retryable statuses and reasons, retry budget and back-off.
 RETRY_STATUSES = ["RESOURCE_EXHAUSTED", "UNAVAILABLE", "INTERNAL"]
@@ -11,25 +11,33 @@ MAX_BACKOFF_DOUBLINGS = 5
 ENVELOPE_SCHEMA = "error struct<code: bigint, status: string, errors: array<struct<reason: string>>>"
 
 
-def is_transient(body: Column, http_status: Column, network_error: Column) -> Column:
-    """Whether a failed fetch is worth another try.
-
-    A JSON body is judged by the error it carries, any other body by the HTTP
-    status alone; a network failure is always transient.
-    """
-    parsed = F.from_json(body, ENVELOPE_SCHEMA)
-    is_json = F.try_parse_json(body).isNotNull()
-    error = parsed["error"]
+def _retryable(error: Column) -> Column:
+    """An error envelope that asks for another try."""
     by_code = (error["code"] == 429) | error["code"].between(500, 599)
     by_status = error["status"].isin(RETRY_STATUSES)
     by_reason = F.exists(error["errors"], lambda e: F.coalesce(e["reason"].isin(RETRY_REASONS), F.lit(False)))
-    by_http = http_status.isin(403, 429) | http_status.between(500, 599)
     no = F.lit(False)
-    return (
-        F.when(network_error, True)
-        .when(is_json, F.coalesce(by_code, no) | F.coalesce(by_status, no) | F.coalesce(by_reason, no))
-        .otherwise(F.coalesce(by_http, no))
-    )
+    return F.coalesce(by_code, no) | F.coalesce(by_status, no) | F.coalesce(by_reason, no)
+
+
+def with_transient(failures: DataFrame) -> DataFrame:
+    """Add `transient`: whether a failed fetch (body, http_status,
+    network_error) is worth another try.
+
+    A JSON body is judged by the error it carries, any other body by the HTTP
+    status alone; a network failure is always transient.
+    """
+    parsed = failures.withColumns({
+        "__error": F.from_json("body", ENVELOPE_SCHEMA)["error"],
+        "__json": F.try_parse_json("body").isNotNull(),
+    })
+    status = F.col("http_status")
+    return parsed.withColumn(
+        "transient",
+        F.when(F.col("network_error"), True)
+        .when(F.col("__json"), _retryable(F.col("__error")))
+        .otherwise(F.coalesce(status.isin(403, 429) | status.between(500, 599), F.lit(False))),
+    ).drop("__error", "__json")
 
 
 def error_kind(message: Column, origin: Column, transient: Column) -> Column:

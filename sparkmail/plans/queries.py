@@ -173,9 +173,9 @@ def sender_priority(spark, sf):
 
 @query
 def clean_sender(spark, sf):
-    cleaned = identity.clean_sender(F.col("header"))
-    return v.sender_headers(spark, sf).select(
-        "src", "id", F.md5(cleaned).alias("sender_md5"), (cleaned != F.col("header")).alias("changed")
+    cleaned = v.sender_headers(spark, sf).withColumn("sender", identity.clean_sender(F.col("header")))
+    return cleaned.select(
+        "src", "id", F.md5("sender").alias("sender_md5"), (F.col("sender") != F.col("header")).alias("changed")
     )
 
 
@@ -208,8 +208,7 @@ def populate_mid_rows(spark, sf):
 
 @query
 def error_triage(spark, sf):
-    transient = errors.is_transient(F.col("body"), F.col("http_status"), F.col("network_error"))
-    return v.failures(spark, sf).withColumn("transient", transient).select(
+    return errors.with_transient(v.failures(spark, sf)).select(
         "event_id", "transient",
         errors.error_kind(F.col("message"), F.col("origin"), F.col("transient")).alias("error_kind"),
     )
