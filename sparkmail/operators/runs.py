@@ -65,6 +65,15 @@ def public(runs: DataFrame) -> DataFrame:
     return runs.select(*[c for c in PUBLIC_RUN_COLUMNS if c in runs.columns])
 
 
+def history_document(runs: DataFrame, now_unix: int, limit: int | str | None = DEFAULT_HISTORY) -> DataFrame:
+    """The run history as one JSON document; it holds at most 100 runs."""
+    newest = public(history(runs, limit))
+    listed = F.sort_array(F.collect_list(F.struct(*newest.columns)), asc=False)
+    return newest.agg(F.to_json(
+        F.struct(listed.alias("runs"), F.lit(now_unix).cast("long").alias("now_unix")), {"ignoreNullFields": "false"}
+    ).alias("document"))
+
+
 def abandon_stale(runs: DataFrame, now_unix: int) -> DataFrame:
     """Runs left open by a dead ingester become abandoned."""
     open_ = ~is_terminal(F.col("state"))

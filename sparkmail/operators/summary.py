@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sparkmail.functions.identity import embedded_message_id, is_mid_key
 from sparkmail.functions.text import trim
 from sparkmail.operators.ordered import with_position
+from sparkmail.schemas import TERMINAL_STATES
 
 # Page sizes, repair batch size, domains a demo set may use.
 PAGE_SIZES, DEFAULT_PAGE_SIZE = (25, 50, 100, 500), 50
@@ -40,6 +41,11 @@ def visible(ranked: DataFrame, hidden: DataFrame) -> DataFrame:
     return ranked.join(hidden.select("sender"), "sender", "left_anti")
 
 
+def listed(ranked: DataFrame, hidden: DataFrame, show_hidden: bool = False) -> DataFrame:
+    """What the list shows: hidden senders only with the toggle on."""
+    return ranked if show_hidden else visible(ranked, hidden)
+
+
 def tiles(seen: DataFrame, ranked: DataFrame, hidden: DataFrame) -> DataFrame:
     """One row: messages without hidden senders, visible senders, top sender."""
     flags = hidden.select("sender").distinct().withColumn("hides", F.lit(True))
@@ -183,16 +189,12 @@ def populate_embedded(seen: DataFrame) -> DataFrame:
     )
 
 
-def readiness(seen: DataFrame | None, runs: DataFrame | None = None) -> DataFrame:
-    """One row: missing, empty or ready, and whether to show the setup view.
-
-    `seen` is None when the store does not exist yet.
-    """
-    if seen is None:
-        raise ValueError("a missing store has no session; use store.readiness()")
+def readiness(seen: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row: empty or ready, and whether to show the setup view, which
+    waits while a run is active. A store that does not exist has no tables;
+    see StatsStore.readiness()."""
     terminal = F.lit(True) if runs is None else F.coalesce(
-        runs.agg(F.bool_and(F.col("state").isin("done", "failed", "cancelled", "abandoned"))).scalar(),
-        F.lit(True),
+        runs.agg(F.bool_and(F.col("state").isin(TERMINAL_STATES))).scalar(), F.lit(True)
     )
     return seen.agg(F.count("mail_id").alias("n")).select(
         F.when(F.col("n") > 0, "ready").otherwise("empty").alias("db"),

@@ -68,19 +68,25 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 
 def with_offsets(parsed: DataFrame) -> DataFrame:
-    """Absolute start_offset and end_offset of each message in its file.
+    """Absolute start_offset and end_offset of each message in its file, and
+    `is_mbox`: whether the file begins with a separator.
 
     Two levels: a running sum inside each input block, and the bytes of the
     earlier blocks of the same file. No task sees more than one block of
-    records, or one row per block of a file.
+    records, or one row per block of a file, so one huge file spreads out.
     """
     # Each record but the first of its file is preceded by one separator.
     span = F.col("nbytes") + len(RECORD_SEPARATOR)
-    blocks = parsed.groupBy("file", "block_start").agg(F.sum(span).alias("block_bytes"))
-    earlier = W.partitionBy("file").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
+    blocks = parsed.groupBy("file", "block_start").agg(
+        F.sum(span).alias("block_bytes"), F.min_by("has_separator", "rid").alias("begins_well")
+    )
+    in_order = W.partitionBy("file").orderBy("block_start")
     bases = blocks.select(
         "file", "block_start",
-        F.coalesce(F.sum("block_bytes").over(earlier), F.lit(0)).alias("base"),
+        F.coalesce(
+            F.sum("block_bytes").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        ).alias("base"),
+        F.first("begins_well").over(in_order).alias("is_mbox"),
     )
     before = W.partitionBy("file", "block_start").orderBy("rid").rowsBetween(W.unboundedPreceding, -1)
     within = F.coalesce(F.sum(span).over(before), F.lit(0))
@@ -100,7 +106,7 @@ def with_offsets(parsed: DataFrame) -> DataFrame:
 
 def with_status(located: DataFrame) -> DataFrame:
     """status: message, malformed, junk (text before the first separator) or blank."""
-    before_first = (F.col("start_offset") == 0) & ~F.col("has_separator")
+    before_first = (F.col("start_offset") == 0) & ~F.col("is_mbox")
     return located.withColumn(
         "status",
         F.when(before_first & F.col("has_text"), "junk")
@@ -110,15 +116,9 @@ def with_status(located: DataFrame) -> DataFrame:
     )
 
 
-def _not_mbox(located: DataFrame) -> DataFrame:
-    """At most one row per file: its first record lacks the separator."""
-    return located.filter((F.col("start_offset") == 0) & ~F.col("has_separator")).select("file").distinct()
-
-
 def split_valid_files(located: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of files that begin with a separator, the other files)."""
-    rejected = _not_mbox(located)
-    return located.join(rejected, "file", "left_anti"), rejected
+    return located.filter("is_mbox"), located.filter(~F.col("is_mbox")).select("file").distinct()
 
 
 def fingerprints(located: DataFrame) -> DataFrame:
@@ -162,6 +162,12 @@ def import_batch(messages: DataFrame, seq: Column | None = None) -> DataFrame:
     )
 
 
+def archive_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under `path`, from the listing alone."""
+    sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    return sizes or 0
+
+
 def import_counts(messages: DataFrame) -> DataFrame:
     """One row: messages parsed, and regions skipped (malformed or without id)."""
     idless = ~F.col("bad") & F.col("message_id").isNull()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from sparkmail.sources.mbox import stream_mbox
+from sparkmail.operators.summary import unrepaired
+from sparkmail.sources.mbox import archive_bytes, stream_mbox
 from sparkmail.sources.messages import stream_messages
 from sparkmail.streaming.store import StatsStore
 
@@ -32,41 +33,55 @@ class Heartbeat(StreamingQueryListener):
 
 
 def _drain(
-    store: StatsStore, source: str, rows: DataFrame,
-    apply: Callable[[DataFrame, int, int], None], checkpoint: str,
+    store: StatsStore, run_id: int, rows: DataFrame, apply: Callable[[DataFrame, int, int], None],
+    checkpoint: str, failure: str,
 ) -> int:
     """Run one ingest until the folder holds nothing new; returns its run_id.
 
     The checkpoint remembers finished files, so the next run resumes there;
     what it replays is dropped by the ledger.
     """
-    run_id = store.start_run(source)
     query: StreamingQuery = (
         rows.writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     try:
         query.awaitTermination()
+    except KeyboardInterrupt:
+        query.stop()
+        store.finish_run(run_id, "cancelled")
+        raise
     except Exception as e:
-        store.finish_run(run_id, "failed", "other", str(e).splitlines()[0])
+        store.finish_run(run_id, "failed", failure, str(e).splitlines()[0])
         raise
     store.finish_run(run_id, "done")
     return run_id
 
 
 def import_mbox(store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None) -> int:
-    return _drain(store, "mbox", stream_mbox(store.spark, folder, max_files), store.apply_mbox, checkpoint)
+    """Import the archives of a folder that the checkpoint does not know yet."""
+    run_id = store.start_run("mbox", mbox_path=folder, bytes_total=archive_bytes(store.spark, folder))
+    return _drain(store, run_id, stream_mbox(store.spark, folder, max_files), store.apply_mbox, checkpoint, "io")
 
 
-def scan_messages(store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None) -> int:
+def scan_messages(
+    store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None, total_estimate: int | None = None,
+) -> int:
+    """Ingest landed documents; the mailbox total, where known, feeds the ETA."""
+    run_id = store.start_run("gmail_api", total_estimate=total_estimate)
     rows = stream_messages(store.spark, folder, max_files)
-    return _drain(store, "gmail_api", rows, store.apply_messages, checkpoint)
+    return _drain(store, run_id, rows, store.apply_messages, checkpoint, "other")
 
 
 def repair(store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None) -> int:
     """Repair pass over landed metadata documents of unrepaired messages."""
+    pending = unrepaired(store.seen()).count()
+    run_id = store.start_run("backfill", total_estimate=pending)
+    if pending == 0:
+        store.finish_run(run_id, "done")
+        return run_id
     rows = stream_messages(store.spark, folder, max_files)
-    return _drain(store, "backfill", rows, store.apply_repair, checkpoint)
+    return _drain(store, run_id, rows, store.apply_repair, checkpoint, "other")
 
 
 def print_senders(rows: DataFrame) -> StreamingQuery:

@@ -72,6 +72,7 @@ class StatsStore:
             F.count_if(F.col("epoch") == epoch).alias("done"), F.max("epoch").alias("latest"),
             F.sum(F.when(mine, F.col("messages_seen"))).alias("seen"),
             F.sum(F.when(mine, F.col("messages_new"))).alias("new"),
+            F.sum(F.when(mine, F.col("bytes_done"))).alias("bytes"),
         ).first()
 
     def ledger(self) -> DataFrame:
@@ -97,7 +98,7 @@ class StatsStore:
     def rejected_files(self) -> DataFrame:
         """Files of the import folder that were refused."""
         schema = T.StructType.fromDDL(
-            "file string, start_offset bigint, has_separator boolean, epoch string"
+            "file string, is_mbox boolean, epoch string"
         )
         return mbox.split_valid_files(self._committed("located_mbox", schema))[1]
 
@@ -109,12 +110,21 @@ class StatsStore:
 
     # --- batches --------------------------------------------------------
 
-    def _commit(self, epoch: str, run_id: int, batch_id: int, seen: int, new: int) -> None:
-        row = Row(epoch, run_id, batch_id, seen, new)
-        df = self.spark.createDataFrame([row], schemas.COMMITS_SCHEMA)
-        self._write(df.coalesce(1), "commits", epoch)
+    def _commit(
+        self, epoch: str, run_id: int, batch_id: int, seen: int, new: int, before: Row, bytes_done: int | None = None
+    ) -> None:
+        """Make the epoch visible, then report the run's totals."""
+        row = Row(epoch, run_id, batch_id, seen, new, bytes_done)
+        self._write(self.spark.createDataFrame([row], schemas.COMMITS_SCHEMA).coalesce(1), "commits", epoch)
+        self.record(
+            run_id, "progress", messages_seen=(before["seen"] or 0) + seen, messages_new=(before["new"] or 0) + new,
+            bytes_done=None if bytes_done is None else (before["bytes"] or 0) + bytes_done,
+        )
 
-    def _apply(self, batch: DataFrame, seen: int, run_id: int, batch_id: int, source: str, before: Row) -> None:
+    def _apply(
+        self, batch: DataFrame, seen: int, run_id: int, batch_id: int, source: str, before: Row,
+        bytes_done: int | None = None,
+    ) -> None:
         epoch = epoch_of(run_id, batch_id)
         rows = dedupe.new_rows(batch, self.seen()).select(
             "mail_id", "rfc_message_id", "sender",
@@ -123,14 +133,7 @@ class StatsStore:
         mine = self._write(rows, "ledger", epoch)
         senders = counters.add_counts(self._senders_at(before["latest"]), counters.increments(mine))
         self._write(senders, "senders", epoch)
-        new = mine.filter("counted").count()
-        self._commit(epoch, run_id, batch_id, seen, new)
-        self._record_progress(run_id, before, seen, new)
-
-    def _record_progress(self, run_id: int, before: Row, seen: int, new: int) -> None:
-        self.record(
-            run_id, "progress", messages_seen=(before["seen"] or 0) + seen, messages_new=(before["new"] or 0) + new
-        )
+        self._commit(epoch, run_id, batch_id, seen, mine.filter("counted").count(), before, bytes_done)
 
     def apply_mbox(self, records: DataFrame, run_id: int, batch_id: int) -> None:
         """Import one batch of mbox records, without files that are not mbox."""
@@ -141,9 +144,10 @@ class StatsStore:
         parsed = self._write(mbox.parse_records(records), "staged_mbox", epoch)
         located = self._write(mbox.with_offsets(parsed), "located_mbox", epoch)
         valid, _ = mbox.split_valid_files(located)
+        size = located.agg(F.sum(F.col("end_offset") - F.col("start_offset"))).first()[0]
         count = mbox.import_counts(valid).first()["messages_seen"]
         batch = mbox.import_batch(valid, F.struct("file", "start_offset"))
-        self._apply(batch, count, run_id, batch_id, "mbox", before)
+        self._apply(batch, count, run_id, batch_id, "mbox", before, size or 0)
 
     def apply_messages(self, documents: DataFrame, run_id: int, batch_id: int) -> None:
         epoch = epoch_of(run_id, batch_id)
@@ -165,8 +169,7 @@ class StatsStore:
         self._write(senders, "senders", epoch)
         done = dedupe.repair_outcome(fetched, mine).first()
         seen, new = done["examined"], done["populated"] + done["missing_id"]
-        self._commit(epoch, run_id, batch_id, seen, new)
-        self._record_progress(run_id, before, seen, new)
+        self._commit(epoch, run_id, batch_id, seen, new, before)
 
     def import_baseline(self, seen: DataFrame, senders: DataFrame) -> None:
         """Start a store from older tables: collapse repeated mail_ids (needs
@@ -178,7 +181,8 @@ class StatsStore:
         )
         self._write(rows, "ledger", BASELINE_EPOCH)
         self._write(senders.select("sender", F.col("mails_sent").cast("long")), "senders", BASELINE_EPOCH)
-        self._commit(BASELINE_EPOCH, 0, 0, 0, 0)
+        row = Row(BASELINE_EPOCH, 0, 0, 0, 0, None)
+        self._write(self.spark.createDataFrame([row], schemas.COMMITS_SCHEMA), "commits", BASELINE_EPOCH)
 
     # --- runs -----------------------------------------------------------
 

@@ -1,5 +1,6 @@
 """Set-based operators against one-message-at-a-time models."""
 
+import json
 import random
 
 import pytest
@@ -249,6 +250,16 @@ def test_history_limits(spark):
     assert [r[0] for r in run_ops.history(runs, 2).collect()] == [150, 149]
 
 
+def test_history_document(spark):
+    runs = spark.createDataFrame(
+        [(i, "mbox", "done", i, None, f"secret{i}") for i in range(1, 6)],
+        "run_id long, source string, state string, messages_seen long, error string, resume_token string",
+    )
+    doc = json.loads(run_ops.history_document(runs, 9, 3).first()["document"])
+    assert [r["run_id"] for r in doc["runs"]] == [5, 4, 3] and doc["now_unix"] == 9
+    assert doc["runs"][0] == {"run_id": 5, "source": "mbox", "state": "done", "messages_seen": 5, "error": None}
+
+
 def test_scan_resume_token(spark):
     runs = spark.createDataFrame([(1, "gmail_api", "t"), (2, "gmail_api", ""), (3, "mbox", None)],
                                  "run_id long, source string, resume_token string")

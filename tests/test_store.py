@@ -61,6 +61,8 @@ def test_scan_then_import_counts_each_message_once(store, tmp_path):
     assert [(r.source, r.state, r.messages_seen, r.messages_new) for r in runs] == [
         ("gmail_api", "done", 2, 2), ("mbox", "done", 4, 1),
     ]
+    size = sum(f.stat().st_size for f in (tmp_path / "mbox").iterdir())
+    assert (runs[1].bytes_total, runs[1].bytes_done, runs[1].mbox_path) == (size, size, str(tmp_path / "mbox"))
     # The same checkpoint finds nothing new; a fresh one replays everything.
     ingest.import_mbox(store, str(tmp_path / "mbox"), str(tmp_path / "c2"))
     ingest.import_mbox(store, str(tmp_path / "mbox"), str(tmp_path / "c3"))
@@ -119,7 +121,10 @@ def test_repair_collapses_history_and_is_resumable(spark, store, tmp_path):
     assert senders(store) == [("a@x.com", 2), ("b@x.com", 1)]
     assert rows(store.seen(), "mail_id", "rfc_message_id")[:3] == [("g1", "m1@x"), ("g2", "m2@x"), ("g3", "")]
     assert rows(summary.mixed_sources(store.seen())) == [(False, 0)]
-    assert rows(store.runs(), "messages_seen", "messages_new") == [(1, 1), (3, 2)]
+    assert rows(store.runs(), "messages_seen", "messages_new", "total_estimate") == [(1, 1, 3), (3, 2, 2)]
+    # Nothing left: the next run ends before it reads anything.
+    ingest.repair(store, str(tmp_path / "nowhere"), str(tmp_path / "c9"))
+    assert store.runs().filter("run_id = 3").first()["state"] == "done"
 
 
 def test_heartbeat_touches_the_run(spark, store, tmp_path):
