@@ -52,6 +52,13 @@ class StatsStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _few_rows(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
+        """A handful of literal rows in one partition."""
+        structs = [
+            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(schema.fields, row)]) for row in rows
+        ]
+        return self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
     def _write(self, df: DataFrame, name: str, epoch: str) -> DataFrame:
         """Replace one epoch of a table and read it back, so that what follows
         starts from stored rows."""
@@ -114,8 +121,8 @@ class StatsStore:
         self, epoch: str, run_id: int, batch_id: int, seen: int, new: int, before: Row, bytes_done: int | None = None
     ) -> None:
         """Make the epoch visible, then report the run's totals."""
-        row = Row(epoch, run_id, batch_id, seen, new, bytes_done)
-        self._write(self.spark.createDataFrame([row], schemas.COMMITS_SCHEMA).coalesce(1), "commits", epoch)
+        row = (epoch, run_id, batch_id, seen, new, bytes_done)
+        self._write(self._few_rows([row], schemas.COMMITS_SCHEMA), "commits", epoch)
         self.record(
             run_id, "progress", messages_seen=(before["seen"] or 0) + seen, messages_new=(before["new"] or 0) + new,
             bytes_done=None if bytes_done is None else (before["bytes"] or 0) + bytes_done,
@@ -144,10 +151,12 @@ class StatsStore:
         parsed = self._write(mbox.parse_records(records), "staged_mbox", epoch)
         located = self._write(mbox.with_offsets(parsed), "located_mbox", epoch)
         valid, _ = mbox.split_valid_files(located)
-        size = located.agg(F.sum(F.col("end_offset") - F.col("start_offset"))).first()[0]
-        count = mbox.import_counts(valid).first()["messages_seen"]
+        done = located.agg(
+            F.count_if(F.col("is_mbox") & ~F.col("bad")).alias("messages"),
+            F.sum(F.col("end_offset") - F.col("start_offset")).alias("bytes"),
+        ).first()
         batch = mbox.import_batch(valid, F.struct("file", "start_offset"))
-        self._apply(batch, count, run_id, batch_id, "mbox", before, size or 0)
+        self._apply(batch, done["messages"], run_id, batch_id, "mbox", before, done["bytes"] or 0)
 
     def apply_messages(self, documents: DataFrame, run_id: int, batch_id: int) -> None:
         epoch = epoch_of(run_id, batch_id)
@@ -181,8 +190,8 @@ class StatsStore:
         )
         self._write(rows, "ledger", BASELINE_EPOCH)
         self._write(senders.select("sender", F.col("mails_sent").cast("long")), "senders", BASELINE_EPOCH)
-        row = Row(BASELINE_EPOCH, 0, 0, 0, 0, None)
-        self._write(self.spark.createDataFrame([row], schemas.COMMITS_SCHEMA), "commits", BASELINE_EPOCH)
+        row = (BASELINE_EPOCH, 0, 0, 0, 0, None)
+        self._write(self._few_rows([row], schemas.COMMITS_SCHEMA), "commits", BASELINE_EPOCH)
 
     # --- runs -----------------------------------------------------------
 
@@ -192,8 +201,8 @@ class StatsStore:
         return tuple((row | {"run_id": run_id, "event": event}).values())
 
     def _append_events(self, events: list[tuple]) -> None:
-        df = self.spark.createDataFrame(events, schemas.RUN_EVENTS_SCHEMA)
-        df.coalesce(1).write.mode("append").parquet(self._path("run_events"))
+        df = self._few_rows(events, schemas.RUN_EVENTS_SCHEMA)
+        df.write.mode("append").parquet(self._path("run_events"))
 
     def record(self, run_id: int, event: str, **columns) -> None:
         """Append one event to the run log."""
