@@ -15,6 +15,38 @@ from sparkmail.session import cut_lineage
 TILES_PER_GROUP = 4096
 
 
+def _before(*partition: str, by: str, end: int = -1):
+    return W.partitionBy(*partition).orderBy(by).rowsBetween(W.unboundedPreceding, end)
+
+
+def tile_of(order: str, tile: int) -> Column:
+    return F.floor(F.col(order) / tile)
+
+
+def tile_carry(df: DataFrame, keys: list[str], order: str, value: Column, tile: int) -> DataFrame:
+    """(keys, tile, carry): the last non-null `value` before each tile in use.
+
+    `order` is a LONG, `tile` its span per tile. A first pass leaves one row
+    per tile, a second one row per group of tiles, so that no window holds
+    all tiles of a key.
+    """
+    last = lambda c: F.last(c, ignorenulls=True)
+    tails = (
+        df.select(*keys, order, value.alias("value"), tile_of(order, tile).alias("tile"))
+        .groupBy(*keys, "tile")
+        .agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col(order))).alias("tail"))
+        .withColumn("group", F.floor(F.col("tile") / TILES_PER_GROUP))
+    )
+    groups = tails.groupBy(*keys, "group").agg(
+        F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col("tile"))).alias("group_tail")
+    ).select(*keys, "group", last("group_tail").over(_before(*keys, by="group")).alias("group_carry"))
+    return (
+        tails.withColumn("carry", last("tail").over(_before(*keys, "group", by="tile")))
+        .join(groups, [*keys, "group"])
+        .select(*keys, "tile", F.coalesce("carry", "group_carry").alias("carry"))
+    )
+
+
 def carry_last(
     df: DataFrame, keys: list[str], order: str, value: Column, name: str, tile: int,
     inclusive: bool = False,
@@ -24,38 +56,14 @@ def carry_last(
     `order` is a LONG that is unique within a key, `tile` its span per tile.
     With `inclusive` the row's own value counts too.
     """
-    t, g = "__tile", "__group"
-    tiled = df.withColumn(t, F.floor(F.col(order) / tile)).withColumn("__value", value)
-    end = 0 if inclusive else -1
-
-    def before(*partition: str, by: str, end: int):
-        return W.partitionBy(*partition).orderBy(by).rowsBetween(W.unboundedPreceding, end)
-
-    # One row per tile: its last value, NULL when the tile has none.
-    tails = (
-        tiled.groupBy(*keys, t)
-        .agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("tail"))
-        .withColumn(g, F.floor(F.col(t) / TILES_PER_GROUP))
-    )
-    # One row per group of tiles, so that no window holds all tiles of a key.
-    groups = tails.groupBy(*keys, g).agg(
-        F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col(t))).alias("group_tail")
-    ).select(
-        *keys, g,
-        F.last("group_tail", ignorenulls=True).over(before(*keys, by=g, end=-1)).alias("group_carry"),
-    )
-    carry = (
-        tails
-        .withColumn("carry", F.last("tail", ignorenulls=True).over(before(*keys, g, by=t, end=-1)))
-        .join(groups, [*keys, g])
-        .select(*keys, t, F.coalesce("carry", "group_carry").alias("__carry"))
+    local = F.last(value, ignorenulls=True).over(
+        _before(*keys, "tile", by=order, end=0 if inclusive else -1)
     )
-    local = F.last("__value", ignorenulls=True).over(before(*keys, t, by=order, end=end))
     return (
-        tiled.withColumn("__local", local)
-        .join(carry, [*keys, t])
-        .withColumn(name, F.coalesce("__local", "__carry"))
-        .drop(t, "__value", "__local", "__carry")
+        df.withColumn("tile", tile_of(order, tile)).withColumn("__local", local)
+        .join(tile_carry(df, keys, order, value, tile), [*keys, "tile"])
+        .withColumn(name, F.coalesce("__local", "carry"))
+        .drop("tile", "__local", "carry")
     )
 
 

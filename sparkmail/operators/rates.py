@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sparkmail.operators.ordered import carry_last
+from sparkmail.operators.ordered import tile_carry, tile_of
 
 # The rate window, and the span below which no rate is given.
 WINDOW_US = 30_000_000
@@ -13,28 +13,41 @@ MIN_SPAN_S = 0.5
 CHANGE_TILE_US = 3_600_000_000
 
 
-def _rate_columns(rows: DataFrame, keys: list[str], stretch: Column | None = None) -> DataFrame:
-    """Add the two rates to samples that carry the `previous` sample.
+def _rates(samples: DataFrame, key: str) -> DataFrame:
+    """Add the two rates to samples (key, t_us, run_id, messages_seen,
+    bytes_done, ...) with one sample per instant of a key.
 
     Each 30-second tile is windowed with the tile before it, so a key with
-    most of the samples still spreads over many tasks. `stretch` marks samples
-    that start a window of their own; every start inside a sample's window is
-    visible in its pair of tiles.
+    most of the samples still spreads over many tasks. Only the first sample
+    after a gap looks further back; that one travels with the tile. A sample
+    of another run ends the window.
     """
-    own = F.floor(F.col("t_us") / WINDOW_US)
-    tiled = rows.withColumn("own", own).withColumn(
+    sample = F.struct("t_us", "messages_seen", "bytes_done", "run_id")
+    carry = tile_carry(samples, [key], "t_us", sample, WINDOW_US).withColumnRenamed("tile", "frame")
+
+    own = tile_of("t_us", WINDOW_US)
+    tiled = samples.withColumn("own", own).withColumn(
         "frame", F.explode(F.array(F.col("own"), F.col("own") + 1))
     )
-    partition = [*keys, "frame"]
-    if stretch is not None:
-        started = F.sum(stretch.cast("int")).over(W.partitionBy(*partition).orderBy("t_us"))
-        tiled, partition = tiled.withColumn("stretch", started), [*partition, "stretch"]
-    window = W.partitionBy(*partition).orderBy("t_us").rangeBetween(-WINDOW_US, 0)
+    in_order = W.partitionBy(key, "frame").orderBy("t_us")
+    same_run = lambda c: F.col("run_id").eqNullSafe(F.col(f"{c}.run_id")) & F.col(c).isNotNull()
+    rows = tiled.withColumn("before", F.lag(sample).over(in_order))
+    stretch = None
+    if key != "run_id":
+        stretch = "stretch"
+        rows = rows.withColumn(stretch, F.sum(F.when(same_run("before"), 0).otherwise(1)).over(in_order))
+    window = W.partitionBy(key, "frame", *([stretch] if stretch else [])).orderBy("t_us") \
+        .rangeBetween(-WINDOW_US, 0)
     framed = (
-        tiled.withColumn("oldest", F.first(F.struct("t_us", "messages_seen", "bytes_done")).over(window))
+        rows.withColumn("first", F.first(sample).over(window))
         .withColumn("in_window", F.count("*").over(window))
         .filter(F.col("frame") == F.col("own"))
-        .withColumn("oldest", F.when(F.col("in_window") >= 2, F.col("oldest")).otherwise(F.col("previous")))
+        .join(carry, [key, "frame"])
+        .withColumn("previous", F.coalesce("before", "carry"))
+        .withColumn(
+            "oldest",
+            F.when(F.col("in_window") >= 2, F.col("first")).when(same_run("previous"), F.col("previous")),
+        )
     )
     span = (F.col("t_us") - F.col("oldest.t_us")) / 1_000_000
 
@@ -43,7 +56,7 @@ def _rate_columns(rows: DataFrame, keys: list[str], stretch: Column | None = Non
         return F.when((span >= MIN_SPAN_S) & moved.isNotNull(), F.greatest(moved, F.lit(0)) / span)
 
     return framed.select(
-        *[c for c in rows.columns if c != "previous"],
+        *samples.columns,
         per_second("messages_seen").alias("messages_per_sec"),
         per_second("bytes_done").alias("bytes_per_sec"),
     )
@@ -56,23 +69,14 @@ def sliding_rate(samples: DataFrame) -> DataFrame:
     """
     others = [c for c in samples.columns if c not in ("run_id", "t_us")]
     # Counters only grow, so the largest of one instant is the latest.
-    instants = samples.groupBy("run_id", "t_us").agg(*[F.max(c).alias(c) for c in others])
-    sample = F.struct("t_us", "messages_seen", "bytes_done")
-    return _rate_columns(carry_last(instants, ["run_id"], "t_us", sample, "previous", WINDOW_US), ["run_id"])
+    return _rates(samples.groupBy("run_id", "t_us").agg(*[F.max(c).alias(c) for c in others]), "run_id")
 
 
 def observed_rate(observations: DataFrame) -> DataFrame:
     """Rates as each viewer sees them (viewer, t_us, run_id, messages_seen,
     bytes_done): the window starts over whenever the active run changes or
     there is none (run_id NULL)."""
-    sample = F.struct("t_us", "messages_seen", "bytes_done", "run_id")
-    rows = carry_last(observations, ["viewer"], "t_us", sample, "before", CHANGE_TILE_US)
-    changed = F.col("before").isNull() | ~F.col("run_id").eqNullSafe(F.col("before.run_id"))
-    rows = rows.withColumn("changed", changed).withColumn(
-        "previous", F.when(~F.col("changed"), F.struct("before.t_us", "before.messages_seen", "before.bytes_done"))
-    ).drop("before")
-    rated = _rate_columns(rows, ["viewer"], stretch=F.col("changed"))
-    return rated.filter(F.col("run_id").isNotNull()).drop("changed")
+    return _rates(observations, "viewer").filter(F.col("run_id").isNotNull())
 
 
 def displayed_rate(per_sec: Column) -> Column:
