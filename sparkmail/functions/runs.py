@@ -8,6 +8,13 @@ SOURCE_LABELS = {
     "gmail_api": "Gmail scan",
     "backfill": "Message-ID backfill",
 }
+STATE_LABELS = {"awaiting_auth": "awaiting authorization"}
+RESUME_IMPORT = "Resume import"
+RETRY = "Retry"
+RESUME_SCAN = "Resume — may restart from the beginning"
+START_AGAIN = "Start again"
+USE_ARCHIVE = "Use Takeout instead →"
+NO_SOURCE = "Ingestion"
 STALL_AFTER_S = 15
 CONSENT_ORIGIN = "https://accounts.google.com"
 
@@ -60,11 +67,11 @@ def source_label(source: Column) -> Column:
     label = F.when(F.lit(False), F.lit(""))
     for key, text in SOURCE_LABELS.items():
         label = label.when(source == key, text)
-    return label.otherwise(F.coalesce(F.nullif(source, F.lit("")), F.lit("Ingestion")))
+    return label.otherwise(F.coalesce(F.nullif(source, F.lit("")), F.lit(NO_SOURCE)))
 
 
 def state_label(state: Column) -> Column:
-    return F.when(state == "awaiting_auth", F.lit("awaiting authorization")).otherwise(state)
+    return F.coalesce(*[F.when(state == key, text) for key, text in STATE_LABELS.items()], state)
 
 
 def is_stalled(now_unix: Column, updated_at_unix: Column) -> Column:
@@ -80,12 +87,12 @@ def recovery_actions(run) -> Column:
     some_messages = F.coalesce(run["messages_seen"], F.lit(0)) > 0
     broke = run["state"].isin("failed", "abandoned")
     offers = F.array(
-        F.when(mbox & some_bytes & has_path, "Resume import"),
-        F.when(mbox & ~some_bytes & has_path, "Retry"),
-        F.when(api & broke, "Retry"),
-        F.when(api & some_messages, "Resume — may restart from the beginning"),
-        F.when(api & ~some_messages & (run["state"] == "cancelled"), "Start again"),
-        F.when(run["error_kind"] == "policy_enforced", "Use Takeout instead →"),
+        F.when(mbox & some_bytes & has_path, RESUME_IMPORT),
+        F.when(mbox & ~some_bytes & has_path, RETRY),
+        F.when(api & broke, RETRY),
+        F.when(api & some_messages, RESUME_SCAN),
+        F.when(api & ~some_messages & (run["state"] == "cancelled"), START_AGAIN),
+        F.when(run["error_kind"] == "policy_enforced", USE_ARCHIVE),
     )
     none = F.array().cast("array<string>")
     return F.when(ended, F.array_compact(offers)).otherwise(none)

@@ -7,7 +7,7 @@ edge travels as one row per tile.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from sparkmail.session import cut_lineage
 
@@ -31,11 +31,18 @@ def tile_carry(df: DataFrame, keys: list[str], order: str, value: Column, tile:
     all tiles of a key.
     """
     last = lambda c: F.last(c, ignorenulls=True)
-    tails = (
-        df.select(*keys, order, value.alias("value"), tile_of(order, tile).alias("tile"))
-        .groupBy(*keys, "tile")
-        .agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col(order))).alias("tail"))
-        .withColumn("group", F.floor(F.col("tile") / TILES_PER_GROUP))
+    rows = df.select(*keys, order, value.alias("value"), tile_of(order, tile).alias("tile"))
+    at = F.when(F.col("value").isNotNull(), F.col(order))
+    if isinstance(rows.schema["value"].dataType, T.StructType):
+        # Field by field, numbers stay in a hash aggregation; a struct would
+        # be sorted.
+        names = rows.schema["value"].dataType.names
+        found = [F.max(at).alias("__at"), *[F.max_by(F.col("value")[n], at).alias(f"__{n}") for n in names]]
+        tail = F.when(F.col("__at").isNotNull(), F.struct(*[F.col(f"__{n}").alias(n) for n in names]))
+    else:
+        found, tail = [F.max_by("value", at).alias("tail")], F.col("tail")
+    tails = rows.groupBy(*keys, "tile").agg(*found).select(
+        *keys, "tile", F.floor(F.col("tile") / TILES_PER_GROUP).alias("group"), tail.alias("tail")
     )
     groups = tails.groupBy(*keys, "group").agg(
         F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col("tile"))).alias("group_tail")

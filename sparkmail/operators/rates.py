@@ -40,14 +40,14 @@ def _rates(samples: DataFrame, key: str) -> DataFrame:
         .rangeBetween(-WINDOW_US, 0)
     framed = (
         rows.withColumn("first", F.first(sample).over(window))
-        .withColumn("in_window", F.count("*").over(window))
         .filter(F.col("frame") == F.col("own"))
         .join(carry, [key, "frame"])
         .withColumn("previous", F.coalesce("before", "carry"))
-        .withColumn(
-            "oldest",
-            F.when(F.col("in_window") >= 2, F.col("first")).when(same_run("previous"), F.col("previous")),
-        )
+        .withColumn("oldest", F.when(
+            same_run("previous"),
+            # The window holds another sample when it holds the one before.
+            F.when(F.col("t_us") - F.col("previous.t_us") <= WINDOW_US, F.col("first")).otherwise(F.col("previous")),
+        ))
     )
     span = (F.col("t_us") - F.col("oldest.t_us")) / 1_000_000
 

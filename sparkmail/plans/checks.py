@@ -336,6 +336,7 @@ def oracle_sql() -> dict[str, str]:
                '{{"total_messages":' || count(*) || ',"generated_at_unix":{NOW_UNIX}}}' AS line FROM scan
         UNION ALL SELECT 1, sender, mails_sent,
                '{{"sender":"' || sender || '","mails_sent":' || mails_sent || '}}' FROM ranked"""
+    sql["summary_written"] = f"SELECT line FROM ({sql['summary_document']})"
     sql["summary_quality"] = f"""
         WITH {_RANKED}, listed AS (SELECT * FROM raw WHERE contains(sender, '@')),
         copies AS (SELECT sender FROM listed GROUP BY 1 HAVING count(*) > 1)

@@ -341,6 +341,15 @@ def summary_document(spark, sf):
     return summary.document_rows(v.replay_msgs(spark, sf), _ranked(spark, sf), v.NOW_UNIX)
 
 
+@query
+def summary_written(spark, sf):
+    """The summary document through its text sink."""
+    path = staging_path(spark, "summary")
+    rows = summary.document_rows(v.replay_msgs(spark, sf), _ranked(spark, sf), v.NOW_UNIX)
+    summary.write_document(rows, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query
 def summary_quality(spark, sf):
     rows = v.raw_senders(spark, sf).select("sender", F.expr("try_cast(mails_sent AS BIGINT)").alias("mails_sent"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sparkmail.schemas import ERROR_KINDS
+
 NOW_UNIX = 1_100_000_000
 
 
@@ -235,7 +237,7 @@ def runs(spark, sf) -> DataFrame:
     none = F.lit(None)
     source = _pick(k % 3, "gmail_api", "mbox", "backfill")
     open_state = _pick(F.instr(F.lit("OPF"), F.col("o_orderstatus")) - 1, "running", "awaiting_auth", "starting")
-    states = ["failed", "cancelled", "done", "abandoned"]
+    states = ["failed", "cancelled", "done", "abandoned"]  # by priority
     state = _pick(F.substring("o_orderpriority", 1, 1).cast("int") - 1, *states, open_state)
     started = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     rows = table(spark, sf, "orders").select(
@@ -246,8 +248,6 @@ def runs(spark, sf) -> DataFrame:
         F.floor("o_totalprice").alias("price"),
     )
     k, mbox = F.col("run_id"), F.col("source") == "mbox"
-    kinds = ["policy_enforced", "missing_credentials", "auth_required", "io", "db", "rate_limited",
-             "gmail_api", "other"]
     return rows.select(
         "run_id", "source", "state", "pid", "started_at_unix", "updated_at_unix",
         F.when(F.col("state").isin(states), F.col("updated_at_unix")).alias("finished_at_unix"),
@@ -255,7 +255,7 @@ def runs(spark, sf) -> DataFrame:
         F.when(mbox, F.col("price")).alias("bytes_total"),
         F.when(mbox, F.floor(F.col("price") * (k % 12) / 10)).alias("bytes_done"),
         F.when(mbox & (k % 5 != 0), _text("/mail/", k, ".mbox")).alias("mbox_path"),
-        F.when(F.col("state") == "failed", _pick(k % 8, *kinds)).alias("error_kind"),
+        F.when(F.col("state") == "failed", _pick(k % 8, *ERROR_KINDS)).alias("error_kind"),
         F.when(F.col("state") == "failed", _text("run ", k, " failed")).alias("error"),
         F.when(F.col("state") == "awaiting_auth", _text("https://accounts.google.com/o?run=", k)).alias("auth_url"),
         F.when(k % 2 == 0, _text("token-", k)).alias("resume_token"),

@@ -89,4 +89,10 @@ PUBLIC_RUN_COLUMNS = [
 ]
 RUN_COLUMNS = PUBLIC_RUN_COLUMNS + ["resume_token", "mbox_fingerprint"]
 
+# Sources, run states and error kinds.
+SOURCES = ["gmail_api", "mbox", "backfill"]
+OPEN_STATES = ["starting", "awaiting_auth", "running"]
 TERMINAL_STATES = ["done", "failed", "cancelled", "abandoned"]
+ERROR_KINDS = [
+    "policy_enforced", "missing_credentials", "auth_required", "io", "db", "rate_limited", "gmail_api", "other",
+]

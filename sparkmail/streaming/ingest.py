@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from sparkmail.operators.runs import latest_runs
 from sparkmail.operators.summary import unrepaired
 from sparkmail.sources.mbox import archive_bytes, stream_mbox
 from sparkmail.sources.messages import stream_messages
@@ -84,6 +85,15 @@ def repair(store: StatsStore, folder: str, checkpoint: str, max_files: int | Non
     return _drain(store, run_id, rows, store.apply_repair, checkpoint, "other")
 
 
+def watch_runs(store: StatsStore, checkpoint: str) -> StreamingQuery:
+    """Keep the `latest_runs` table at the state the run log adds up to."""
+    return (
+        latest_runs(store.stream_events()).writeStream.outputMode("complete")
+        .foreachBatch(lambda runs, _: store.replace("latest_runs", runs))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def print_senders(rows: DataFrame) -> StreamingQuery:
     """Verbose listing: the sender of every message on the console."""
     return rows.select("sender").writeStream.format("console").start()

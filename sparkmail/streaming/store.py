@@ -112,6 +112,12 @@ class StatsStore:
     def events(self) -> DataFrame:
         return self.read("run_events", schemas.RUN_EVENTS_SCHEMA)
 
+    def stream_events(self) -> DataFrame:
+        return self.spark.readStream.schema(schemas.RUN_EVENTS_SCHEMA).parquet(self._path("run_events"))
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(self._path(name))
+
     def runs(self) -> DataFrame:
         return run_ops.latest_runs(self.events())
 

@@ -133,3 +133,13 @@ def test_heartbeat_touches_the_run(spark, store, tmp_path):
     ingest.Heartbeat(store, run).onQueryIdle(None)
     assert store.events().count() == before + 1
     assert store.runs().first()["state"] == "running"
+
+
+def test_run_log_can_be_watched(spark, store, tmp_path):
+    run = store.start_run("mbox", mbox_path="/a")
+    ingest.watch_runs(store, str(tmp_path / "w")).awaitTermination()
+    store.finish_run(run, "failed", "io", "disk")
+    ingest.watch_runs(store, str(tmp_path / "w")).awaitTermination()
+    latest = spark.read.parquet(store.root + "/latest_runs")
+    assert rows(latest) == rows(store.runs())
+    assert rows(latest, "state", "error_kind", "mbox_path") == [("failed", "io", "/a")]
