@@ -91,7 +91,7 @@ def with_offsets(parsed: DataFrame) -> DataFrame:
     before = W.partitionBy("file", "block_start").orderBy("rid").rowsBetween(W.unboundedPreceding, -1)
     within = F.coalesce(F.sum(span).over(before), F.lit(0))
     text_start = F.col("base") + F.col("within")
-    return (
+    located = (
         parsed.withColumn("within", within)
         .join(bases, ["file", "block_start"])
         .withColumn(
@@ -100,8 +100,31 @@ def with_offsets(parsed: DataFrame) -> DataFrame:
         )
         # The line end before the next separator belongs to this message.
         .withColumn("end_offset", F.least(text_start + F.col("nbytes") + 1, F.col("file_size")))
+        # Bytes after the text: none, a separator, or a separator and nothing.
+        .withColumn("ends_bare", F.col("file_size") - text_start - F.col("nbytes") == len(RECORD_SEPARATOR))
         .drop("within", "base")
     )
+    return _with_bare_separator(located, parsed.columns).select(
+        *parsed.columns, "is_mbox", "start_offset", "end_offset"
+    )
+
+
+def _with_bare_separator(located: DataFrame, columns: list[str]) -> DataFrame:
+    """Add the empty message of a file cut off right after a separator, for
+    which the scan has no record."""
+    kinds = dict(located.dtypes)
+    empty = {
+        "file": F.col("file"), "file_size": F.col("file_size"), "file_mtime": F.col("file_mtime"),
+        "block_start": F.col("block_start"), "rid": F.col("rid") + 1, "nbytes": F.lit(0),
+        "has_separator": F.lit(False), "has_text": F.lit(False), "bad": F.lit(False), "is_mbox": F.col("is_mbox"),
+        "start_offset": F.col("file_size") - len(SEPARATOR), "end_offset": F.col("file_size"),
+    }
+    names = [*columns, "is_mbox", "start_offset", "end_offset"]
+    row = F.struct(*names)
+    extra = F.struct(*[empty.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+    return located.select(
+        F.inline(F.when(F.col("ends_bare"), F.array(row, extra)).otherwise(F.array(row)))
+    )
 
 
 def with_status(located: DataFrame) -> DataFrame:
