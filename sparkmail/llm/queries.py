@@ -7,12 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmail.llm import mixing, simhash
-from sparkmail.llm.common import table
+from sparkmail.llm import bpe, hnsw, langid, licenses, mixing, quality, secret_scan, simhash, spotsigs, warc
+from sparkmail.llm.common import held_out, stage, table
+from sparkmail.session import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.fingerprint_table(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with its score; the token itself only as a hash."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit_by_rule(docs))
+    return found.select("doc_id", "place", F.sha2("core", 256).alias("core_sha256"), F.length("core").alias("n_chars"),
+                        "score", "is_secret", held_out("doc_id").alias("held_out"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
@@ -24,9 +43,67 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.sample(docs)
+    net = langid.train(samples) if samples else None
+    return langid.predict(docs, net).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return groups.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stage(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
+    scored = quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarise(licenses.scan(table(spark, sf_dir, "documents"))).drop("found")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = staging_path(spark, "llm-warc")
+    warc.write(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return warc.read(spark, path).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 REGISTRY: dict[str, Query] = {
+    "op1_spotsigs": op1_spotsigs,
+    "op2_secrets": op2_secrets,
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
+    "op5_bpe": op5_bpe,
+    "op6_langid": op6_langid,
+    "op7_embeddings": op7_embeddings,
+    "op8_quality": op8_quality,
+    "op9_licenses": op9_licenses,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only the archive query can be said in SQL whole: eight groups of five hexadecimal digits make four base32 digits each.
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT)
+                         >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
+}

@@ -1,0 +1,99 @@
+"""Secret scans: candidates, forest against plain voting, held-out findings, masking."""
+
+import os
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkmail.llm import secret_scan
+
+SF = os.environ.get("TEST_SF_DIR_LLM", "/root/testdata/sf0.01")
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+SCHEMA = "doc_id long, text string, place string, core string, score string, label string, s string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "c", "c", "c", "c", "c") for i, t in rows], SCHEMA)
+
+
+def corpus():
+    rows = []
+    for i in range(80):
+        key = f"{zlib.crc32(str(i).encode()):08x}" * 5
+        rows.append((4 * i, f"some words here token = \"{key}\" and more words"))
+        rows.append((4 * i + 1, f"see https://example.com/a/b/{i}/page{i}.html for page number{i}andwhatfollows it"))
+        rows.append((4 * i + 2, f"commit {key} in src/module{i}/deep/file{i}.py"))
+        rows.append((4 * i + 3, "only plain words, supercalifragilisticexpialidocious"))
+    return rows
+
+
+def test_candidates(spark):
+    text = f'a b api_key = "{KEY}", end\n{KEY}\tlast short1 nodigitsatallinthisword'
+    row = docs(spark, [(1, text)]).select(secret_scan.candidates(F.col("text"))).first()[0]
+    assert [(r["place"], r["core"], r["token"], r["before2"], r["before"], r["after"]) for r in row] == [
+        (4, KEY, f'"{KEY}",', "api_key", "=", "end"), (6, KEY, KEY, f'"{KEY}",', "end", "last")]
+
+
+def test_forest_and_mask(spark):
+    table = docs(spark, corpus())
+    forest = secret_scan.fit_by_rule(table)
+    found = secret_scan.scan(table, forest).collect()
+    assert len(found) > 200
+    for r in found:
+        assert r["is_secret"] == (r["doc_id"] % 4 == 0), r
+    masked = secret_scan.mask(table, forest)
+    assert masked.columns == table.columns
+    texts, before = {r["doc_id"]: r["text"] for r in masked.collect()}, dict(corpus())
+    for i, text in texts.items():
+        assert (text == before[i]) == (i % 4 != 0)
+        if i % 4 == 0:
+            assert text == f'some words here token = "{secret_scan.MASK}" and more words'
+
+
+def test_expression_votes_like_the_trees(spark):
+    forest = secret_scan.Forest([1.0, 0.0, ("length", 20.0, 1.0, ("hex", 0.5, 0.0, 1.0))])
+    rows = spark.createDataFrame([(16.0, 0.0), (24.0, 0.0), (24.0, 1.0)], "length double, hex double")
+    scores = [r[0] for r in rows.select(forest.score({"length": F.col("length"), "hex": F.col("hex")})).collect()]
+    assert [round(3 * s) for s in scores] == [2, 1, 2]
+
+
+def test_fit_does_not_depend_on_order(spark):
+    rows = corpus()
+    assert secret_scan.fit_by_rule(docs(spark, rows)).trees == secret_scan.fit_by_rule(docs(spark, rows[::-1]).repartition(5)).trees
+
+
+@pytest.mark.parametrize("labels, score", [([], 0.0), ([0, 0], 0.0), ([1, 1], 1.0), ([None], 0.0)])
+def test_labels_of_one_kind(spark, labels, score):
+    table = docs(spark, [(i, f"x {KEY} y") for i in range(max(1, len(labels)))])
+    rows = secret_scan.findings(table).withColumn("label", F.element_at(F.array(*[F.lit(x).cast("int") for x in labels or [None]]), F.col("doc_id").cast("int") + 1))
+    forest = secret_scan.fit(rows)
+    assert {r["score"] for r in secret_scan.scan(table, forest).collect()} == {score}
+
+
+def test_odd_rows(spark):
+    long = "word " * 100_000 + f'secret = "{KEY}"'
+    rows = [(1, None), (2, ""), (None, f'token = "{KEY}"'), (3, long), (3, long), (4, KEY * 2000), (5, f'password="{KEY}"')]
+    forest = secret_scan.fit_by_rule(docs(spark, corpus()))
+    found = secret_scan.scan(docs(spark, rows), forest).collect()
+    assert sorted(repr(r["doc_id"]) for r in found) == ["3", "3", "4", "5", "None"]
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask(docs(spark, rows), forest).collect()}
+    assert masked[1] is None and masked[2] == "" and masked[None] == f'token = "{secret_scan.MASK}"'
+    assert KEY not in masked[3] and len(masked) == 6
+
+
+def test_empty_table(spark):
+    forest = secret_scan.fit_by_rule(docs(spark, []))
+    assert secret_scan.scan(docs(spark, []), forest).collect() == []
+    assert secret_scan.mask(docs(spark, []), forest).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_held_out_findings(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = secret_scan.findings(table).withColumn("label", secret_scan.rule_label(F.col("s")))
+    forest = secret_scan.fit_by_rule(table)
+    score = forest.score({k: F.col(k) for k in secret_scan.FEATURES})
+    held = rows.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("label", (score >= 0.5).alias("said")).collect()
+    assert sum(r["label"] for r in held) > 3
+    assert all(bool(r["label"]) == r["said"] for r in held)
