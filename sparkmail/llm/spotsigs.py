@@ -30,7 +30,7 @@ _SPACED = r"[^\p{L}\p{N}]+"
 
 
 def signatures(text: Column, chain: int = CHAIN) -> list[tuple[str, Column]]:
-    """Steps, as (name, expression), that end in `sigs`: the sorted distinct hashes of the signatures of `text`.
+    """Steps, as (name, expression), that end in `_sigs`: the sorted distinct hashes of the signatures of `text`.
 
     An anchor at place i, the k-th of the text, has i - k content words before it, which is where its chain starts. A text
     without a whole chain has one signature, the hash of all its words, so that equal texts are alike and others are not.
@@ -48,7 +48,7 @@ def signatures(text: Column, chain: int = CHAIN) -> list[tuple[str, Column]]:
         ("_spots", places),
         ("_content", F.filter(word, lambda w: ~is_anchor(w))),
         ("_found", found),
-        ("sigs", F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.xxhash64(F.lit("whole"), word)))),
+        ("_sigs", F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.xxhash64(F.lit("whole"), word)))),
     ]
 
 
@@ -57,7 +57,7 @@ def with_signatures(df: DataFrame, text: Column, name: str = "sigs", chain: int
     before = df.columns
     for step, expression in signatures(text, chain):
         df = df.withColumn(step, expression)
-    return df.select(*before, F.col("sigs").alias(name))
+    return df.select(*before, F.col("_sigs").alias(name))
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -1,5 +1,6 @@
 """SpotSigs against plain sets."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -19,9 +20,10 @@ def docs(spark, rows):
 def plain(text, chain=spotsigs.CHAIN):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
-    found = set()
+    found, places = set(), [i for i, _ in content]
     for i, w in enumerate(words):
-        after = [c for k, c in content if k > i][:chain]
+        at = bisect.bisect_right(places, i)
+        after = [c for _, c in content[at:at + chain]]
         if w in spotsigs.ANCHORS and len(after) == chain:
             found.add((w, *after))
     return found or {("whole", *words)}
