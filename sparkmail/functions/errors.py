@@ -8,14 +8,16 @@ RETRY_REASONS = ["rateLimitExceeded", "userRateLimitExceeded", "backendError"]
 MAX_RETRIES = 3
 MAX_BACKOFF_DOUBLINGS = 5
 
-ENVELOPE_SCHEMA = "error struct<code: bigint, status: string, errors: array<struct<reason: string>>>"
+ENVELOPE_SCHEMA = "error struct<code: bigint, status: string, errors: array<string>>"
 
 
 def _retryable(error: Column) -> Column:
     """An error envelope that asks for another try."""
     by_code = (error["code"] == 429) | error["code"].between(500, 599)
     by_status = error["status"].isin(RETRY_STATUSES)
-    by_reason = F.exists(error["errors"], lambda e: F.coalesce(e["reason"].isin(RETRY_REASONS), F.lit(False)))
+    # Elements are read one by one: an odd one hides no other.
+    by_reason = F.exists(error["errors"], lambda e: F.coalesce(
+        F.get_json_object(e, "$.reason").isin(RETRY_REASONS), F.lit(False)))
     no = F.lit(False)
     return F.coalesce(by_code, no) | F.coalesce(by_status, no) | F.coalesce(by_reason, no)
 
@@ -29,7 +31,8 @@ def with_transient(failures: DataFrame) -> DataFrame:
     """
     parsed = failures.withColumns({
         "__error": F.from_json("body", ENVELOPE_SCHEMA)["error"],
-        "__json": F.try_parse_json("body").isNotNull(),
+        # A body with a repeated key is JSON too.
+        "__json": F.get_json_object("body", "$").isNotNull(),
     })
     status = F.col("http_status")
     return parsed.withColumn(

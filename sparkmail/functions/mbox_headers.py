@@ -4,7 +4,7 @@ A record is the text between two separators, as the `lineSep="\\nFrom "` scan
 delivers it: the rest of the separator line, the header lines, a blank line
 and the body. The body is cut off first, so the work per message depends on
 its headers only. Headers are handled as Latin-1 text, where one character is
-one byte, so byte limits are exact; values are decoded as UTF-8 at the end.
+one byte; values are decoded as UTF-8 at the end.
 """
 
 from collections.abc import Callable
@@ -13,10 +13,6 @@ from pyspark.sql import Column, functions as F
 
 from sparkmail.functions.text import trim
 
-# Longest kept line and longest unfolded header value, in bytes.
-MAX_LINE_BYTES = 8192
-MAX_VALUE_BYTES = 8192
-
 # Kept headers and the field each one fills.
 KEPT_HEADERS = {"message-id": "message_id", "from": "from_", "return-path": "return_path"}
 
@@ -35,10 +31,6 @@ def _decode(latin1: Column) -> Column:
     return F.make_valid_utf8(F.encode(latin1, "ISO-8859-1").cast("string"))
 
 
-def _cap(line: Column) -> Column:
-    return F.substring(line, 1, MAX_LINE_BYTES)
-
-
 def header_section(record: Column) -> Column:
     """The separator line, then one element per header with its folds."""
     head = F.substring_index(F.substring_index(record, "\n\n", 1), "\n\r\n", 1)
@@ -56,29 +48,18 @@ def _is_header(header: Column, *names: str) -> Column:
 def _is_broken(header: Column) -> Column:
     """A line without a name and a colon. Only the last line can be blank,
     when the record ends there."""
-    first_line = _cap(F.substring_index(header, _FOLD, 1))
+    first_line = F.substring_index(header, _FOLD, 1)
     return ~header.isin("", "\r") & (F.instr(first_line, ":") <= 1)
 
 
 def _unfold(header: Column) -> Column:
-    """Value of a header: its trimmed lines joined by spaces, as long as the
-    value stays below the limit."""
+    """Value of a header: its trimmed lines joined by spaces."""
     def text(line: Column, i: Column) -> Column:
-        kept = _cap(line)
-        value = F.when(i == 0, F.substring(kept, F.instr(kept, ":") + 1, F.length(kept))).otherwise(kept)
+        value = F.when(i == 0, F.substring(line, F.instr(line, ":") + 1, F.length(line))).otherwise(line)
         return trim(_decode(value))
 
-    def append(value: Column, part: Column) -> Column:
-        fits = F.octet_length(value) + F.octet_length(part) < MAX_VALUE_BYTES
-        return (
-            F.when(value.isNull(), part)
-            .when((part == "") | ~fits, value)
-            .when(value == "", part)
-            .otherwise(F.concat(value, F.lit(" "), part))
-        )
-
     lines = F.transform(F.split(header, _FOLD), text)
-    return F.aggregate(lines, F.lit(None).cast("string"), append)
+    return F.array_join(F.filter(lines, lambda part: part != ""), " ")
 
 
 def _first_value(headers: Column, name: str) -> Column:

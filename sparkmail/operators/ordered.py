@@ -74,8 +74,9 @@ def carry_last(
     )
 
 
-def with_position(df: DataFrame, *order: Column) -> DataFrame:
-    """Add `position`, the 0-based place of each row in the global order.
+def with_position(df: DataFrame, *order: Column, total: str | None = None) -> DataFrame:
+    """Add `position`, the 0-based place of each row in the global order, and
+    the number of all rows as column `total`, if named.
 
     One range-partitioned sort, kept by a checkpoint so that the places are
     computed from the same partitions the counts came from. `order` must be
@@ -91,7 +92,11 @@ def with_position(df: DataFrame, *order: Column) -> DataFrame:
     # One row per partition of the sort.
     counts = ordered.groupBy("__part").agg(F.count("*").alias("n"))
     earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__offset"))
+    everything = W.orderBy("__part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    offsets = counts.select(
+        "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__offset"),
+        *([F.sum("n").over(everything).alias(total)] if total else []),
+    )
     return (
         ordered.join(F.broadcast(offsets), "__part")
         .withColumn("position", F.col("__offset") + F.col("__place"))
@@ -99,14 +104,20 @@ def with_position(df: DataFrame, *order: Column) -> DataFrame:
     )
 
 
+# Parts of a key that are trimmed on their own before the key is ranked.
+RANK_PARTS = 64
+
+
 def newest_per_key(df: DataFrame, key: str, order: str, limit: int) -> DataFrame:
-    """The `limit` last rows of each key.
+    """The `limit` last rows of each key; `order` is unique within a key.
 
-    Spark trims each key to `limit` rows before the shuffle, so a hot key
-    never travels whole.
+    Only (key, order) is ranked, first within parts of a key and then among
+    what the parts keep, so a hot key sends few and small rows to one task.
+    The other columns are fetched for the rows that stay.
     """
-    newest = W.partitionBy(key).orderBy(F.col(order).desc())
-    return (
-        df.withColumn("__rank", F.row_number().over(newest))
-        .filter(F.col("__rank") <= limit).drop("__rank")
-    )
+    def newest(rows: DataFrame, *part: str) -> DataFrame:
+        window = W.partitionBy(key, *part).orderBy(F.col(order).desc())
+        return rows.withColumn("__rank", F.row_number().over(window)).filter(F.col("__rank") <= limit).drop("__rank")
+
+    parts = df.select(key, order, F.pmod(F.xxhash64(order), F.lit(RANK_PARTS)).alias("__part"))
+    return df.join(newest(newest(parts, "__part").drop("__part")), [key, order], "left_semi")

@@ -21,6 +21,10 @@ def _rates(samples: DataFrame, key: str) -> DataFrame:
     most of the samples still spreads over many tasks. Only the first sample
     after a gap looks further back; that one travels with the tile. A sample
     of another run ends the window.
+
+    The start of a sample's window is a row of its own, a probe: going back in
+    time, the sample passed last before the probe is the oldest of the window.
+    So every window only grows by one row at a time, however dense the samples.
     """
     sample = F.struct("t_us", "messages_seen", "bytes_done", "run_id")
     carry = tile_carry(samples, [key], "t_us", sample, WINDOW_US).withColumnRenamed("tile", "frame")
@@ -32,15 +36,21 @@ def _rates(samples: DataFrame, key: str) -> DataFrame:
     in_order = W.partitionBy(key, "frame").orderBy("t_us")
     same_run = lambda c: F.col("run_id").eqNullSafe(F.col(f"{c}.run_id")) & F.col(c).isNotNull()
     rows = tiled.withColumn("before", F.lag(sample).over(in_order))
-    stretch = None
-    if key != "run_id":
-        stretch = "stretch"
-        rows = rows.withColumn(stretch, F.sum(F.when(same_run("before"), 0).otherwise(1)).over(in_order))
-    window = W.partitionBy(key, "frame", *([stretch] if stretch else [])).orderBy("t_us") \
-        .rangeBetween(-WINDOW_US, 0)
+    # The first sample since the run changed; a run's own samples never do.
+    begun = F.last(F.when(~same_run("before"), sample), ignorenulls=True).over(
+        in_order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("begun", begun if key != "run_id" else F.lit(None).cast(samples.select(sample).schema[0].dataType))
+    mine = F.col("frame") == F.col("own")
+    back = F.struct(F.lit(True).alias("probe"), (F.col("t_us") - WINDOW_US).alias("at"))
+    here = F.struct(F.lit(False).alias("probe"), F.col("t_us").alias("at"))
+    both = rows.withColumn("row", F.explode(F.array_compact(F.array(here, F.when(mine, back))))) \
+        .select(*rows.columns, "row.probe", "row.at")
+    backwards = W.partitionBy(key, "frame").orderBy(F.desc("at"), "probe").rowsBetween(W.unboundedPreceding, 0)
+    inside = F.last(F.when(~F.col("probe"), sample), ignorenulls=True).over(backwards)
     framed = (
-        rows.withColumn("first", F.first(sample).over(window))
-        .filter(F.col("frame") == F.col("own"))
+        both.withColumn("inside", inside)
+        .filter("probe")
+        .withColumn("first", F.when(F.col("begun.t_us") > F.col("inside.t_us"), F.col("begun")).otherwise(F.col("inside")))
         .join(carry, [key, "frame"])
         .withColumn("previous", F.coalesce("before", "carry"))
         .withColumn("oldest", F.when(

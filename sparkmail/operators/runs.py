@@ -10,7 +10,7 @@ from sparkmail.schemas import PUBLIC_RUN_COLUMNS, RUN_COLUMNS, TERMINAL_STATES
 
 # History limits and log retention.
 DEFAULT_HISTORY, MAX_HISTORY = 20, 100
-LOG_LINES, LOG_LINE_BYTES, LOG_TAIL = 200, 4096, 5
+LOG_LINES, LOG_TAIL = 200, 5
 
 
 def latest_runs(events: DataFrame) -> DataFrame:
@@ -93,9 +93,9 @@ def scan_resume_token(runs: DataFrame, run_id: int) -> str | None:
     """Saved page token of a scan run; None means scan from the beginning."""
     run = run_by_id(runs, run_id).select("source", "resume_token").first()
     if run is None:
-        raise ValueError(f"no ingest run {run_id} to resume")
+        raise ValueError(f"unknown run: {run_id}")
     if run["source"] != "gmail_api":
-        raise ValueError(f"run {run_id} is a {run['source']} run, not an API scan")
+        raise ValueError(f"only API scans resume by page; run {run_id} came from {run['source']}")
     return run["resume_token"] or None
 
 
@@ -135,25 +135,28 @@ def _cut_bytes(line: Column, limit: int) -> Column:
     )
 
 
-def kept_log(lines: DataFrame) -> DataFrame:
-    """The newest 200 lines of each run (run_id, line_no, line), 4096 bytes each."""
-    return newest_per_key(lines, "run_id", "line_no", LOG_LINES).withColumn(
-        "line", _cut_bytes(F.col("line"), LOG_LINE_BYTES)
-    )
+def _newest_lines(lines: DataFrame, count: int, line_bytes: int | None) -> DataFrame:
+    kept = newest_per_key(lines, "run_id", "line_no", count)
+    return kept if line_bytes is None else kept.withColumn("line", _cut_bytes(F.col("line"), line_bytes))
+
 
+def kept_log(lines: DataFrame, line_bytes: int | None = None) -> DataFrame:
+    """The newest 200 lines of each run (run_id, line_no, line), whole unless
+    `line_bytes` says where to cut them."""
+    return _newest_lines(lines, LOG_LINES, line_bytes)
 
-def log_tail(lines: DataFrame) -> DataFrame:
+
+def log_tail(lines: DataFrame, line_bytes: int | None = None) -> DataFrame:
     """run_id → its last five lines in order, joined with ' | '."""
-    last = newest_per_key(lines, "run_id", "line_no", LOG_TAIL).withColumn(
-        "line", _cut_bytes(F.col("line"), LOG_LINE_BYTES)
-    )
+    last = _newest_lines(lines, LOG_TAIL, line_bytes)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return last.groupBy("run_id").agg(F.concat_ws(" | ", ordered["line"]).alias("tail"))
 
 
 def history_refreshes(observations: DataFrame, viewer: str, tile: int) -> DataFrame:
     """Observations at which a viewer must reload the run history: the pair
-    (active run and state, last run and state) differs from the one before."""
+    (active run and state, last run and state) differs from the one before.
+    `tile` is the span of time whose observations one task orders."""
     def key(run_id, state):
         return F.coalesce(F.concat(F.col(run_id).cast("string"), F.lit(":"), F.col(state)), F.lit("-"))
 

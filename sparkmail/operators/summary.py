@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkmail.functions.identity import embedded_message_id, is_mid_key
 from sparkmail.functions.text import trim
@@ -14,10 +14,6 @@ PAGE_SIZES, DEFAULT_PAGE_SIZE = (25, 50, 100, 500), 50
 REPAIR_BATCH = 500
 RESERVED_SUFFIXES = (".example", "example.com", "example.net", "example.org")
 
-# Pages that end within this many rows come from one top-n; deeper pages
-# from a distributed ranking.
-TOP_N_ROWS = 10_000
-
 
 def by_rank() -> list[Column]:
     """Most mails first; equal counts by address."""
@@ -28,12 +24,20 @@ def total_messages(seen: DataFrame) -> DataFrame:
     return seen.agg(F.countDistinct("mail_id").alias("total_messages"))
 
 
+def stored_count(count: Column) -> Column:
+    """A stored counter as a number: the integer it begins with, else 0; one
+    that is too long becomes the largest or smallest."""
+    digits = F.regexp_extract(count.cast("string"), r"^[\t\n\x0b\f\r ]*([+-]?[0-9]+)", 1)
+    limit = F.when(F.startswith(digits, F.lit("-")), F.lit(-(2**63)).cast("long")).otherwise(F.lit(2**63 - 1).cast("long"))
+    return F.when(digits == "", F.lit(0).cast("long")).otherwise(F.coalesce(digits.try_cast("long"), limit))
+
+
 def summary_senders(senders: DataFrame) -> DataFrame:
     """One row per sender; NULL senders merge with ''."""
     return senders.groupBy(
         F.coalesce(F.col("sender").cast("string"), F.lit("")).alias("sender")
     ).agg(
-        F.coalesce(F.sum(F.expr("try_cast(mails_sent AS BIGINT)")), F.lit(0).cast("long")).alias("mails_sent")
+        F.sum(stored_count(F.col("mails_sent"))).alias("mails_sent")
     )
 
 
@@ -67,28 +71,26 @@ def search(ranked: DataFrame, query: str) -> DataFrame:
     return ranked.filter((wanted == "") | F.contains(F.lower("sender"), wanted))
 
 
+def hidden_count(ranked: DataFrame, hidden: DataFrame) -> Column:
+    """How many ranked senders the list leaves out, for page()."""
+    return ranked.join(hidden.select("sender").distinct(), "sender", "left_semi").agg(F.count("*").alias("n")).scalar()
+
+
 def page(
-    ranked: DataFrame, page: int = 1, size: int = DEFAULT_PAGE_SIZE, hidden_count: int = 0,
+    ranked: DataFrame, page: int = 1, size: int = DEFAULT_PAGE_SIZE, hidden: Column | int = 0,
 ) -> DataFrame:
-    """Rows of one page with its number, page count and listed senders.
+    """Rows of one page with its number, page count, listed and hidden senders.
 
-    The page number is moved into range; other sizes fall back to 50.
+    The page number is moved into range; other sizes fall back to 50. Places
+    and the number of listed senders come from one sort.
     """
     size = size if size in PAGE_SIZES else DEFAULT_PAGE_SIZE
-    wanted = max(1, page)
-    listed = ranked.agg(F.count("*").alias("n")).scalar()
-    pages = F.greatest(F.lit(1).cast("long"), F.ceil(listed / size))
-    number = F.least(F.lit(wanted).cast("long"), pages)
-    if wanted * size <= TOP_N_ROWS:
-        # Holds the whole wanted page, or every row when there are fewer.
-        top = ranked.orderBy(*by_rank()).limit(wanted * size)
-        placed = top.withColumn("position", F.row_number().over(W.orderBy(*by_rank())) - 1)
-    else:
-        placed = with_position(ranked, *by_rank())
-    return placed.withColumns({"page": number, "pages": pages, "listed": listed}).filter(
+    wanted = F.lit(max(1, page)).cast("long")
+    placed = with_position(ranked, *by_rank(), total="listed").withColumn("pages", F.ceil(F.col("listed") / size))
+    return placed.withColumn("page", F.least(wanted, "pages")).filter(
         F.floor(F.col("position") / size) + 1 == F.col("page")
     ).select(
-        "page", "pages", "listed", F.lit(hidden_count).cast("long").alias("hidden"),
+        "page", "pages", "listed", (F.lit(hidden) if isinstance(hidden, int) else hidden).cast("long").alias("hidden"),
         (F.col("position") + 1).cast("long").alias("rank"), "sender", "mails_sent",
     )
 
@@ -123,7 +125,7 @@ def quality(ranked: DataFrame, expected_total: Column, minimum_total: int, expec
     reserved = F.lit(False)
     for suffix in RESERVED_SUFFIXES:
         reserved = reserved | F.endswith(domain, F.lit(suffix))
-    per_sender = ranked.groupBy("sender").agg(
+    per_sender = ranked.groupBy(F.coalesce("sender", F.lit("")).alias("sender")).agg(
         F.count("*").alias("copies"), F.sum("mails_sent").alias("mails_sent")
     )
     facts = per_sender.agg(

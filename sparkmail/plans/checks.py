@@ -9,7 +9,7 @@ from __future__ import annotations
 from sparkmail.functions.text import UNICODE_WHITESPACE
 from sparkmail.plans.views import NOW_UNIX
 
-_SPACES = " || ".join(f"chr({ord(c)})" for c in UNICODE_WHITESPACE)
+_SPACES = " || ".join(f"chr({ord(c)})" for c in UNICODE_WHITESPACE)  # most of them cannot be seen in a literal
 _WORD = r"[\p{L}\p{M}\p{N}\p{Pc}"
 # Addresses as one expression; RE2 needs no care with repeated groups.
 _ADDRESS = rf"{_WORD}\-.]+@(?:{_WORD}-]+\.)+{_WORD}-]{{2,4}}"
@@ -92,8 +92,9 @@ msgs AS (
 _TURNS = """
 turns AS (
   SELECT conv_id, turn, role || '.' || conv_id || '@mail.example.com' AS address, role,
-         conv_id % 10 = 7 AND turn = 1 AS bad,
-         CASE WHEN conv_id % 9 <> 0 THEN '<' || conv_id || '.' || turn || '@example.com>' END AS message_id
+         conv_id % 10 = 7 AND turn = 1 AS bad, conv_id % 3 = 0 AND turn = 0 AS junk,
+         CASE WHEN conv_id % 5 = 1 THEN repeat('y', 9000) ELSE '' END AS pad,
+         CASE WHEN conv_id % 9 <> 0 THEN '<' || conv_id || '.' || turn || pad || '@example.com>' END AS message_id
   FROM conversations)
 """
 
@@ -184,7 +185,7 @@ def _trim(x: str) -> str:
 def _normalized(raw: str) -> str:
     t = _trim(raw)
     return (
-        f"nullif({_trim(f'CASE WHEN {t} LIKE chr(60) || chr(37) || chr(62) THEN substr({t}, 2, length({t}) - 2) ELSE {t} END')}, '')"
+        f"nullif({_trim(f"CASE WHEN {t} LIKE '<%>' THEN substr({t}, 2, length({t}) - 2) ELSE {t} END")}, '')"
     )
 
 
@@ -204,6 +205,9 @@ def oracle_sql() -> dict[str, str]:
 
     # sources
     sql["scan_sender_counts"] = f"WITH {_DOCS} SELECT sender, count(*) AS n FROM doc_senders GROUP BY 1"
+    sql["scan_refetched"] = f"""
+        WITH {_DOCS} SELECT CASE WHEN event_id % 4 <> 3 THEN sender ELSE 'late' || (event_id % 5) || '@example.net' END AS sender,
+               count(*) AS n FROM doc_senders GROUP BY 1"""
     sql["metadata_fetch"] = """
         SELECT 'g' || event_id AS mail_id,
                CAST(2 + (event_id % 11 <> 0)::INT + (event_id % 10 <> 0)::INT AS BIGINT) AS kept_headers FROM events"""
@@ -217,7 +221,18 @@ def oracle_sql() -> dict[str, str]:
         WITH {_MBOX} SELECT count(*) FILTER (NOT broken) AS messages_seen,
                count(*) FILTER (broken OR idless) AS skipped FROM msgs"""
     sql["mbox_fingerprint"] = f"""
-        WITH {_MBOX} SELECT TRUE AS well_formed, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM msgs"""
+        WITH {_MBOX}, placed AS (
+          SELECT doc_id // 500 AS bundle, value,
+                 coalesce(sum(strlen(value)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+                 lead(doc_id) OVER w IS NULL AS last
+          FROM msgs WINDOW w AS (PARTITION BY doc_id // 500 ORDER BY doc_id)),
+        records AS (
+          SELECT bundle, start, strlen(value) AS bytes,
+                 substr(CASE WHEN last THEN value ELSE substr(value, 1, length(value) - 1) END,
+                        CASE WHEN start = 0 THEN 1 ELSE 6 END) AS text FROM placed)
+        SELECT CAST(sum(bytes) AS BIGINT) AS bytes,
+               lower(to_hex(bit_xor(CAST('0x' || substr(md5(start || ':' || md5(text)), 1, 15) AS BIGINT)))) AS hash
+        FROM records GROUP BY bundle"""
     sql["stream_ingest"] = f"""
         WITH {_BASE}, {_DOCS},
         counted AS (
@@ -237,8 +252,8 @@ def oracle_sql() -> dict[str, str]:
             WHEN 1 THEN 'user' || user_id || '@mail' || (user_id % 7) || '.example.com'
             WHEN 2 THEN '<deals-' || user_id || '@shop.example>' WHEN 3 THEN 'user' || user_id || '@example.museum'
             WHEN 4 THEN 'Jane <a+' || user_id || '@x.com>' WHEN 5 THEN 'Foo ann' || user_id || '@x.com <a+b@y.com>'
-            WHEN 6 THEN 'not an email ' || user_id WHEN 7 THEN 'Weird Sender <no-at-sign-' || user_id || '>'
-            WHEN 8 THEN '' WHEN 9 THEN 'First.Last-' || user_id || '@mail-server.example.org'
+            WHEN 6 THEN 'not an email ' || user_id WHEN 7 THEN 'Box Office <counter ' || user_id || '>'
+            WHEN 8 THEN '' WHEN 9 THEN 'Second.Third-' || user_id || '@post-room.example.org'
             WHEN 10 THEN 'Üser <üser' || user_id || '@exämple.org>'
             ELSE '<a' || user_id || '@b.c.d.example.com.x> tail' || chr(10) || 'second line' END AS header
           FROM events
@@ -252,13 +267,13 @@ def oracle_sql() -> dict[str, str]:
     sql["normalize_message_id"] = f"WITH {_RAW_IDS} SELECT seq, {_normalized('raw')} AS rfc_message_id FROM raw_ids"
     sql["mbox_headers"] = f"""
         WITH {_TURNS} SELECT conv_id, turn, message_id,
-               CASE turn % 4 WHEN 0 THEN 'From: "'[7:] || role || '" <' || address || '>'
+               CASE turn % 4 WHEN 0 THEN '"' || role || pad || '" <' || address || '>'
                  WHEN 1 THEN role || ' of ' || conv_id || ' <' || address || '>' WHEN 3 THEN address END AS from_,
                CASE turn % 4 WHEN 2 THEN '<bounce.' || conv_id || '@example.net>' END AS return_path
         FROM turns WHERE NOT bad"""
     sql["mbox_skipped"] = f"""
-        WITH {_TURNS} SELECT count(*) FILTER (NOT bad) AS messages_seen,
-               count(*) FILTER (bad OR message_id IS NULL) AS skipped FROM turns"""
+        WITH {_TURNS} SELECT count(*) FILTER (NOT bad AND NOT junk) AS messages_seen,
+               count(*) FILTER (junk OR bad OR message_id IS NULL) AS skipped FROM turns"""
     sql["populate_mid_rows"] = f"""
         WITH {_RAW_IDS}, stored AS (
           SELECT CASE seq % 4 WHEN 0 THEN 'g' || seq WHEN 1 THEN 'MID:' || coalesce(raw, '')
@@ -317,9 +332,26 @@ def oracle_sql() -> dict[str, str]:
 
     # summary
     sql["mixed_sources"] = f"""
-        WITH {_BASE} SELECT TRUE AS mixed_unrepaired, count(*) AS unrepaired_count FROM scan"""
-    sql["readiness"] = "SELECT CASE WHEN count(*) > 0 THEN 'ready' ELSE 'empty' END AS db, FALSE AS onboard FROM events"
-    sql["total_messages"] = f"WITH {_BASE} SELECT count(*) AS total_messages FROM scan"
+        WITH {_HISTORY}, rows AS (
+          SELECT 'unrepaired' AS store, mail_id, rfc_message_id FROM hist_seen
+          UNION ALL SELECT 'repaired', mail_id, rfc_message_id FROM repaired UNION ALL SELECT 'repaired', mail_id, rfc FROM import
+          UNION ALL SELECT 'scanned', mail_id, NULL FROM scan),
+        facts AS (
+          SELECT s.store, count(*) FILTER (mail_id LIKE 'mid:%') AS imported, count(*) FILTER (mail_id LIKE 'g%') AS bare,
+                 count(*) FILTER (mail_id LIKE 'g%' AND rfc_message_id IS NULL) AS n
+          FROM (VALUES ('unrepaired'), ('repaired'), ('scanned'), ('empty')) s(store) LEFT JOIN rows USING (store) GROUP BY 1)
+        SELECT store, imported > 0 AND bare > 0 AND n > 0 AS mixed_unrepaired,
+               CASE WHEN imported > 0 AND bare > 0 THEN n ELSE 0 END AS unrepaired_count FROM facts"""
+    sql["readiness"] = f"""
+        WITH {_HISTORY}, {_RUNS},
+        open AS (SELECT count(*) AS n FROM runs WHERE state NOT IN ('done', 'failed', 'cancelled', 'abandoned')),
+        stores AS (SELECT 'unrepaired' AS name, (SELECT count(*) FROM hist_seen) AS n UNION ALL SELECT 'empty', 0),
+        times AS (SELECT 'busy' AS name, (SELECT n FROM open) AS open UNION ALL SELECT 'idle', 0 UNION ALL SELECT 'new', 0)
+        SELECT s.name || ', ' || t.name AS store, CASE WHEN s.n > 0 THEN 'ready' ELSE 'empty' END AS db,
+               s.n = 0 AND t.open = 0 AS onboard FROM stores s, times t"""
+    sql["total_messages"] = f"""
+        WITH {_BASE} SELECT count(DISTINCT mail_id) AS total_messages
+        FROM (SELECT mail_id FROM replay UNION ALL SELECT mail_id FROM import)"""
     sql["summary_senders"] = f"WITH {_RANKED} SELECT * FROM ranked"
     sql["summary_visible"] = f"""
         WITH {_AFTER_BOTH}, {_HIDDEN} SELECT * FROM after_both WHERE sender NOT IN (SELECT sender FROM hidden)"""
@@ -333,17 +365,21 @@ def oracle_sql() -> dict[str, str]:
     sql["summary_document"] = f"""
         WITH {_BASE}, {_RANKED}
         SELECT 0 AS part, CAST(NULL AS VARCHAR) AS sender, CAST(NULL AS BIGINT) AS mails_sent,
-               '{{"total_messages":' || count(*) || ',"generated_at_unix":{NOW_UNIX}}}' AS line FROM scan
+               '{{"total_messages":' || count(*) || ',"generated_at_unix":{NOW_UNIX}}}' AS line
+        FROM (SELECT mail_id FROM scan UNION SELECT mail_id FROM import)
         UNION ALL SELECT 1, sender, mails_sent,
                '{{"sender":"' || sender || '","mails_sent":' || mails_sent || '}}' FROM ranked"""
     sql["summary_written"] = f"SELECT line FROM ({sql['summary_document']})"
     sql["summary_quality"] = f"""
-        WITH {_RANKED}, listed AS (SELECT * FROM raw WHERE contains(sender, '@')),
-        copies AS (SELECT sender FROM listed GROUP BY 1 HAVING count(*) > 1)
-        SELECT CAST(sum(mails_sent) AS BIGINT) AS total, count(*) AS sender_rows,
-               (SELECT count(*) FROM copies) AS duplicated_senders, CAST(0 AS BIGINT) AS outside_reserved_domains,
-               TRUE AS total_conserved, sum(mails_sent) >= 84000 AS total_large_enough, TRUE AS sender_count_ok
-        FROM listed"""
+        WITH {_RANKED}, senders AS (
+          SELECT coalesce(sender, '') AS sender, count(*) AS copies, sum(mails_sent) AS n FROM raw GROUP BY 1),
+        spec AS (SELECT sum(c_custkey % 97) AS total, count(*) AS senders FROM customer)
+        SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(copies) AS BIGINT) AS sender_rows,
+               count(*) FILTER (copies > 1) AS duplicated_senders,
+               count(*) FILTER (sender NOT LIKE '%@%.example') AS outside_reserved_domains,
+               sum(n) = (SELECT total FROM spec) AS total_conserved, sum(n) >= 84000 AS total_large_enough,
+               sum(copies) = (SELECT senders FROM spec) AS sender_count_ok
+        FROM senders"""
     sql["category_budget"] = """
         SELECT c_mktsegment AS key, count(*) FILTER (c_acctbal <= 9000) AS tail_count,
                CAST(coalesce(sum(c_custkey) FILTER (c_acctbal <= 9000), 0) AS BIGINT) AS tail_budget
@@ -356,10 +392,12 @@ def oracle_sql() -> dict[str, str]:
                      OR (o.mails_sent = s.mails_sent AND o.sender <= s.sender)) AS rank FROM shown s)
         SELECT least({page}, pages)::BIGINT AS page, pages, listed, {hidden}::BIGINT AS hidden, rank, sender, mails_sent
         FROM placed, numbers WHERE (rank - 1) // {size} + 1 = least({page}, pages)"""
+    out_of_sight = "regexp_matches(sender, '^C[0-9]*[37]@')"
     sql["sender_page"] = f"""
-        WITH {_RANKED}, {_HIDDEN}, shown AS (
-          SELECT * FROM ranked WHERE sender NOT IN (SELECT sender FROM hidden) AND lower(sender) LIKE '%c1%'),
-        {page.format(size=25, page=3, hidden=7)}"""
+        WITH {_RANKED}, shown AS (SELECT * FROM ranked WHERE NOT {out_of_sight} AND lower(sender) LIKE '%c1%'),
+        {page.format(size=25, page=3, hidden=f"(SELECT count(*) FROM ranked WHERE {out_of_sight})")}"""
+    sql["sender_list"] = f"""
+        WITH {_RANKED} SELECT 'on' AS store, * FROM ranked UNION ALL SELECT 'off', * FROM ranked WHERE NOT {out_of_sight}"""
     sql["sender_last_page"] = f"""
         WITH {_RANKED}, shown AS (SELECT * FROM ranked), {page.format(size=100, page=1000000, hidden=0)}"""
 
@@ -394,6 +432,10 @@ def oracle_sql() -> dict[str, str]:
     sql["run_active_last"] = f"""
         WITH {_RUNS} SELECT * FROM runs WHERE run_id = (SELECT max(run_id) FROM runs WHERE {terminal})
            OR run_id = (SELECT max(run_id) FROM runs WHERE NOT {terminal})"""
+    sql["run_lookup"] = f"WITH {_RUNS} SELECT * FROM runs WHERE run_id = (SELECT max(o_orderkey) FROM orders)"
+    sql["history_document"] = f"""
+        WITH {_RUNS} SELECT CAST({NOW_UNIX} AS BIGINT) AS now_unix, run_id, source, state, messages_seen FROM runs
+        ORDER BY run_id DESC LIMIT 7"""
     sql["run_history"] = f"WITH {_RUNS} SELECT run_id, state, source FROM runs ORDER BY run_id DESC LIMIT 100"
     sql["runs_public_projection"] = f"WITH {_RUNS} SELECT * FROM runs"
     sql["runs_abandoned"] = f"""
@@ -455,14 +497,10 @@ def oracle_sql() -> dict[str, str]:
         SELECT run_id, attempt_no, retries, CAST(power(2, least(retries - 1, 5)) AS BIGINT) AS wait_s,
                event_type = 'error' OR retries > 3 AS gives_up FROM r"""
     kept = """
-        ranked AS (SELECT doc_id % 3 AS run_id, doc_id AS line_no, text, hex(encode(text)) AS h,
-                          row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id DESC) AS rn FROM documents),
-        cut AS (SELECT *, CASE WHEN strlen(text) <= 4096 THEN strlen(text)
-                  ELSE (SELECT max(c) FROM range(4093, 4097) t(c)
-                        WHERE substr(h, CAST(2 * c + 1 AS INT), 1) NOT IN ('8', '9', 'A', 'B')) END AS n FROM ranked),
-        lines AS (SELECT run_id, line_no, rn, n, decode(unhex(substr(h, 1, CAST(2 * n AS INT)))) AS line FROM cut)"""
+        lines AS (SELECT doc_id % 3 AS run_id, doc_id AS line_no, text AS line,
+                         row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id DESC) AS rn FROM documents)"""
     sql["run_log"] = f"""
-        WITH {kept} SELECT run_id, line_no, CAST(n AS BIGINT) AS bytes, md5(line) AS line_md5 FROM lines WHERE rn <= 200"""
+        WITH {kept} SELECT run_id, line_no, CAST(strlen(line) AS BIGINT) AS bytes, md5(line) AS line_md5 FROM lines WHERE rn <= 200"""
     sql["run_log_tail"] = f"""
         WITH {kept} SELECT run_id, md5(string_agg(line, ' | ' ORDER BY line_no)) AS tail_md5 FROM lines WHERE rn <= 5 GROUP BY 1"""
     return sql

@@ -82,6 +82,20 @@ def scan_sender_counts(spark, sf):
     return counters.sender_counts(messages.message_fields(messages.read_messages(spark, path)))
 
 
+@query
+def scan_refetched(spark, sf):
+    """Ids that were landed again with other senders count for their first copy."""
+    path = staging_path(spark, "pages")
+    documents = v.message_documents(spark, sf)
+    number = F.substring("id", 2, 18).cast("long")
+    again = documents.select("id", F.struct(F.array(F.struct(
+        F.lit("From").alias("name"), F.concat(F.lit("late"), (number % 5).cast("string"), F.lit("@example.net")).alias("value")
+    )).alias("headers")).alias("payload"))
+    documents.filter(number % 4 != 3).write.json(f"{path}/page=1")
+    again.write.json(f"{path}/page=2")
+    return counters.sender_counts(dedupe.first_per_key(messages.message_fields(messages.read_messages(spark, path)), "mail_id"))
+
+
 @query
 def metadata_fetch(spark, sf):
     documents = messages.metadata_only(v.message_documents(spark, sf))
@@ -128,13 +142,14 @@ def mbox_import_summary(spark, sf):
 
 @query
 def mbox_fingerprint(spark, sf):
-    """Every file has one fingerprint; sizes add up to the archive."""
-    found = _archive(spark, sf)
-    prints = mbox.fingerprints(found)
-    return prints.agg(
-        (F.count_if(F.col("fingerprint").rlike("^[0-9]+:[0-9]+:[0-9a-f]+$")) == F.count("*")).alias("well_formed"),
-        F.sum(F.split("fingerprint", ":")[0].cast("long")).alias("bytes"),
-    )
+    """Size and hash of each file of an archive with known files."""
+    path = staging_path(spark, "bundles")
+    bundled = v.archive_messages(spark, sf).select(F.floor(F.col("doc_id") / 500).alias("bundle"), "doc_id", "value")
+    bundled.repartition("bundle").sortWithinPartitions("bundle", "doc_id").drop("doc_id") \
+        .write.partitionBy("bundle").text(path)
+    prints = mbox.fingerprints(mbox.with_offsets(mbox.parse_records(mbox.read_mbox(spark, path))))
+    parts = F.split("fingerprint", ":")
+    return prints.select(parts[0].cast("long").alias("bytes"), parts[2].alias("hash"))
 
 
 @query
@@ -191,6 +206,13 @@ def _headers(spark, sf):
     return parsed.select("conv_id", "turn", "h.*")
 
 
+def _framed(spark, sf):
+    # Every third record is text before the first separator of its file.
+    junk = (F.col("conv_id") % 3 == 0) & (F.col("turn") == 0)
+    return _headers(spark, sf).withColumn(
+        "status", F.when(junk, "junk").when(F.col("bad"), "malformed").otherwise("message"))
+
+
 @query
 def mbox_headers(spark, sf):
     return _headers(spark, sf).filter(~F.col("bad")).drop("bad")
@@ -198,7 +220,7 @@ def mbox_headers(spark, sf):
 
 @query
 def mbox_skipped(spark, sf):
-    return mbox.import_counts(_headers(spark, sf))
+    return mbox.import_counts(_framed(spark, sf))
 
 
 @query
@@ -305,19 +327,47 @@ def seen_after_backfill(spark, sf):
 # --- summary ----------------------------------------------------------------
 
 
+def _states(spark, sf):
+    """Stores in several states, by name."""
+    before = v.historical_seen(spark, sf)
+    return {
+        "unrepaired": before, "repaired": dedupe.apply_repairs(before, _repaired(spark, sf)),
+        "scanned": before.filter("NOT mail_id LIKE 'mid:%'"), "empty": before.limit(0),
+    }
+
+
+def _stacked(parts):
+    out = None
+    for name, df in parts.items():
+        named = df.withColumn("store", F.lit(name))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 @query
 def mixed_sources(spark, sf):
-    return summary.mixed_sources(v.historical_seen(spark, sf))
+    return _stacked({k: summary.mixed_sources(seen) for k, seen in _states(spark, sf).items()})
 
 
 @query
 def readiness(spark, sf):
-    return summary.readiness(v.historical_seen(spark, sf), v.runs(spark, sf))
+    """Empty and filled stores, with a run under way and without."""
+    runs = v.runs(spark, sf)
+    idle = runs.filter(run_ops.is_terminal(F.col("state")))
+    return _stacked({
+        f"{k}, {when}": summary.readiness(seen, some)
+        for k, seen in _states(spark, sf).items() if k in ("unrepaired", "empty")
+        for when, some in (("busy", runs), ("idle", idle), ("new", None))
+    })
+
+
+def _both_seen(spark, sf):
+    return v.replay_msgs(spark, sf).select("mail_id").unionByName(_import_batch(spark, sf).select("mail_id"))
 
 
 @query
 def total_messages(spark, sf):
-    return summary.total_messages(v.replay_msgs(spark, sf))
+    return summary.total_messages(_both_seen(spark, sf))
 
 
 @query
@@ -332,30 +382,30 @@ def summary_visible(spark, sf):
 
 @query
 def summary_tiles(spark, sf):
-    seen = v.replay_msgs(spark, sf).select("mail_id").unionByName(_import_batch(spark, sf).select("mail_id"))
-    return summary.tiles(seen, _senders_after_both(spark, sf), v.hidden_senders(spark, sf))
+    return summary.tiles(_both_seen(spark, sf), _senders_after_both(spark, sf), v.hidden_senders(spark, sf))
 
 
 @query
 def summary_document(spark, sf):
-    return summary.document_rows(v.replay_msgs(spark, sf), _ranked(spark, sf), v.NOW_UNIX)
+    return summary.document_rows(_both_seen(spark, sf), _ranked(spark, sf), v.NOW_UNIX)
 
 
 @query
 def summary_written(spark, sf):
     """The summary document through its text sink."""
     path = staging_path(spark, "summary")
-    rows = summary.document_rows(v.replay_msgs(spark, sf), _ranked(spark, sf), v.NOW_UNIX)
+    rows = summary.document_rows(_both_seen(spark, sf), _ranked(spark, sf), v.NOW_UNIX)
     summary.write_document(rows, path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query
 def summary_quality(spark, sf):
-    rows = v.raw_senders(spark, sf).select("sender", F.expr("try_cast(mails_sent AS BIGINT)").alias("mails_sent"))
-    rows = rows.filter(F.contains("sender", F.lit("@")))
-    total = rows.agg(F.sum("mails_sent")).scalar()
-    return summary.quality(rows, total, 84_000, rows.agg(F.count("*")).scalar())
+    """The old counter table against what the customers should add up to."""
+    rows = v.raw_senders(spark, sf).select("sender", summary.stored_count(F.col("mails_sent")).alias("mails_sent"))
+    spec = v.table(spark, sf, "customer").agg(
+        F.sum(F.col("c_custkey") % 97).alias("total"), F.countDistinct("c_custkey").alias("senders"))
+    return summary.quality(rows, spec.select("total").scalar(), 84_000, spec.select("senders").scalar())
 
 
 @query
@@ -382,13 +432,21 @@ def search_senders(spark, sf):
 
 @query
 def sender_page(spark, sf):
-    shown = summary.search(summary.visible(_ranked(spark, sf), v.hidden_senders(spark, sf)), "c1")
-    return summary.page(shown, page=3, size=25, hidden_count=7)
+    ranked, hidden = _ranked(spark, sf), v.hidden_customers(spark, sf)
+    shown = summary.search(summary.listed(ranked, hidden), "c1")
+    return summary.page(shown, page=3, size=25, hidden=summary.hidden_count(ranked, hidden))
+
+
+@query
+def sender_list(spark, sf):
+    """The list with the toggle for hidden senders off and on."""
+    ranked, hidden = _ranked(spark, sf), v.hidden_customers(spark, sf)
+    return _stacked({"off": summary.listed(ranked, hidden), "on": summary.listed(ranked, hidden, show_hidden=True)})
 
 
 @query
 def sender_last_page(spark, sf):
-    """A page number past the end, reached through the distributed ranking."""
+    """A page number past the end."""
     return summary.page(_ranked(spark, sf), page=1_000_000, size=100)
 
 
@@ -406,6 +464,21 @@ def run_active_last(spark, sf):
     return run_ops.public(run_ops.active_run(runs).unionByName(run_ops.last_run(runs)))
 
 
+@query
+def run_lookup(spark, sf):
+    """The run that the newest order names."""
+    newest = run_ops.max_run_id(v.runs(spark, sf)).first()[0]
+    return run_ops.public(run_ops.run_by_id(v.runs(spark, sf), newest))
+
+
+@query
+def history_document(spark, sf):
+    document = run_ops.history_document(v.runs(spark, sf), v.NOW_UNIX, 7)
+    listed = "now_unix long, runs array<struct<run_id: long, source: string, state: string, messages_seen: long>>"
+    return document.select(F.from_json("document", listed).alias("d")).select("d.now_unix", F.explode("d.runs").alias("run")) \
+        .select("now_unix", "run.*")
+
+
 @query
 def run_history(spark, sf):
     return run_ops.history(v.runs(spark, sf), "500").select("run_id", "state", "source")

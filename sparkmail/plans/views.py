@@ -92,9 +92,9 @@ def sender_headers(spark, sf) -> DataFrame:
             _text("Jane <a+", u, "@x.com>"),
             _text("Foo ann", u, "@x.com <a+b@y.com>"),
             _text("not an email ", u),
-            _text("Weird Sender <no-at-sign-", u, ">"),
+            _text("Box Office <counter ", u, ">"),
             "",
-            _text("First.Last-", u, "@mail-server.example.org"),
+            _text("Second.Third-", u, "@post-room.example.org"),
             _text("Üser <üser", u, "@exämple.org>"),
             _text("<a", u, "@b.c.d.example.com.x> tail\nsecond line"),
         ).alias("header"),
@@ -166,16 +166,23 @@ def embedded_rows(spark, sf) -> DataFrame:
 
 def raw_senders(spark, sf) -> DataFrame:
     """An old counter table: NULL, empty, numeric and repeated senders, and
-    counts that are not numbers."""
+    counts that are no numbers, or begin with one."""
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(
         F.when(k % 50 == 0, F.lit(None).cast("string")).when(k % 50 == 1, "")
         .when(k % 50 == 2, (k % 1000).cast("string"))
         .otherwise(_text("C", F.floor(k / 2), "@", F.lower("c_mktsegment"), ".example")).alias("sender"),
-        F.when(k % 89 == 0, "junk").otherwise((k % 97).cast("string")).alias("mails_sent"),
+        F.when(k % 89 == 0, "junk").when(k % 83 == 0, _text(k % 97, "abc")).when(k % 79 == 0, _text(" ", k % 97, ".7"))
+        .otherwise((k % 97).cast("string")).alias("mails_sent"),
     )
 
 
+def hidden_customers(spark, sf) -> DataFrame:
+    """Hidden senders that the old counter table has, and one that it has not."""
+    some = raw_senders(spark, sf).filter(F.col("sender").rlike("^C[0-9]*[37]@")).select("sender").distinct()
+    return some.unionByName(hidden_senders(spark, sf))
+
+
 def hidden_senders(spark, sf) -> DataFrame:
     u = F.col("user_id")
     return table(spark, sf, "events").select("user_id").distinct().filter(u % 11 == 0).select(
@@ -191,16 +198,17 @@ def conversation_records(spark, sf) -> DataFrame:
     overlong lines, CRLF. Text as the archive scan delivers it."""
     c, t, role = F.col("conv_id"), F.col("turn"), F.col("role")
     address = _text(role, ".", c, "@mail.example.com")
+    pad = F.when(c % 5 == 1, F.repeat(F.lit("y"), F.lit(9000))).otherwise("")  # kept headers have no longest length
     sender = _pick(
         t % 4,
-        _text('From: "', role, '" <', address, ">\n"),
+        _text('From: "', role, pad, '" <', address, ">\n"),
         _text("From: ", role, " of ", c, "\n\t<", address, ">\n"),
         _text("Return-Path: <bounce.", c, "@example.net>\n"),
         _text("FROM:\nfrom : ", address, "\nFrom: late@example.com\n"),
     )
     identity = _pick(
-        c % 9, "", _text("Message-ID:\n <", c, ".", t, "@example.com>\n"),
-        _text("MESSAGE-ID: <", c, ".", t, "@example.com>\n"),
+        c % 9, "", _text("Message-ID:\n <", c, ".", t, pad, "@example.com>\n"),
+        _text("MESSAGE-ID: <", c, ".", t, pad, "@example.com>\n"),
     )
     long_line = F.when(t % 5 == 4, _text("X-Long: ", F.repeat(F.lit("a"), F.lit(9000)), "\n")).otherwise("")
     broken = F.when((c % 10 == 7) & (t == 1), "no colon here\n").otherwise("")
@@ -341,9 +349,12 @@ def failures(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select(
         e.alias("event_id"),
         _pick(
-            e % 16, envelope('"code": 429'), envelope('"code": 503'), envelope('"code": 400'),
+            e % 16, F.when(e % 3 == 1, envelope('"code": 400, "code": 429')).otherwise(envelope('"code": 429')),
+            envelope('"code": 503'), envelope('"code": 400'),
             envelope('"code": 403, "status": "RESOURCE_EXHAUSTED"'), reason("rateLimitExceeded"),
-            reason("userRateLimitExceeded"), reason("backendError"), reason("insufficientPermissions"),
+            reason("userRateLimitExceeded"),
+            F.when(e % 3 == 1, envelope('"code": 403, "errors": ["odd", 7, {"reason": "backendError"}]'))
+            .otherwise(reason("backendError")), reason("insufficientPermissions"),
             reason("dailyLimitExceeded"), '{"message": "no envelope"}', "<html>busy</html>",
             "plain text", "", envelope('"code": "429"'), envelope('"code": 404, "status": "INTERNAL"'),
             F.lit(None).cast("string"),
@@ -361,7 +372,7 @@ def links(spark, sf) -> DataFrame:
         "page_id",
         _pick(
             p % 5, F.col("url"), _text("https://accounts.google.com/o/oauth2?x=", p),
-            _text("https://accounts.google.com.evil.example/", p), _text("http://accounts.google.com/", p),
+            _text("https://accounts.google.com-", p, ".example/"), _text("http://accounts.google.com/", p),
             F.lit(None).cast("string"),
         ).alias("url"),
     )

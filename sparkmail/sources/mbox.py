@@ -14,10 +14,9 @@ from sparkmail.functions.identity import (
 )
 from sparkmail.functions.mbox_headers import parse_headers
 
-# Separator, and the file prefix a fingerprint covers.
+# Fixed value: what begins a message.
 SEPARATOR = "From "
 RECORD_SEPARATOR = "\n" + SEPARATOR
-FINGERPRINT_BYTES = 64 * 1024
 
 
 def _located(records: DataFrame) -> DataFrame:
@@ -61,8 +60,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.octet_length("value").cast("long").alias("nbytes"),
         F.startswith(F.col("value"), F.lit(SEPARATOR)).alias("has_separator"),
         has_text.alias("has_text"),
-        # Only the first block can hold the prefix a fingerprint covers.
-        F.when(F.col("block_start") == 0, F.xxhash64("value")).alias("content_hash"),
+        F.md5("value").alias("content_hash"),
         parse_headers(F.col("value")).alias("h"),
     ).select("*", "h.*").drop("h")
 
@@ -98,8 +96,10 @@ def with_offsets(parsed: DataFrame) -> DataFrame:
             "start_offset",
             F.when(text_start == 0, F.lit(0).cast("long")).otherwise(text_start - len(SEPARATOR)),
         )
-        # The line end before the next separator belongs to this message.
-        .withColumn("end_offset", F.least(text_start + F.col("nbytes") + 1, F.col("file_size")))
+        # The line end before the next separator belongs to this message; the
+        # last one of a file may have none.
+        .withColumn("end_offset", text_start + F.col("nbytes")
+                    + F.when(text_start + F.col("nbytes") < F.col("file_size"), 1).otherwise(0))
         # Bytes after the text: none, a separator, or a separator and nothing.
         .withColumn("ends_bare", F.col("file_size") - text_start - F.col("nbytes") == len(RECORD_SEPARATOR))
         .drop("within", "base")
@@ -145,20 +145,25 @@ def split_valid_files(located: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fingerprints(located: DataFrame) -> DataFrame:
-    """file → `size:mtime:hash` over the records that begin in the first 64 KiB."""
-    prefix = located.filter((F.col("block_start") == 0) & (F.col("start_offset") < FINGERPRINT_BYTES))
-    return prefix.groupBy("file", "file_size", "file_mtime").agg(
-        F.bit_xor(F.xxhash64("start_offset", "content_hash")).alias("h")
-    ).select("file", F.concat_ws(":", "file_size", "file_mtime", F.lower(F.hex("h"))).alias("fingerprint"))
+    """file → `size:mtime:hash` over every record and its place.
+
+    Records do not depend on how the file was split, so neither does the hash:
+    60 bits of each record's MD5, combined in any order.
+    """
+    record = F.md5(F.concat_ws(":", "start_offset", "content_hash"))
+    bits = F.conv(F.substring(record, 1, 15), 16, 10).cast("long")
+    return located.groupBy("file", "file_size", "file_mtime").agg(F.bit_xor(bits).alias("h")).select(
+        "file", F.concat_ws(":", "file_size", "file_mtime", F.lower(F.hex("h"))).alias("fingerprint")
+    )
 
 
 def resume_offsets(fingerprints_: DataFrame, runs: DataFrame, run_id: int) -> DataFrame:
     """file → offset to continue run `run_id` at; 0 when the file changed."""
     run = runs.filter(F.col("run_id") == run_id).select("source", "mbox_fingerprint", "bytes_done").first()
     if run is None:
-        raise ValueError(f"no ingest run {run_id} to resume")
+        raise ValueError(f"unknown run: {run_id}")
     if run["source"] != "mbox":
-        raise ValueError(f"run {run_id} is a {run['source']} run, not an mbox import")
+        raise ValueError(f"only mbox imports resume by offset; run {run_id} came from {run['source']}")
     recorded = F.lit(run["mbox_fingerprint"]).cast("string")
     offset = F.lit(run["bytes_done"]).cast("long")
     return fingerprints_.select(
@@ -185,16 +190,30 @@ def import_batch(messages: DataFrame, seq: Column | None = None) -> DataFrame:
     )
 
 
-def archive_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under `path`, from the listing alone."""
-    sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-    return sizes or 0
+def _listing(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of the files under `path`; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def _bare(path: Column) -> Column:
+    """A path without its scheme and host, which listings spell in several ways."""
+    return F.regexp_replace(path, r"^[a-z0-9+.-]+:/+(?=/)|^file:(?=/)", "")
+
+
+def archive_bytes(spark: SparkSession, path: str, without: DataFrame | None = None) -> int:
+    """Total size of the files under `path`, but for the paths in `without`."""
+    files = _listing(spark, path).withColumn("bare", _bare(F.col("path")))
+    if without is not None:
+        files = files.join(without.select(_bare(F.col("path")).alias("bare")).distinct(), "bare", "left_anti")
+    return files.agg(F.sum("length")).first()[0] or 0
 
 
 def import_counts(messages: DataFrame) -> DataFrame:
-    """One row: messages parsed, and regions skipped (malformed or without id)."""
-    idless = ~F.col("bad") & F.col("message_id").isNull()
+    """One row: messages parsed, and regions skipped (junk, malformed or
+    without id), of rows with a status."""
+    status = F.col("status")
     return messages.agg(
-        F.count_if(~F.col("bad")).alias("messages_seen"),
-        F.count_if(F.col("bad") | idless).alias("skipped"),
+        F.count_if(status == "message").alias("messages_seen"),
+        F.count_if(status.isin("junk", "malformed") | ((status == "message") & F.col("message_id").isNull()))
+        .alias("skipped"),
     )

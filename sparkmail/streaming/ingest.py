@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from sparkmail.functions.errors import error_kind
 from sparkmail.operators.runs import latest_runs
 from sparkmail.operators.summary import unrepaired
 from sparkmail.sources.mbox import archive_bytes, stream_mbox
@@ -14,6 +18,10 @@ from sparkmail.sources.messages import stream_messages
 from sparkmail.streaming.store import StatsStore
 
 
+# Fixed value: seconds between two signs of life of a run.
+HEARTBEAT_S = 2.0
+
+
 class Heartbeat(StreamingQueryListener):
     """Touch the run's row whenever its query reports, busy or idle."""
 
@@ -33,35 +41,77 @@ class Heartbeat(StreamingQueryListener):
         pass
 
 
+@contextmanager
+def beating(store: StatsStore, run_id: int, every: float = HEARTBEAT_S) -> Iterator[None]:
+    """Signs of life while a block runs, also inside one long batch, which no
+    listener reports before it ends."""
+    over = threading.Event()
+
+    def beat() -> None:
+        while not over.wait(every):
+            store.record(run_id, "heartbeat")
+
+    thread = threading.Thread(target=beat, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
+def failure_kind(store: StatsStore, error: Exception, origin: str) -> str:
+    """The kind of error a run ends with; paths that are gone count as such."""
+    if isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND":
+        origin = "not_found"
+    message = F.lit(str(error))
+    return store.spark.range(1).select(error_kind(message, F.lit(origin), F.lit(False))).first()[0]
+
+
 def _drain(
     store: StatsStore, run_id: int, rows: DataFrame, apply: Callable[[DataFrame, int, int], None],
-    checkpoint: str, failure: str,
+    checkpoint: str, origin: str,
 ) -> int:
     """Run one ingest until the folder holds nothing new; returns its run_id.
+    `origin` says what its errors come from, unless they tell.
 
     The checkpoint remembers finished files, so the next run resumes there;
     what it replays is dropped by the ledger.
     """
-    query: StreamingQuery = (
-        rows.writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
     try:
-        query.awaitTermination()
+        query: StreamingQuery = (
+            rows.writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        with beating(store, run_id):
+            query.awaitTermination()
     except KeyboardInterrupt:
         query.stop()
         store.finish_run(run_id, "cancelled")
         raise
     except Exception as e:
-        store.finish_run(run_id, "failed", failure, str(e).splitlines()[0])
+        store.finish_run(run_id, "failed", failure_kind(store, e, origin), str(e).splitlines()[0])
         raise
     store.finish_run(run_id, "done")
     return run_id
 
 
+def finished_files(store: StatsStore, checkpoint: str) -> DataFrame:
+    """path of every file that a query with this checkpoint has taken up."""
+    try:
+        lines = store.spark.read.text(f"{checkpoint}/sources/0")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return store.spark.createDataFrame([], "path string")
+    return lines.select(F.get_json_object("value", "$.path").alias("path")).filter("path IS NOT NULL").distinct()
+
+
 def import_mbox(store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None) -> int:
-    """Import the archives of a folder that the checkpoint does not know yet."""
-    run_id = store.start_run("mbox", mbox_path=folder, bytes_total=archive_bytes(store.spark, folder))
+    """Import the archives of a folder that the checkpoint does not know yet;
+    the run's total is the size of these."""
+    total = archive_bytes(store.spark, folder, finished_files(store, checkpoint))
+    run_id = store.start_run("mbox", mbox_path=folder, bytes_total=total)
     return _drain(store, run_id, stream_mbox(store.spark, folder, max_files), store.apply_mbox, checkpoint, "io")
 
 

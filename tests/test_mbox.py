@@ -99,7 +99,6 @@ def test_names_ignore_case_and_first_value_wins(spark, tmp_path):
 
 # --- randomized check against a line-by-line model ---------------------------
 
-CAP = 8192
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -109,8 +108,7 @@ def model(data: bytes):
     lines, at = [], 0
     for raw in data.split(b"\n")[:-1] if data.endswith(b"\n") else data.split(b"\n"):
         end = min(at + len(raw) + 1, len(data))
-        line = raw[:CAP]
-        lines.append((at, line[:-1] if line.endswith(b"\r") else line))
+        lines.append((at, raw[:-1] if raw.endswith(b"\r") else raw))
         at = end
     starts = [i for i, (_, l) in enumerate(lines) if l.startswith(b"From ")]
     out, bad = [], 0
@@ -133,7 +131,7 @@ def model(data: bytes):
                     broken = True
                     break
                 part = l.decode("utf-8", "replace").strip(SPACE)
-                if part and len(cur[1].encode()) + len(part.encode()) < CAP:
+                if part:
                     cur[1] = f"{cur[1]} {part}" if cur[1] else part
                 continue
             name, colon, rest = l.partition(b":")
@@ -217,9 +215,9 @@ def test_fingerprint_and_resume(spark, tmp_path):
     assert [offset(1), offset(2), offset(3)] == [second, 0, 0]
     rest = mbox.resume_from(located, mbox.resume_offsets(prints, runs, 1))
     assert rows(rest, "message_id") == [("<m2@example.com>",)]
-    with pytest.raises(ValueError, match="not an mbox"):
+    with pytest.raises(ValueError, match="came from gmail_api"):
         offset(4)
-    with pytest.raises(ValueError, match="no ingest run"):
+    with pytest.raises(ValueError, match="unknown run"):
         offset(9)
     path.write_text(TWO.replace("Alice", "Alicf"))
     assert mbox.fingerprints(scan(spark, tmp_path)).first()["fingerprint"].split(":")[2] != digest
@@ -232,8 +230,38 @@ def test_import_batch_and_counts(spark, tmp_path):
         + SEP_A + "From: c@example.com\n\nno id\n"
         + SEP_A + "broken\n"
     )
-    parsed = mbox.parse_records(mbox.read_mbox(spark, str(tmp_path)))
+    parsed = scan(spark, tmp_path)
     assert rows(mbox.import_batch(parsed), "mail_id", "rfc_message_id", "sender") == [
         ("mid:<m1@x>", "m1@x", "a@example.com"), ("mid:<m2@x>", "m2@x", "b@example.com"),
     ]
     assert rows(mbox.import_counts(parsed)) == [(3, 2)]
+
+
+def test_junk_is_a_skipped_region(spark, tmp_path):
+    (tmp_path / "a.mbox").write_text("junk line\n" + SEP_A + "From: a@example.com\nMessage-ID: <m1@x>\n\nx\n")
+    assert rows(mbox.import_counts(scan(spark, tmp_path))) == [(1, 1)]
+
+
+def test_fingerprint_covers_the_file_and_no_splits(spark, tmp_path):
+    path = tmp_path / "a.mbox"
+    text = "".join(f"From x\nMessage-ID: <m{i}@x>\n\n" + "body line\n" * 40 for i in range(600))
+
+    def fingerprint():
+        return mbox.fingerprints(scan(spark, tmp_path)).first()["fingerprint"].split(":")[2]
+
+    path.write_text(text)
+    whole = fingerprint()
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 16 * 1024)
+    try:
+        assert fingerprint() == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+    path.write_text(text[:200_000] + "B" + text[200_001:])
+    assert fingerprint() != whole
+
+
+def test_long_headers_stay_whole(spark, tmp_path):
+    ids = ["i" * 9000 + end for end in "ab"]
+    (tmp_path / "a.mbox").write_text("".join(f"From x\nFrom: {'n' * 9000} <a@example.com>\nMessage-ID: <{i}>\n\nx\n" for i in ids))
+    assert rows(mbox.import_batch(scan(spark, tmp_path)), "rfc_message_id", "sender") == [(i, "a@example.com") for i in ids]

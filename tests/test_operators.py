@@ -269,9 +269,11 @@ def test_scan_resume_token(spark):
             run_ops.scan_resume_token(runs, bad)
 
 
-def test_log_is_capped_by_lines_and_bytes(spark):
+def test_log_keeps_lines_whole_or_cut(spark):
     lines = [(1, i, f"line {i}") for i in range(230)] + [(1, 230, "é" * 3000)]
-    got = run_ops.kept_log(spark.createDataFrame(lines, "run_id long, line_no long, line string"))
+    table = spark.createDataFrame(lines, "run_id long, line_no long, line string")
+    assert max(r.line for r in run_ops.kept_log(table).collect()) == "é" * 3000
+    got = run_ops.kept_log(table, line_bytes=4096)
     kept = sorted((r.line_no, r.line) for r in got.collect())
     assert len(kept) == 200 and kept[0] == (31, "line 31") and kept[-1][1] == "é" * 2048
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -297,10 +299,13 @@ def test_mixed_sources_states(spark):
     assert state(("mid:<m1>", "m1"), ("MID:<m2>", None)) == [(False, 0)]
 
 
-@pytest.mark.parametrize("deep", [False, True])
-def test_pages(spark, deep, monkeypatch):
-    if deep:
-        monkeypatch.setattr(summary, "TOP_N_ROWS", 0)
+def test_stored_counts(spark):
+    table = {"12abc": 12, "3.7": 3, " 5": 5, "-4x": -4, "+6": 6, "junk": 0, "": 0, "1e3": 1, "9" * 30: 2**63 - 1, "-" + "9" * 30: -(2**63)}
+    counts = spark.createDataFrame([(k,) for k in table], "c string").select("c", summary.stored_count(F.col("c")).alias("n"))
+    assert {r.c: r.n for r in counts.collect()} == table
+
+
+def test_pages(spark):
     ranked = spark.range(120).select(F.format_string("s%03d", "id").alias("sender"), (F.col("id") % 4).alias("mails_sent"))
     order = [r.sender for r in ranked.orderBy(*summary.by_rank()).collect()]
     for number, size, at, pages in [(1, 25, 1, 5), (5, 25, 5, 5), (99, 50, 3, 3), (-3, 100, 1, 2), (2, 7, 2, 3)]:

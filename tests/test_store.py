@@ -143,3 +143,29 @@ def test_run_log_can_be_watched(spark, store, tmp_path):
     latest = spark.read.parquet(store.root + "/latest_runs")
     assert rows(latest) == rows(store.runs())
     assert rows(latest, "state", "error_kind", "mbox_path") == [("failed", "io", "/a")]
+
+
+def test_second_import_totals_what_is_left(store, tmp_path):
+    folder = tmp_path / "mbox"
+    folder.mkdir()
+    (folder / "a.mbox").write_text(mail("a@x.com", "<m1@x>"))
+    ingest.import_mbox(store, str(folder), str(tmp_path / "c"))
+    added = mail("b@x.com", "<m2@x>") + mail("b@x.com", "<m3@x>")
+    (folder / "b.mbox").write_text(added)
+    run = ingest.import_mbox(store, str(folder), str(tmp_path / "c"))
+    state = store.runs().filter(F.col("run_id") == run).first()
+    assert (state.state, state.bytes_total, state.bytes_done) == ("done", len(added), len(added))
+
+
+def test_first_landed_copy_counts(store, tmp_path):
+    land(tmp_path / "scan" / "p1.json", document("g9", "first@x.com", "<m9@x>"), document("g9", "second@x.com", "<m9@x>"))
+    land(tmp_path / "scan" / "p2.json", document("g9", "third@x.com", "<m9@x>"), document("g1", "first@x.com"))
+    ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c"))
+    assert senders(store) == [("first@x.com", 2)]
+
+
+def test_failed_run_tells_its_kind(store, tmp_path):
+    with pytest.raises(Exception):
+        ingest.scan_messages(store, str(tmp_path / "nowhere"), str(tmp_path / "c"))
+    state = store.runs().first()
+    assert (state.state, state.error_kind) == ("failed", "missing_credentials")
