@@ -69,7 +69,7 @@ def failure_kind(store: StatsStore, error: Exception, origin: str) -> str:
 
 
 def _drain(
-    store: StatsStore, run_id: int, rows: DataFrame, apply: Callable[[DataFrame, int, int], None],
+    store: StatsStore, run_id: int, rows: Callable[[], DataFrame], apply: Callable[[DataFrame, int, int], None],
     checkpoint: str, origin: str,
 ) -> int:
     """Run one ingest until the folder holds nothing new; returns its run_id.
@@ -80,7 +80,7 @@ def _drain(
     """
     try:
         query: StreamingQuery = (
-            rows.writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
+            rows().writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
         with beating(store, run_id):
@@ -112,7 +112,8 @@ def import_mbox(store: StatsStore, folder: str, checkpoint: str, max_files: int
     the run's total is the size of these."""
     total = archive_bytes(store.spark, folder, finished_files(store, checkpoint))
     run_id = store.start_run("mbox", mbox_path=folder, bytes_total=total)
-    return _drain(store, run_id, stream_mbox(store.spark, folder, max_files), store.apply_mbox, checkpoint, "io")
+    rows = lambda: stream_mbox(store.spark, folder, max_files)
+    return _drain(store, run_id, rows, store.apply_mbox, checkpoint, "io")
 
 
 def scan_messages(
@@ -120,7 +121,7 @@ def scan_messages(
 ) -> int:
     """Ingest landed documents; the mailbox total, where known, feeds the ETA."""
     run_id = store.start_run("gmail_api", total_estimate=total_estimate)
-    rows = stream_messages(store.spark, folder, max_files)
+    rows = lambda: stream_messages(store.spark, folder, max_files)
     return _drain(store, run_id, rows, store.apply_messages, checkpoint, "other")
 
 
@@ -131,7 +132,7 @@ def repair(store: StatsStore, folder: str, checkpoint: str, max_files: int | Non
     if pending == 0:
         store.finish_run(run_id, "done")
         return run_id
-    rows = stream_messages(store.spark, folder, max_files)
+    rows = lambda: stream_messages(store.spark, folder, max_files)
     return _drain(store, run_id, rows, store.apply_repair, checkpoint, "other")
 
 
