@@ -1,4 +1,4 @@
-"""The registered query of each operator, with production parameters over its whole table."""
+"""The registered query of each operator, with production parameters over its whole table, and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkmail.llm import bpe, hnsw, langid, licenses, mixing, quality, secret_scan, simhash, spotsigs, warc
 from sparkmail.llm.common import held_out, stage, table
 from sparkmail.session import staging_path
@@ -91,6 +92,7 @@ REGISTRY: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Only the archive query can be said in SQL whole: eight groups of five hexadecimal digits make four base32 digits each.
@@ -100,10 +102,12 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM d)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-               array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT)
-                         >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+                         >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER) + 1, 1) for i in range(0, 32)], '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
