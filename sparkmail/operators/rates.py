@@ -105,3 +105,14 @@ def eta_seconds(run) -> Column:
         (run["messages_per_sec"] > 0) & run["total_estimate"].isNotNull(),
         left(run["total_estimate"], run["messages_seen"], run["messages_per_sec"]),
     )
+
+
+def active_progress(active: DataFrame, samples: DataFrame) -> DataFrame:
+    """rate_per_sec and eta_seconds of the active run (one row, or none) from
+    its samples (run_id, t_us, messages_seen, bytes_done)."""
+    own = samples.join(active.select("run_id"), "run_id", "left_semi")
+    latest = sliding_rate(own).groupBy("run_id").agg(
+        F.max_by(F.struct("messages_per_sec", "bytes_per_sec"), "t_us").alias("latest"))
+    run = active.join(latest, "run_id", "left").select("*", "latest.*")
+    return run.select(
+        "run_id", displayed_rate(F.col("messages_per_sec")).alias("rate_per_sec"), eta_seconds(run).alias("eta_seconds"))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkmail.functions.identity import embedded_message_id, is_mid_key
 from sparkmail.functions.text import trim
 from sparkmail.operators.ordered import with_position
-from sparkmail.schemas import TERMINAL_STATES
+from sparkmail.operators.rates import active_progress
+from sparkmail.schemas import PUBLIC_RUN_COLUMNS, TERMINAL_STATES
 
 # Page sizes, repair batch size, domains a demo set may use.
 PAGE_SIZES, DEFAULT_PAGE_SIZE = (25, 50, 100, 500), 50
@@ -191,6 +192,23 @@ def populate_embedded(seen: DataFrame) -> DataFrame:
     )
 
 
+def status(
+    db: str | Column, now_unix: int, seen: DataFrame, active: DataFrame, last: DataFrame, samples: DataFrame,
+) -> DataFrame:
+    """One row: readiness, mixed-source state, the two runs of note as JSON,
+    and how fast the active one moves and how long it will take."""
+    def document(runs: DataFrame) -> Column:
+        return runs.select(F.to_json(F.struct(*[c for c in PUBLIC_RUN_COLUMNS if c in runs.columns]))).scalar()
+
+    moving = active_progress(active, samples)
+    return mixed_sources(seen).select(
+        (F.lit(db) if isinstance(db, str) else db).alias("db"), F.lit(now_unix).cast("long").alias("now_unix"), "*",
+        document(active).alias("active_run"), document(last).alias("last_run"),
+        moving.select("rate_per_sec").scalar().alias("rate_per_sec"),
+        moving.select("eta_seconds").scalar().alias("eta_seconds"),
+    )
+
+
 def readiness(seen: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """One row: empty or ready, and whether to show the setup view, which
     waits while a run is active. A store that does not exist has no tables;

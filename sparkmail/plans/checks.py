@@ -488,6 +488,20 @@ def oracle_sql() -> dict[str, str]:
     sql["history_refreshes"] = f"""
         WITH {_POLLS} SELECT p.viewer, p.t AS t_us, p.runs_key FROM polls p
         LEFT JOIN polls b ON b.viewer = p.viewer AND b.i = p.i - 1 WHERE p.runs_key IS DISTINCT FROM b.runs_key"""
+    sql["status_document"] = f"""
+        WITH {_BASE}, {_SAMPLES}, latest AS ({sql["run_latest_state"]}),
+        active AS (SELECT * FROM latest WHERE NOT {terminal} ORDER BY run_id DESC LIMIT 1),
+        pace AS (SELECT a.*, r.mps, r.bps FROM active a LEFT JOIN rates r ON r.run_id = a.run_id
+                 AND r.t = (SELECT max(t) FROM rates WHERE run_id = a.run_id))
+        SELECT 'ready' AS db, CAST({NOW_UNIX} AS BIGINT) AS now_unix, count(*) > 0 AS mixed_unrepaired,
+               count(*) AS unrepaired_count, (SELECT run_id FROM active) AS active_run,
+               (SELECT max(run_id) FROM latest WHERE {terminal}) AS last_run,
+               (SELECT round(mps, 1) FROM pace) AS rate_per_sec,
+               (SELECT CAST(CASE WHEN bps > 0 AND bytes_total IS NOT NULL AND bytes_done IS NOT NULL
+                                 THEN ceil(greatest(bytes_total - bytes_done, 0) / bps)
+                                 WHEN mps > 0 AND total_estimate IS NOT NULL
+                                 THEN ceil(greatest(total_estimate - messages_seen, 0) / mps) END AS BIGINT) FROM pace) AS eta_seconds
+        FROM scan"""
     sql["retry_schedule"] = """
         WITH a AS (SELECT event_id // 1000 AS run_id, event_id % 1000 + 1 AS attempt_no, event_type FROM events),
         l AS (SELECT a.run_id, a.attempt_no, a.event_type, max(p.attempt_no) AS last_progress

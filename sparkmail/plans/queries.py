@@ -361,6 +361,17 @@ def readiness(spark, sf):
     })
 
 
+@query
+def status_document(spark, sf):
+    """The status of a store whose runs and progress come from the event log."""
+    runs, seen = run_ops.latest_runs(v.run_events(spark, sf)), v.historical_seen(spark, sf)
+    samples = v.run_progress(spark, sf).select("run_id", "t_us", "messages_seen", "bytes_done")
+    found = summary.status(
+        summary.readiness(seen).select("db").scalar(), v.NOW_UNIX, seen, run_ops.active_run(runs), run_ops.last_run(runs), samples)
+    run_id = lambda c: F.get_json_object(c, "$.run_id").cast("long")
+    return found.withColumns({"active_run": run_id("active_run"), "last_run": run_id("last_run")})
+
+
 def _both_seen(spark, sf):
     return v.replay_msgs(spark, sf).select("mail_id").unionByName(_import_batch(spark, sf).select("mail_id"))
 

@@ -240,12 +240,10 @@ class StatsStore:
         return "empty" if self.ledger().isEmpty() else "ready"
 
     def status(self, now_unix: int) -> DataFrame:
-        """One row: readiness, mixed-source state and the two runs of note."""
+        """One row: readiness, mixed-source state, the two runs of note, rate
+        and time left of the active one."""
         runs = self.runs()
-        return summary.mixed_sources(self.seen()).select(
-            F.lit(self.readiness()).alias("db"), F.lit(now_unix).cast("long").alias("now_unix"), "*",
-            run_ops.active_run(runs).select(F.to_json(F.struct(*schemas.PUBLIC_RUN_COLUMNS))).scalar()
-            .alias("active_run"),
-            run_ops.last_run(runs).select(F.to_json(F.struct(*schemas.PUBLIC_RUN_COLUMNS))).scalar()
-            .alias("last_run"),
-        )
+        samples = self.events().filter("event = 'progress'").select(
+            "run_id", F.floor(F.col("event_seq") / 1000).alias("t_us"), "messages_seen", "bytes_done")
+        return summary.status(
+            self.readiness(), now_unix, self.seen(), run_ops.active_run(runs), run_ops.last_run(runs), samples)
