@@ -14,7 +14,8 @@ from sparkmail.llm.common import stage, table
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.7."""
-    model = quality.fit(quality.statistics(docs), table(spark, sf_dir, "labels"))
+    stats = stage(quality.statistics(docs), "pipeline-statistics")
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
