@@ -19,7 +19,7 @@ from sparkmail.streaming.store import StatsStore
 
 
 # Fixed value: seconds between two signs of life of a run.
-HEARTBEAT_S = 2.0
+HEARTBEAT_S = 5.0
 
 
 class Heartbeat(StreamingQueryListener):

@@ -66,6 +66,25 @@ class StatsStore:
         df.drop("epoch").write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.drop("epoch").schema).parquet(path)
 
+    def _drop(self, name: str, *epochs: str) -> None:
+        """Delete epochs of a table that nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for epoch in epochs:
+            path = jvm.org.apache.hadoop.fs.Path(self._path(name, f"epoch={epoch}"))
+            path.getFileSystem(conf).delete(path, True)
+
+    def _epochs(self, name: str) -> list[str]:
+        """Epochs of a table from the listing of its folder, oldest first."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self._path(name))
+        system = path.getFileSystem(conf)
+        names = [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+        return sorted(n.removeprefix("epoch=") for n in names if n.startswith("epoch="))
+
+    def _drop_all_but(self, name: str, keep: int) -> None:
+        """Keep the newest epochs: one to read, and the one a reader may be at."""
+        self._drop(name, *self._epochs(name)[:-keep])
+
     def commits(self) -> DataFrame:
         return self.read("commits", schemas.COMMITS_SCHEMA)
 
@@ -104,10 +123,8 @@ class StatsStore:
 
     def rejected_files(self) -> DataFrame:
         """Files of the import folder that were refused."""
-        schema = T.StructType.fromDDL(
-            "file string, is_mbox boolean, epoch string"
-        )
-        return mbox.split_valid_files(self._committed("located_mbox", schema))[1]
+        schema = T.StructType.fromDDL("file string, epoch string")
+        return self._committed("rejected", schema).select("file").distinct()
 
     def events(self) -> DataFrame:
         return self.read("run_events", schemas.RUN_EVENTS_SCHEMA)
@@ -116,7 +133,14 @@ class StatsStore:
         return self.spark.readStream.schema(schemas.RUN_EVENTS_SCHEMA).parquet(self._path("run_events"))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._path(name))
+        """Write a new version of a table beside the one that readers use."""
+        self._write(df, name, f"{time.time_ns():020d}")
+        self._drop_all_but(name, 2)
+
+    def newest(self, name: str, schema: T.StructType) -> DataFrame:
+        """The version of a table that was replaced last."""
+        versions = self._epochs(name)
+        return self.read(f"{name}/epoch={versions[-1]}" if versions else name, schema)
 
     def runs(self) -> DataFrame:
         return run_ops.latest_runs(self.events())
@@ -147,6 +171,7 @@ class StatsStore:
         senders = counters.add_counts(self._senders_at(before["latest"]), counters.increments(mine))
         self._write(senders, "senders", epoch)
         self._commit(epoch, run_id, batch_id, seen, mine.filter("counted").count(), before, bytes_done)
+        self._drop_all_but("senders", 2)
 
     def apply_mbox(self, records: DataFrame, run_id: int, batch_id: int) -> None:
         """Import one batch of mbox records, without files that are not mbox."""
@@ -156,13 +181,16 @@ class StatsStore:
             return
         parsed = self._write(mbox.parse_records(records), "staged_mbox", epoch)
         located = self._write(mbox.with_offsets(parsed), "located_mbox", epoch)
-        valid, _ = mbox.split_valid_files(located)
+        valid, refused = mbox.split_valid_files(located)
+        self._write(refused, "rejected", epoch)
         done = located.agg(
             F.count_if(F.col("is_mbox") & ~F.col("bad")).alias("messages"),
             F.sum(F.col("end_offset") - F.col("start_offset")).alias("bytes"),
         ).first()
         batch = mbox.import_batch(valid, F.struct("file", "start_offset"))
         self._apply(batch, done["messages"], run_id, batch_id, "mbox", before, done["bytes"] or 0)
+        self._drop("staged_mbox", epoch)
+        self._drop("located_mbox", epoch)
 
     def apply_messages(self, documents: DataFrame, run_id: int, batch_id: int) -> None:
         epoch = epoch_of(run_id, batch_id)
@@ -171,6 +199,7 @@ class StatsStore:
             return
         staged = self._write(message_fields(documents), "staged_messages", epoch)
         self._apply(staged, staged.count(), run_id, batch_id, "gmail_api", before)
+        self._drop("staged_messages", epoch)
 
     def apply_repair(self, documents: DataFrame, run_id: int, batch_id: int) -> None:
         """Fill in missing ids from fetched documents and take back doubles."""
@@ -185,6 +214,8 @@ class StatsStore:
         done = dedupe.repair_outcome(fetched, mine).first()
         seen, new = done["examined"], done["populated"] + done["missing_id"]
         self._commit(epoch, run_id, batch_id, seen, new, before)
+        self._drop("staged_repairs", epoch)
+        self._drop_all_but("senders", 2)
 
     def import_baseline(self, seen: DataFrame, senders: DataFrame) -> None:
         """Start a store from older tables: collapse repeated mail_ids (needs

@@ -1,6 +1,7 @@
 """Streaming ingest: replay, retry, resume, cross-source dedupe, repair."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,9 @@ def test_scan_then_import_counts_each_message_once(store, tmp_path):
     ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c4"))
     assert senders(store) == [("a@x.com", 1), ("b@x.com", 1), ("c@x.com", 1)]
     assert store.readiness() == "ready"
+    # What a batch has staged is gone, and of the snapshots two are left.
+    assert not any(list(Path(store.root).glob(f"{t}/epoch=*")) for t in ("staged_mbox", "located_mbox", "staged_messages"))
+    assert len(list(Path(store.root).glob("senders/epoch=*"))) == 2
     assert json.loads(store.status(100).first()["last_run"])["run_id"] == 5
 
 
@@ -140,7 +144,7 @@ def test_run_log_can_be_watched(spark, store, tmp_path):
     ingest.watch_runs(store, str(tmp_path / "w")).awaitTermination()
     store.finish_run(run, "failed", "io", "disk")
     ingest.watch_runs(store, str(tmp_path / "w")).awaitTermination()
-    latest = spark.read.parquet(store.root + "/latest_runs")
+    latest = store.newest("latest_runs", store.runs().schema)
     assert rows(latest) == rows(store.runs())
     assert rows(latest, "state", "error_kind", "mbox_path") == [("failed", "io", "/a")]
 
