@@ -59,14 +59,14 @@ def features(s: Column) -> dict[str, Column]:
     core, near = s["core"], F.concat_ws(" ", s["before2"], s["before"])
     size = F.length(core).cast("double")
     left = lambda pattern: F.length(F.regexp_replace(core, pattern, ""))
-    tenth = lambda x: F.round(x * 10) / 10
+    fifth = lambda x: F.round(x * 5) / 5
     changes = F.regexp_count(core, F.lit("(?<=[A-Za-z])(?=[^A-Za-z])|(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[A-Z])"))
     return {
-        "length": F.least(F.round(size / 4) * 4, F.lit(128.0)),
-        "changes": tenth(changes / size),
-        "digits": tenth(1 - left("[0-9]") / size),
+        "length": F.least(F.round(size / 8) * 8, F.lit(128.0)),
+        "changes": fifth(changes / size),
+        "digits": fifth(1 - left("[0-9]") / size),
         "hex": F.when(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 1.0).otherwise(0.0),
-        "coverage": tenth(1 - left(_SYLLABLE) / size),
+        "coverage": fifth(1 - left(_SYLLABLE) / size),
         "path": F.when(s["token"].rlike(_PATH), 1.0).otherwise(0.0),
         "address": F.when(s["token"].rlike(_ADDRESS), 1.0).otherwise(0.0),
         "keyword": F.when(F.concat_ws(" ", near, s["token"]).rlike(_KEYWORD), 1.0).otherwise(0.0),
@@ -127,8 +127,9 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def fit(labelled: DataFrame, label_col: str = "label", seed: int = 1) -> Forest:
     """Learn from findings() with a label (1: secret). Null labels are not used.
 
-    Findings are first counted by cell of their features; cells are as many as the coarse scales allow, whatever the
-    number of findings. With findings of one kind only, or none, the forest says so everywhere (none: no secret).
+    Findings are first counted by cell of their features. The scales allow some 200,000 cells and data fill few of them,
+    whatever the number of findings; so the cells may be ordered in one task, which makes reruns agree. With findings of
+    one kind only, or none, the forest says so everywhere (none: no secret).
     """
     cells = labelled.where(F.col(label_col).isNotNull()).groupBy(*FEATURES, F.col(label_col).cast("double").alias("label")) \
         .agg(F.count("*").cast("double").alias("weight"))
