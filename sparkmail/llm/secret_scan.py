@@ -1,7 +1,7 @@
 """Secret scans: a random forest keeps the findings that are secrets and drops the false positives.
 
 A candidate is a long token that mixes kinds of characters. Its features are its length, how often the kind of character
-changes, how much of it words of the corpus' neighbourhood cover, whether it looks like a path, and whether neighbouring
+changes, how much of it the most frequent words of the corpus cover, whether it looks like a path, and whether neighbouring
 words speak of keys. The forest learns from labelled findings and becomes one expression, so a scan is a projection of
 whole texts: nothing is shuffled.
 """
@@ -9,6 +9,7 @@ whole texts: nothing is shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -31,8 +32,8 @@ _KEYWORD = r"(?i)(?:api|access|auth|private|client|secret|session)?[_-]?(?:key|t
 _ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
 _ADDRESS = r"(?i)@|^https?:|^www\.|\.(?:com|org|net|html?)\b"
 _PATH = r"[A-Za-z0-9_.\-]*(?:/[A-Za-z0-9_.\-]+){2,}|\.[a-z]{1,4}$"
-#: Pieces of ordinary words: syllables of the languages of the corpus cover most of a long word, but little of a key.
-_SYLLABLE = r"(?i)(?:[bcdfghklmnprstvwz]?[aeiou][bcdfghlmnprstvwxyz]?){2,}|(?:th|sh|ch|st|nt|nd|er|re|in|an|on|en|ti|ou){2,}"
+DICTIONARY_WORDS = 1000  # the most frequent words of the corpus, of so many letters, are the dictionary
+DICTIONARY_LETTERS = (3, 12)
 
 
 def candidates(text: Column) -> Column:
@@ -54,7 +55,15 @@ def candidates(text: Column) -> Column:
     return F.filter(F.transform(words, found), lambda s: s.isNotNull())
 
 
-def features(s: Column) -> dict[str, Column]:
+def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The most frequent words of all texts, ASCII letters in lower case, the longest first."""
+    word = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+")).alias("word")
+    counts = docs.select(word).where(F.length("word").between(*DICTIONARY_LETTERS)).groupBy("word").count()
+    top = counts.orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS).collect()
+    return sorted((r["word"] for r in top), key=lambda w: (-len(w), w))
+
+
+def features(s: Column, words: Sequence[str] = ()) -> dict[str, Column]:
     """Numbers on a coarse scale, so that findings fall into few distinct cells however many there are."""
     core, near = s["core"], F.concat_ws(" ", s["before2"], s["before"])
     size = F.length(core).cast("double")
@@ -66,7 +75,7 @@ def features(s: Column) -> dict[str, Column]:
         "changes": fifth(changes / size),
         "digits": fifth(1 - left("[0-9]") / size),
         "hex": F.when(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 1.0).otherwise(0.0),
-        "coverage": fifth(1 - left(_SYLLABLE) / size),
+        "coverage": fifth(1 - left("(?i)" + "|".join(words)) / size) if words else F.lit(0.0),
         "path": F.when(s["token"].rlike(_PATH), 1.0).otherwise(0.0),
         "address": F.when(s["token"].rlike(_ADDRESS), 1.0).otherwise(0.0),
         "keyword": F.when(F.concat_ws(" ", near, s["token"]).rlike(_KEYWORD), 1.0).otherwise(0.0),
@@ -85,9 +94,10 @@ def rule_label(s: Column) -> Column:
 
 @dataclass
 class Forest:
-    """Trees as nested tuples (feature, threshold, left, right), leaves as 0.0 or 1.0."""
+    """Trees as nested tuples (feature, threshold, left, right), leaves as 0.0 or 1.0, and the dictionary they know."""
 
     trees: list
+    words: Sequence[str] = ()
 
     def score(self, values: dict[str, Column]) -> Column:
         """The share of trees that vote for a secret."""
@@ -117,15 +127,15 @@ def _parse(lines: list[str]):
     return left if left == right else (FEATURES[int(feature)], float(threshold), left, right)
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per candidate: id_col, place, core, token, the features."""
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] = ()) -> DataFrame:
+    """A row per candidate: id_col, place, core, token, the features, with a dictionary of `words`."""
     rows = docs.select(id_col, F.explode(candidates(F.col(text_col))).alias("s"))
     rows = rows.select(id_col, "s.place", "s.core", "s.token", "s.before", "s.before2", "s.after", "s")
-    return rows.select("*", *[v.alias(k) for k, v in features(F.col("s")).items()])
+    return rows.select("*", *[v.alias(k) for k, v in features(F.col("s"), words).items()])
 
 
-def fit(labelled: DataFrame, label_col: str = "label", seed: int = 1) -> Forest:
-    """Learn from findings() with a label (1: secret). Null labels are not used.
+def fit(labelled: DataFrame, label_col: str = "label", seed: int = 1, words: Sequence[str] = ()) -> Forest:
+    """Learn from findings() with a label (1: secret) and with the dictionary `words`. Null labels are not used.
 
     Findings are first counted by cell of their features. The scales allow some 200,000 cells and data fill few of them,
     whatever the number of findings; so the cells may be ordered in one task, which makes reruns agree. With findings of
@@ -136,23 +146,25 @@ def fit(labelled: DataFrame, label_col: str = "label", seed: int = 1) -> Forest:
     cells = stage(cells.repartition(1, "label").sortWithinPartitions("label", *FEATURES), "secret-cells")
     kinds = [r[0] for r in cells.select("label").distinct().collect()]
     if len(kinds) < 2:
-        return Forest([float(kinds[0]) if kinds else 0.0])
+        return Forest([float(kinds[0]) if kinds else 0.0], words)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cells)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, weightCol="weight").fit(rows)
     parts = re.split(r"\n\s*Tree \d+ \(weight [\d.]+\):\n", model.toDebugString)[1:]
-    return Forest([_parse([x for x in p.split("\n") if x.strip()]) for p in parts])
+    return Forest([_parse([x for x in p.split("\n") if x.strip()]) for p in parts], words)
 
 
 def fit_by_rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """A forest from the findings of documents that are not held out, labelled by rule_label."""
-    rows = findings(docs.where(remainder(id_col) != 2), id_col, text_col)
-    return fit(rows.withColumn("label", rule_label(F.col("s"))))
+    """A forest from the findings of documents that are not held out, labelled by rule_label; the dictionary is that of
+    all documents."""
+    words = dictionary(docs, text_col)
+    rows = findings(docs.where(remainder(id_col) != 2), id_col, text_col, words)
+    return fit(rows.withColumn("label", rule_label(F.col("s"))), words=words)
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per candidate: id_col, place, token, core, score, is_secret. Texts without candidates, null and empty ones
     included, give no rows; repeated rows and null ids are scanned like others. Other columns are not read."""
-    rows = findings(docs, id_col, text_col)
+    rows = findings(docs, id_col, text_col, forest.words)
     score = forest.score({k: F.col(k) for k in FEATURES})
     return rows.withColumn("score", score).select(
         id_col, "place", "token", "core", "score", (F.col("score") >= LEAST_SCORE).alias("is_secret"))
@@ -160,7 +172,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
 def mask(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """Every row of docs, all columns; secrets in the text are replaced by MASK. Null text stays null."""
-    judged = F.filter(candidates(F.col(text_col)), lambda s: forest.score(features(s)) >= LEAST_SCORE)
+    judged = F.filter(candidates(F.col(text_col)), lambda s: forest.score(features(s, forest.words)) >= LEAST_SCORE)
     cores = F.array_distinct(F.transform(judged, lambda s: s["core"]))
     hidden = F.aggregate("_cores", F.col(text_col), lambda text, core: F.replace(text, core, F.lit(MASK)))
     masked = F.when(F.size("_cores") > 0, hidden).otherwise(F.col(text_col))

@@ -91,9 +91,17 @@ def test_empty_table(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_held_out_findings(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = secret_scan.findings(table).withColumn("label", secret_scan.rule_label(F.col("s")))
     forest = secret_scan.fit_by_rule(table)
+    rows = secret_scan.findings(table, words=forest.words).withColumn("label", secret_scan.rule_label(F.col("s")))
     score = forest.score({k: F.col(k) for k in secret_scan.FEATURES})
     held = rows.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("label", (score >= 0.5).alias("said")).collect()
     assert sum(r["label"] for r in held) > 3
     assert all(bool(r["label"]) == r["said"] for r in held)
+
+
+def test_dictionary_and_coverage(spark):
+    table = docs(spark, [(1, "Garden garden house x " * 3), (2, "house, no Übermut"), (3, None), (4, "garden")])
+    words = secret_scan.dictionary(table)
+    assert words[:2] == ["bermut", "garden"] and set(words) == {"bermut", "garden", "house"}
+    found = secret_scan.findings(docs(spark, [(1, "GARDENhousegarden123 9f86d081884c7d65")]), words=words)
+    assert [r["coverage"] for r in found.collect()] == [0.8, 0.0]
