@@ -208,7 +208,7 @@ def _assemble(path: str, id_col: str, id_type: pa.DataType, with_ids: bool) -> C
             spelled = [",".join(map(str, x)).encode() for x in word_ids]
             decoded = [b"".join([pieces[i] for i in x]) for x in word_ids]
             ends = np.cumsum(counts).tolist()
-            n_tokens, id_hash, text_hash, all_ids = [], [], [], []
+            n_tokens, id_hash, text_hash = [], [], []
             for a, b in zip([0, *ends], ends):
                 own = codes[a:b]
                 places = own.tolist()
@@ -216,12 +216,14 @@ def _assemble(path: str, id_col: str, id_type: pa.DataType, with_ids: bool) -> C
                 id_hash.append(hashlib.sha256(b",".join([spelled[c] for c in places])).hexdigest())
                 text = b"".join([decoded[c] for c in places]).decode("utf-8", "replace")
                 text_hash.append(hashlib.sha256(text.encode()).hexdigest())
-                if with_ids:
-                    all_ids.append([i for c in places for i in word_ids[c]])
             columns = {id_col: pa.array(block["ids"], id_type), "n_tokens": pa.array(n_tokens, pa.int64()),
                        "ids_sha256": pa.array(id_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
             if with_ids:
-                columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+                sizes = size[codes]
+                before = np.cumsum(sizes) - sizes
+                flat = ids[np.repeat(start[codes] - before, sizes) + np.arange(sizes.sum())].astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             parts.append(pa.table(columns))
         return pa.concat_tables(parts) if parts else pa.table({f.name: pa.array([], f.type) for f in _shape(id_col, id_type, with_ids)})
 
