@@ -28,3 +28,12 @@ def remainder(key: str | Column, modulus: int = 4) -> Column:
 def held_out(key: str) -> Column:
     """True for rows that models never learn from. A row without a key is not held out, but not learned from either."""
     return F.coalesce(remainder(key) == 2, F.lit(False))
+
+
+def smallest_hashes(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows, those whose keys have the smallest hashes; about 4 n rows are left to be ordered, so that what
+    tasks send to the driver does not grow with their number. Smaller tables are taken whole, as far as n reaches."""
+    share = min(1.0, 4 * n / max(1, df.count()))
+    rank = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    rest = [c for c in df.columns if c not in keys]
+    return df.where(rank <= int(share * (1 << 40))).orderBy(rank, *keys, *rest).limit(n)

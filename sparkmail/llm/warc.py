@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkmail.llm.common import smallest_hashes
+
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
@@ -54,8 +56,8 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, refers
 
 def build_dictionary(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> bytes:
     """A dictionary from SAMPLES records, those whose ids have the smallest hashes; empty for an empty table."""
-    rows = pages.select(id_col, url_col, F.substring(html_col, 1, SAMPLE_CHARS).alias("html")) \
-        .orderBy(F.xxhash64(id_col, url_col), id_col, "html").limit(SAMPLES).collect()
+    cut = pages.select(id_col, url_col, F.substring(html_col, 1, SAMPLE_CHARS).alias("html"))
+    rows = smallest_hashes(cut, SAMPLES, id_col, url_col).collect()
     payloads = [(r["html"] or "").encode() for r in rows]
     samples = [record(r[0], r[1], p, _digest(p)) for r, p in zip(rows, payloads)]
     try:
