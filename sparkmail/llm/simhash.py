@@ -24,8 +24,8 @@ from sparkmail.llm.graph import connected_components
 
 SEED = 42
 VOTES = 1 << 16  # shingles whose bits are counted at once: memory per step, not a limit
-SENT_AT_ONCE = 4096  # fingerprints whose variants are made at once
-BUCKET = 2_000_000  # variants that meet in one group, about
+SENT_AT_ONCE = 1024  # fingerprints whose variants are made at once
+BUCKET = 400_000  # variants that meet in one group, about
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so multiplying by it mixes without collisions
 
 
