@@ -30,7 +30,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, secret_scan.fit_by_rule(docs))
     return found.select("doc_id", "place", F.sha2("core", 256).alias("core_sha256"), F.length("core").alias("n_chars"),
-                        "score", "is_secret", held_out("doc_id").alias("held_out"))
+                        "score", "is_secret", held_out("doc_id").alias("held_out"), "run")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Secret scans: a random forest keeps the findings that are secrets and drops the false positives.
 
-A candidate is a long token that mixes kinds of characters. Its features are its length, how often the kind of character
+A candidate is a long run of characters within a word, with a digit; a word can hold several. Its features are its length, how often the kind of character
 changes, how much of it the most frequent words of the corpus cover, whether it looks like a path, and whether neighbouring
 words speak of keys. The forest learns from labelled findings and becomes one expression, so a scan is a projection of
 whole texts: nothing is shuffled.
@@ -9,7 +9,7 @@ whole texts: nothing is shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -26,7 +26,13 @@ LEAST_SCORE = 0.5
 MASK = "[secret]"
 
 _SPACE = r"[\x09-\x0D\x20]+"
-_CORE = rf"[A-Za-z0-9+/_=.~\-]{{{LEAST_CHARS},}}"
+_PIECE = r"(?<=[\x09-\x0D\x20])(?![\x09-\x0D\x20])"  # cuts as _SPACE does and leaves the white space with the word before
+_CHAR = r"[A-Za-z0-9+/_.~\-]"
+#: A long run with its padding, or a shorter one; shorter ones that are joined by = count as one. Only a long run is tried
+#: for itself, so the name before a long value is no part of it.
+_RUN = (rf"{_CHAR}{{{LEAST_CHARS},}}(?:={{1,2}}(?![A-Za-z0-9+/_.~\-=\"'`]))?"
+        rf"|{_CHAR}{{1,{LEAST_CHARS - 1}}}(?:=+{_CHAR}{{0,{LEAST_CHARS - 1}}}){{0,8}}(?!{_CHAR})")
+_FIELD = r"[^,;&?{}|]*"
 _KEYWORD = r"(?i)(?:api|access|auth|private|client|secret|session)?[_-]?(?:key|token|secret|passw(?:or)?d|passwd|pwd|credential|bearer)s?"
 #: Well known forms of issued credentials; they label a finding, whatever stands around it.
 _ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
@@ -36,23 +42,55 @@ DICTIONARY_WORDS = 1000  # the most frequent words of the corpus, of so many let
 DICTIONARY_LETTERS = (3, 12)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once and not at each place that it is used at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), _SPACE)
+
+
+def _parts(words: Column, i: Column) -> Column:
+    """Word i cut at its runs: text between runs and runs in turn. No word holds a line feed."""
+    return F.split(F.regexp_replace(F.get(words, i), f"({_RUN})", "\n$1\n"), "\n")
+
+
+def _interesting(words: Column, i: Column) -> Column:
+    w = F.get(words, i)
+    return (F.length(w) >= LEAST_CHARS) & w.rlike("[0-9]")
+
+
+def _found(words: Column, i: Column, parts: Column) -> Column:
+    """Array of the candidates among the runs of word i."""
+    at = lambda k: F.coalesce(F.when(k >= 0, F.get(parts, k)), F.lit(""))
+    word = lambda k: F.coalesce(F.get(words, k), F.lit(""))
+
+    def one(core: Column, k: Column) -> Column:
+        ahead = F.concat(at(k - 3), at(k - 2), at(k - 1))
+        lead = F.regexp_extract(ahead, f"{_FIELD}$", 0)
+        tail = F.regexp_extract(F.concat(at(k + 1), at(k + 2)), f"^{_FIELD}", 0)
+        return F.when((k % 2 == 1) & (F.length(core) >= LEAST_CHARS) & core.rlike("[0-9]"), F.struct(
+            i.cast("long").alias("place"), F.floor(k / 2).cast("long").alias("run"), core.alias("core"), word(i).alias("token"),
+            lead.alias("lead"), F.concat(lead, core, tail).alias("field"),
+            ((k <= 3) & (F.length(lead) == F.length(ahead))).alias("first"),
+            word(i - 1).alias("before"), word(i - 2).alias("before2"), word(i + 1).alias("after")))
+
+    return F.filter(F.transform(parts, one), lambda s: s.isNotNull())
+
+
 def candidates(text: Column) -> Column:
-    """Array of structs, one per candidate of a text, in order: place (in words), core, token, before, before2, after.
+    """Array of structs, one per candidate of a text, in order: place (in words), run (in the word), core, token, lead (what
+    stands before the core in its field of the word), field, first (whether it is the word's first field), before, before2,
+    after.
 
-    Words are split at ASCII white space. Null text has none.
+    Words are split at ASCII white space; null text has none. Each run of a word is a candidate of its own.
     """
-    words = F.split(F.coalesce(text, F.lit("")), _SPACE)
-    core = lambda w: F.regexp_extract(w, _CORE, 0)
-    mixed = lambda w: (F.length(w) >= LEAST_CHARS) & w.rlike(_CORE) & w.rlike("[0-9]")
-
-    def found(w: Column, i: Column) -> Column:
-        return F.when(mixed(w), F.struct(
-            i.cast("long").alias("place"), core(w).alias("core"), w.alias("token"),
-            F.coalesce(F.get(words, i - 1), F.lit("")).alias("before"),
-            F.coalesce(F.get(words, i - 2), F.lit("")).alias("before2"),
-            F.coalesce(F.get(words, i + 1), F.lit("")).alias("after")))
+    def found(words: Column) -> Column:
+        return F.flatten(F.filter(F.transform(words, lambda w, i: F.when(
+            _interesting(words, i), _let(_parts(words, i), lambda parts: _found(words, i, parts)))), lambda x: x.isNotNull()))
 
-    return F.filter(F.transform(words, found), lambda s: s.isNotNull())
+    return _let(_words(text), found)
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
@@ -65,7 +103,7 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
 
 def features(s: Column, words: Sequence[str] = ()) -> dict[str, Column]:
     """Numbers on a coarse scale, so that findings fall into few distinct cells however many there are."""
-    core, near = s["core"], F.concat_ws(" ", s["before2"], s["before"])
+    core, near = s["core"], F.when(s["first"], F.concat_ws(" ", s["before2"], s["before"]))
     size = F.length(core).cast("double")
     left = lambda pattern: F.length(F.regexp_replace(core, pattern, ""))
     fifth = lambda x: F.round(x * 5) / 5
@@ -76,19 +114,19 @@ def features(s: Column, words: Sequence[str] = ()) -> dict[str, Column]:
         "digits": fifth(1 - left("[0-9]") / size),
         "hex": F.when(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 1.0).otherwise(0.0),
         "coverage": fifth(1 - left("(?i)" + "|".join(words)) / size) if words else F.lit(0.0),
-        "path": F.when(s["token"].rlike(_PATH), 1.0).otherwise(0.0),
-        "address": F.when(s["token"].rlike(_ADDRESS), 1.0).otherwise(0.0),
-        "keyword": F.when(F.concat_ws(" ", near, s["token"]).rlike(_KEYWORD), 1.0).otherwise(0.0),
-        "assigned": F.when(s["before"].rlike("^(?:=|:|:=|=>)$") | s["token"].rlike("^[A-Za-z_.\\-]+[=:]"), 1.0).otherwise(0.0),
-        "quoted": F.when(s["token"].rlike("^[\"'`]|[=:][\"'`]"), 1.0).otherwise(0.0),
+        "path": F.when(s["field"].rlike(_PATH), 1.0).otherwise(0.0),
+        "address": F.when(s["field"].rlike(_ADDRESS), 1.0).otherwise(0.0),
+        "keyword": F.when(F.concat_ws(" ", near, s["field"]).rlike(_KEYWORD), 1.0).otherwise(0.0),
+        "assigned": F.when((s["first"] & s["before"].rlike("^(?:=|:|:=|=>)$")) | s["lead"].rlike("[A-Za-z_.\\-][\"'`]?[=:][\"'`]?$"), 1.0).otherwise(0.0),
+        "quoted": F.when(s["lead"].rlike("[\"'`]$"), 1.0).otherwise(0.0),
     }
 
 
 def rule_label(s: Column) -> Column:
     """Label by rule, for corpora without reviewed findings: an issued form, or a value assigned to a name of a key."""
-    assigned = s["before"].rlike("^(?:=|:|:=|=>)$") & s["before2"].rlike(f"^[\"'`]?{_KEYWORD}[\"'`]?$")
-    inline = s["token"].rlike(f"^[\"'`]?{_KEYWORD}[\"'`]?[=:]")
-    shape = s["core"].rlike(r"^(?:[0-9a-fA-F]{24,}|[A-Za-z0-9+/_=.~\-]{16,})$") & ~s["token"].rlike(_ADDRESS)
+    assigned = s["first"] & s["before"].rlike("^(?:=|:|:=|=>)$") & s["before2"].rlike(f"^[\"'`]?{_KEYWORD}[\"'`]?$")
+    inline = s["lead"].rlike(f"(?:^|[^A-Za-z0-9]){_KEYWORD}[\"'`]?[=:][\"'`]?$")
+    shape = s["core"].rlike(r"^(?:[0-9a-fA-F]{24,}|[A-Za-z0-9+/_=.~\-]{16,})$") & ~s["field"].rlike(_ADDRESS)
     return F.when(s["core"].rlike(_ISSUED) | ((assigned | inline) & shape), 1.0).otherwise(0.0)
 
 
@@ -128,9 +166,9 @@ def _parse(lines: list[str]):
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] = ()) -> DataFrame:
-    """A row per candidate: id_col, place, core, token, the features, with a dictionary of `words`."""
+    """A row per candidate: id_col, place, run, core, token, the features, with a dictionary of `words`."""
     rows = docs.select(id_col, F.explode(candidates(F.col(text_col))).alias("s"))
-    rows = rows.select(id_col, "s.place", "s.core", "s.token", "s.before", "s.before2", "s.after", "s")
+    rows = rows.select(id_col, "s.place", "s.run", "s.core", "s.token", "s.before", "s.before2", "s.after", "s")
     return rows.select("*", *[v.alias(k) for k, v in features(F.col("s"), words).items()])
 
 
@@ -162,18 +200,43 @@ def fit_by_rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per candidate: id_col, place, token, core, score, is_secret. Texts without candidates, null and empty ones
+    """A row per candidate: id_col, place, token, core, score, is_secret, run. Texts without candidates, null and empty ones
     included, give no rows; repeated rows and null ids are scanned like others. Other columns are not read."""
     rows = findings(docs, id_col, text_col, forest.words)
     score = forest.score({k: F.col(k) for k in FEATURES})
     return rows.withColumn("score", score).select(
-        id_col, "place", "token", "core", "score", (F.col("score") >= LEAST_SCORE).alias("is_secret"))
+        id_col, "place", "token", "core", "score", (F.col("score") >= LEAST_SCORE).alias("is_secret"), "run")
 
 
 def mask(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
-    """Every row of docs, all columns; secrets in the text are replaced by MASK. Null text stays null."""
-    judged = F.filter(candidates(F.col(text_col)), lambda s: forest.score(features(s, forest.words)) >= LEAST_SCORE)
-    cores = F.array_distinct(F.transform(judged, lambda s: s["core"]))
-    hidden = F.aggregate("_cores", F.col(text_col), lambda text, core: F.replace(text, core, F.lit(MASK)))
-    masked = F.when(F.size("_cores") > 0, hidden).otherwise(F.col(text_col))
-    return docs.withColumn("_cores", cores).withColumn(text_col, masked).select(*docs.columns)
+    """Every row of docs, all columns; each run of the text that is judged secret is replaced by MASK, and so are further
+    copies of it if it is long. Null text stays null."""
+    def secret(s: Column) -> Column:
+        return forest.score(features(s, forest.words)) >= LEAST_SCORE
+
+    def hide(words: Column, i: Column, piece: Column) -> Column:
+        """The piece (word i and the white space after it) with its secrets hidden, and the long ones, if it has any."""
+        def hidden(parts: Column, judged: Column) -> Column:
+            runs = F.transform(judged, lambda s: s["run"])
+            out = F.transform(parts, lambda x, k: F.when((k % 2 == 1) & F.array_contains(runs, F.floor(k / 2)), F.lit(MASK)).otherwise(x))
+            space = F.substr(piece, F.length(F.get(words, i)) + 1)
+            return F.when(F.size(judged) > 0, F.struct(
+                F.concat(F.array_join(out, ""), space).alias("text"),
+                F.filter(F.transform(judged, lambda s: s["core"]), lambda c: F.length(c) >= LEAST_CHARS).alias("long")))
+
+        return F.when(_interesting(words, i), _let(_parts(words, i), lambda parts: _let(
+            F.filter(_found(words, i, parts), secret), lambda judged: hidden(parts, judged))))
+
+    text = F.col(text_col)
+
+    def whole(words: Column, pieces: Column) -> Column:
+        def joined(done: Column) -> Column:
+            cores = F.array_distinct(F.flatten(F.filter(F.transform(done, lambda d: d["long"]), lambda x: x.isNotNull())))
+            out = F.array_join(F.zip_with(pieces, done, lambda p, d: F.coalesce(d["text"], p)), "")
+            masked = F.aggregate(cores, out, lambda t, core: F.replace(t, core, F.lit(MASK)))
+            return F.when(F.exists(done, lambda d: d.isNotNull()), masked).otherwise(text)
+
+        return _let(F.transform(pieces, lambda p, i: hide(words, i, p)), joined)
+
+    masked = _let(_words(text), lambda words: _let(F.split(text, _PIECE), lambda pieces: whole(words, pieces)))
+    return docs.withColumn(text_col, F.when(text.isNotNull(), masked)).select(*docs.columns)

@@ -105,3 +105,29 @@ def test_dictionary_and_coverage(spark):
     assert words[:2] == ["bermut", "garden"] and set(words) == {"bermut", "garden", "house"}
     found = secret_scan.findings(docs(spark, [(1, "GARDENhousegarden123 9f86d081884c7d65")]), words=words)
     assert [r["coverage"] for r in found.collect()] == [0.8, 0.0]
+
+
+ISSUED = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vX7zA9cE1gI3kM5"
+
+
+def test_every_run_of_a_word(spark):
+    live = "sk_live_" + "a1B2c3D4e5F6g7H8"
+    texts = [f'{{"id":"0123456789abcdef01","api_key":"{live}"}}', f"https://host/a/long/path2?token={ISSUED}",
+             f'"private_key_token_1":"{KEY}"', f"0123456789abcdef01,{ISSUED},plain", f"user:{ISSUED}:0123456789abcdef01"]
+    table = docs(spark, [*enumerate(texts, 1000), *corpus()])
+    forest = secret_scan.fit_by_rule(table)
+    found = secret_scan.findings(table, words=forest.words).where("doc_id >= 1000").withColumn("label", secret_scan.rule_label(F.col("s")))
+    cores = {}
+    for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["run"])):
+        cores.setdefault(r["doc_id"], []).append((r["core"], r["label"]))
+    assert [cores[i] for i in range(1000, 1005)] == [
+        [("0123456789abcdef01", 0.0), (live, 1.0)], [("//host/a/long/path2", 0.0), (ISSUED, 1.0)],
+        [("private_key_token_1", 0.0), (KEY, 0.0)], [("0123456789abcdef01", 0.0), (ISSUED, 1.0)],
+        [(ISSUED, 1.0), ("0123456789abcdef01", 0.0)]]
+
+
+def test_mask_by_place(spark):
+    forest = secret_scan.Forest([("keyword", 0.5, 0.0, 1.0)])
+    text = f'  x\t{{"id":"0123456789abcdef01","api_key":"{KEY}"}}\n\n y https://h/p?a=1&token={ISSUED}&id=0123456789abcdef01 and so on {KEY}x '
+    masked = secret_scan.mask(docs(spark, [(1, text)]), forest).first()["text"]
+    assert masked == text.replace(KEY, secret_scan.MASK).replace(ISSUED, secret_scan.MASK)
