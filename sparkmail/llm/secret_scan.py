@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from sparkmail.llm.common import remainder, stage
 
 LEAST_CHARS = 16
-FEATURES = ("length", "changes", "digits", "hex", "coverage", "path", "address", "keyword", "assigned", "quoted")
+FEATURES = ("length", "changes", "digits", "hex", "coverage", "path", "address", "keyword", "assigned", "quoted",
+            "issued", "named")
 TREES, DEPTH = 25, 5
 LEAST_SCORE = 0.5
 MASK = "[secret]"
@@ -35,7 +36,16 @@ _RUN = (rf"{_CHAR}{{{LEAST_CHARS},}}(?:={{1,2}}(?![A-Za-z0-9+/_.~\-=\"'`]))?"
 _FIELD = r"[^,;&?{}|]*"
 _KEYWORD = r"(?i)(?:api|access|auth|private|client|secret|session)?[_-]?(?:key|token|secret|passw(?:or)?d|passwd|pwd|credential|bearer)s?"
 #: Well known forms of issued credentials; they label a finding, whatever stands around it.
-_ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
+_ISSUED = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)(?![A-Za-z0-9])"
+#: The name of a key, an assignment, and a value of any length.
+_NAME = (r"(?<![A-Za-z0-9+/_.~\-])(?:(?i:(?:[a-z0-9+/_.~\-]*[+/_.~\-])?(?:api|access|auth|private|client|secret|session)?"
+         r"(?:key|token|secret|passw(?:or)?d|passphrase|pwd|credential|bearer)s?)"
+         r"|[A-Za-z0-9+/_.~\-]*[a-z0-9](?:Key|Token|Secret|Passw(?:or)?d|Passphrase|Pwd|Credential)s?)")
+_QUOTE = r"\\*[\"'`]?"
+_ASSIGN = r"(?:=>|:=|=(?!=)|:(?!:|//))"
+_VALUE = r"""(?:(?<=")[^"]*[^"\\]|(?<=')[^']*[^'\\]|(?<=`)[^`]+|(?<!["'`])[^"'`,;&]*[^"'`,;&)\]}>])"""
+_PASSWORD = r"(?i)passw(?:or)?d|passphrase|pwd"
+_STRONG = _PASSWORD + "|secret|credential"
 _ADDRESS = r"(?i)@|^https?:|^www\.|\.(?:com|org|net|html?)\b"
 _PATH = r"[A-Za-z0-9_.\-]*(?:/[A-Za-z0-9_.\-]+){2,}|\.[a-z]{1,4}$"
 DICTIONARY_WORDS = 1000  # the most frequent words of the corpus, of so many letters, are the dictionary
@@ -51,14 +61,26 @@ def _words(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), _SPACE)
 
 
+def _head(words: Column, i: Column) -> Column:
+    """Whether word i begins with a value, or an assignment and a value, of the name of a key in the words before."""
+    word = lambda k: F.coalesce(F.get(words, k), F.lit(""))
+    before, w = word(i - 1), F.get(words, i)
+    return (before.rlike("[=:>]$") & (before.rlike(f"{_NAME}{_QUOTE}{_ASSIGN}$")
+                                      | before.rlike(f"^{_ASSIGN}$") & word(i - 2).rlike(f"{_NAME}{_QUOTE}$"))) \
+        | (w.rlike("^[=:]") & before.rlike(f"{_NAME}{_QUOTE}$"))
+
+
 def _parts(words: Column, i: Column) -> Column:
-    """Word i cut at its runs: text between runs and runs in turn. No word holds a line feed."""
-    return F.split(F.regexp_replace(F.get(words, i), f"({_RUN})", "\n$1\n"), "\n")
+    """Word i cut at its runs and named values: text between them and they in turn. No word holds a line feed."""
+    rest = f"({_NAME}{_QUOTE}{_ASSIGN}{_QUOTE})({_VALUE})|({_RUN})"
+    cut = lambda pattern, by: F.regexp_replace(F.get(words, i), pattern, by)
+    return F.split(F.when(_head(words, i), cut(f"^({_ASSIGN}?+{_QUOTE})(?![=:>])({_VALUE})|{rest}", "$1$3\n$2$4$5\n"))
+                   .otherwise(cut(rest, "$1\n$2$3\n")), "\n")
 
 
 def _interesting(words: Column, i: Column) -> Column:
     w = F.get(words, i)
-    return (F.length(w) >= LEAST_CHARS) & w.rlike("[0-9]")
+    return w.rlike("[=:]") | ((F.length(w) >= LEAST_CHARS) & w.rlike("[0-9]")) | w.rlike(_ISSUED) | _head(words, i)
 
 
 def _found(words: Column, i: Column, parts: Column) -> Column:
@@ -70,7 +92,11 @@ def _found(words: Column, i: Column, parts: Column) -> Column:
         ahead = F.concat(at(k - 3), at(k - 2), at(k - 1))
         lead = F.regexp_extract(ahead, f"{_FIELD}$", 0)
         tail = F.regexp_extract(F.concat(at(k + 1), at(k + 2)), f"^{_FIELD}", 0)
-        return F.when((k % 2 == 1) & (F.length(core) >= LEAST_CHARS) & core.rlike("[0-9]"), F.struct(
+        named = at(k - 1).rlike(f"{_NAME}{_QUOTE}{_ASSIGN}{_QUOTE}$") \
+            | ((k == 1) & at(k - 1).rlike(f"^{_ASSIGN}?{_QUOTE}$") & _head(words, i))
+        long = (F.length(core) >= LEAST_CHARS) & core.rlike("[0-9]")
+        return F.when((k % 2 == 1) & (F.length(core) > 0) & (long | core.rlike(_ISSUED) | named), F.struct(
+            named.alias("named"),
             i.cast("long").alias("place"), F.floor(k / 2).cast("long").alias("run"), core.alias("core"), word(i).alias("token"),
             lead.alias("lead"), F.concat(lead, core, tail).alias("field"),
             ((k <= 3) & (F.length(lead) == F.length(ahead))).alias("first"),
@@ -80,8 +106,8 @@ def _found(words: Column, i: Column, parts: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of structs, one per candidate of a text, in order: place (in words), run (in the word), core, token, lead (what
-    stands before the core in its field of the word), field, first (whether it is the word's first field), before, before2,
+    """Array of structs, one per candidate of a text, in order: place (in words), run (in the word), core, token, named
+    (whether it is assigned to the name of a key), lead (what stands before the core in its field of the word), field, first (whether it is the word's first field), before, before2,
     after.
 
     Words are split at ASCII white space; null text has none. Each run of a word is a candidate of its own.
@@ -101,6 +127,16 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> list[str]:
     return sorted((r["word"] for r in top), key=lambda w: (-len(w), w))
 
 
+def _clear(s: Column) -> Column:
+    """Whether a named value reads like a credential: any value of a password, one of a secret unless it is a bare word
+    after a colon as in prose, and of other keys one of 8 characters or more with letters and digits. Addresses are none."""
+    name = F.concat_ws(" ", F.when(s["first"], F.concat_ws(" ", s["before2"], s["before"])), s["lead"])
+    prose = s["core"].rlike("^[A-Za-z]+[.!]?$") & name.rlike(r":\s*$")
+    mixed = (F.length(s["core"]) >= 8) & s["core"].rlike("[0-9]") & s["core"].rlike("[A-Za-z]")
+    address = s["core"].rlike(r"(?i)^https?:|^www\.|@[a-z0-9\-]+\.[a-z]")
+    return s["named"] & ~address & (name.rlike(_PASSWORD) | (name.rlike(_STRONG) & ~prose) | mixed)
+
+
 def features(s: Column, words: Sequence[str] = ()) -> dict[str, Column]:
     """Numbers on a coarse scale, so that findings fall into few distinct cells however many there are."""
     core, near = s["core"], F.when(s["first"], F.concat_ws(" ", s["before2"], s["before"]))
@@ -119,6 +155,8 @@ def features(s: Column, words: Sequence[str] = ()) -> dict[str, Column]:
         "keyword": F.when(F.concat_ws(" ", near, s["field"]).rlike(_KEYWORD), 1.0).otherwise(0.0),
         "assigned": F.when((s["first"] & s["before"].rlike("^(?:=|:|:=|=>)$")) | s["lead"].rlike("[A-Za-z_.\\-][\"'`]?[=:][\"'`]?$"), 1.0).otherwise(0.0),
         "quoted": F.when(s["lead"].rlike("[\"'`]$"), 1.0).otherwise(0.0),
+        "issued": F.when(core.rlike(_ISSUED), 1.0).otherwise(0.0),
+        "named": F.when(_clear(s), 1.0).when(s["named"], 0.5).otherwise(0.0),
     }
 
 
@@ -127,7 +165,7 @@ def rule_label(s: Column) -> Column:
     assigned = s["first"] & s["before"].rlike("^(?:=|:|:=|=>)$") & s["before2"].rlike(f"^[\"'`]?{_KEYWORD}[\"'`]?$")
     inline = s["lead"].rlike(f"(?:^|[^A-Za-z0-9]){_KEYWORD}[\"'`]?[=:][\"'`]?$")
     shape = s["core"].rlike(r"^(?:[0-9a-fA-F]{24,}|[A-Za-z0-9+/_=.~\-]{16,})$") & ~s["field"].rlike(_ADDRESS)
-    return F.when(s["core"].rlike(_ISSUED) | ((assigned | inline) & shape), 1.0).otherwise(0.0)
+    return F.when(s["core"].rlike(_ISSUED) | _clear(s) | ((assigned | inline) & shape & s["core"].rlike("[0-9]")), 1.0).otherwise(0.0)
 
 
 @dataclass

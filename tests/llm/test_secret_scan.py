@@ -131,3 +131,18 @@ def test_mask_by_place(spark):
     text = f'  x\t{{"id":"0123456789abcdef01","api_key":"{KEY}"}}\n\n y https://h/p?a=1&token={ISSUED}&id=0123456789abcdef01 and so on {KEY}x '
     masked = secret_scan.mask(docs(spark, [(1, text)]), forest).first()["text"]
     assert masked == text.replace(KEY, secret_scan.MASK).replace(ISSUED, secret_scan.MASK)
+
+
+def test_named_values_and_issued_forms(spark):
+    aws = "AKIA" + "QWERTYUIOPASDFGH"
+    secret = {"password = hunter2 x": "hunter2", 'dbPassword="p@ss,w0rd"': "p@ss,w0rd", "api_key: a1b2c3d4": "a1b2c3d4",
+              'x {"passphrase":"correcthorse"}': "correcthorse", f"AWS_ID={aws} x": aws, f"the key is {aws}. And": aws}
+    plain = ["The key: always try", "monkey = banana", "see token=https://example.com"]
+    table = docs(spark, [*enumerate([*secret, *plain], 1000), *corpus()])
+    rows = secret_scan.findings(table.where("doc_id >= 1000")).withColumn("label", secret_scan.rule_label(F.col("s"))).collect()
+    labelled = {r["doc_id"]: r["core"] for r in rows if r["label"] == 1}
+    assert {i: c.rstrip(".") for i, c in labelled.items()} == dict(enumerate(secret.values(), 1000))
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask(table, secret_scan.Forest([("issued", 0.5, ("named", 0.5, 0.0, 1.0), 1.0)])).collect()}
+    for i, (text, value) in enumerate(secret.items(), 1000):
+        assert value not in masked[i] and secret_scan.MASK in masked[i]
+    assert [masked[1000 + len(secret) + k] for k in range(3)] == plain
