@@ -27,6 +27,9 @@ COLUMNS = {
     "op8_quality": "doc_id held_out score predicted",
     "op9_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op11_trie_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_prefix_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_fill_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
@@ -40,7 +43,7 @@ def test_query(spark, name):
     found = queries.REGISTRY[name](spark, SF)
     assert found.columns[:len(COLUMNS[name].split())] == COLUMNS[name].split()
     rows = found.collect()
-    given = "embeddings" if name.startswith("op7") else "pages" if name.startswith("op10") else "documents"
+    given = "embeddings" if name.startswith(("op7", "op11")) else "pages" if name.startswith("op10") else "documents"
     table = spark.read.parquet(f"{SF}/{given}.parquet")
     ids = sorted(r[0] for r in table.select(found.columns[0]).collect())
     if name == "op2_secrets":
