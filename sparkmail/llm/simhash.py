@@ -156,8 +156,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                radius: int = 3) -> DataFrame:
-    """The document with the smallest id of each group; of repeated rows of that id one. Rows without an id stay."""
-    groups = simhash_groups(docs, id_col, text_col, width, radius)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns) \
-        .union(docs.where(F.col(id_col).isNull()))
+    """One row of each group: that with the smallest id, and of several texts with this id the one with the smallest hash.
+
+    Rows without an id come after all others, so one of them stays only where its group has no id. Different texts that
+    share an id are told apart, so each group keeps a row. Rows repeated with id and text are one.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    groups = simhash_groups(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", width, radius)
+    first = groups.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(first, "key", "left_semi")
+    return rows.dropDuplicates(["key"]).select("row.*")

@@ -75,6 +75,22 @@ def test_take_repeats_rows(spark):
     assert found == {k: v for k, v in copies.items() if v}
 
 
+def test_take_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "_copies", "_copy", "_tie", "tie", "row", "id", "r", "t"]
+    rows = [(i, f"word {i} " * (i + 1), "s", *["mine"] * 8) for i in range(8)] + [(None, "no id", "s", *["mine"] * 8)]
+    table = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    taken = mixing.take(table)
+    assert taken.columns == names
+    found = [tuple(r) for r in taken.collect()]
+    assert set(found) <= set(rows) and len(set(found)) > 4
+
+
+def test_take_of_one_id_with_two_texts(spark):
+    rows = [(1, "a b c d e f", "s"), (1, "quite another text here", "s"), (2, "x y z", "s")]
+    found = {(r["doc_id"], r["text"]) for r in mixing.take(docs(spark, rows), share=2.0).collect()}
+    assert found == {(i, t) for i, t, _ in rows}
+
+
 def test_empty_table(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
     assert mixing.take(docs(spark, [])).collect() == []

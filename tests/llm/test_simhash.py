@@ -83,9 +83,18 @@ def test_groups(spark):
 
 def test_keep_first(spark):
     rows = [(4, "a b c d"), (2, "a b c d"), (2, "a b c d"), (9, "quite other words here"), (None, "a b c d")]
+    rows += [(1, "one text"), (1, "another text with this id"), *[(None, "nobody named this one")] * 5, (None, None), (None, "")]
     kept = simhash.keep_first(docs(spark, rows))
     assert kept.columns == ["doc_id", "text", "fp", "component_id"]
-    assert sorted(r[0] or 0 for r in kept.collect()) == [0, 2, 9]
+    found = sorted(((r[0], r[1] or "") for r in kept.collect()), key=repr)
+    assert found == sorted([(2, "a b c d"), (9, "quite other words here"), (1, "one text"), (1, "another text with this id"),
+                            (None, "nobody named this one"), (None, "")], key=repr)
+
+
+def test_keep_first_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c", "x", "y", 5), (2, "a b c", "z", None, 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key string, row string, none int")
+    assert [tuple(r) for r in simhash.keep_first(table).collect()] == [rows[0]]
 
 
 def test_empty_table(spark):
