@@ -92,12 +92,16 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(mark[:-1])]
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+
+
 class Vocabulary:
     """The tokens of a file of ranks, and which of them may follow each other."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        self.ranks = _ranks(path)
         self.pieces = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.ends = ahocorasick.Automaton()
@@ -290,6 +294,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in _ranks(path).items()}
+
+
 def _settled(begins: np.ndarray, ends: np.ndarray, place: int) -> int:
     """How many words were found without looking at bytes from `place` on. A word of white space looks at the character
     behind its run, and the run's last one belongs to the next word; so the last word that ends early enough is left out."""
@@ -412,7 +421,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     path = path or default_ranks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = vocabulary(path).pieces.__getitem__
+        piece = _pieces(path).__getitem__
         for batch in batches:
             for rows in slices(batch, 1, SLICE_BYTES):
                 data, offsets = texts_of(rows.column(1))
