@@ -9,6 +9,7 @@ Columns of numbers travel as compressed bytes, a row per block and word bucket.
 from __future__ import annotations
 
 import hashlib
+import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,10 +21,13 @@ import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-BLOCK_CHARS = 16_000_000  # characters of text in a block; a longer text is a block of its own
+BLOCK_CHARS = 2_000_000  # characters of text in a block; a longer text is a block of its own
+BUCKET_BYTES = 16_000_000  # of text for each bucket of words, so a bucket's size does not grow with the input
+ENCODED_AT_ONCE = 4096  # distinct words handed to the library in one call
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -35,6 +39,7 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -173,8 +178,11 @@ def _encode(path: str) -> Callable[[pa.Table], pa.Table]:
         """All lists of one bucket: each distinct word is encoded once, each list gets its ids."""
         lists = [_unpack_words(a, b) for a, b in zip(listed.column("lengths").to_pylist(), listed.column("joined").to_pylist())]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
-        encoded = _tokenizer(path).encode_batch([w.decode("utf-8", "surrogatepass") for w in distinct], add_special_tokens=False)
-        ids_of = {w: e.ids for w, e in zip(distinct, encoded)}
+        ids_of, tokenizer = {}, _tokenizer(path)
+        for start in range(0, len(distinct), ENCODED_AT_ONCE):  # the library's result for a word is some hundred times its size
+            part = distinct[start:start + ENCODED_AT_ONCE]
+            found = tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
+            ids_of.update(zip(part, (e.ids for e in found)))
         counts, flat = [], []
         for words in lists:
             found = [ids_of[w] for w in words]
@@ -246,9 +254,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
     path = path or default_tokenizer()
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as the user has sized them for the input
     picked = docs.select(id_col, text_col)
+    size = picked.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
     id_type = to_arrow_type(picked.schema[id_col].dataType)
     listed = T.StructType.fromDDL("bucket long, lengths binary, joined binary")
     shape = T.StructType([
