@@ -17,6 +17,11 @@ def decrements(repaired: DataFrame) -> DataFrame:
     return sender_counts(repaired.filter("duplicate"))
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """sender, mails_sent: the row of each sender's newest epoch."""
+    return rows.groupBy("sender").agg(F.max_by("mails_sent", "epoch").alias("mails_sent"))
+
+
 def _side_by_side(senders: DataFrame, deltas: DataFrame) -> DataFrame:
     """sender, mails_sent, n: both sides are unique per sender, so one hash
     aggregation over their union lines them up."""

@@ -28,17 +28,37 @@ def known_ids(seen: DataFrame) -> DataFrame:
     return seen.select("rfc_message_id").filter(F.col("rfc_message_id") != "").distinct()
 
 
+def holders(rows: DataFrame) -> DataFrame:
+    """rfc_message_id and the mail_id of the first row that has it; rows without an id are not in the result."""
+    return first_per_key(
+        rows.filter(F.col("rfc_message_id").isNotNull()).select("rfc_message_id", "seq", "mail_id"), "rfc_message_id")
+
+
 def first_holders(rows: DataFrame, known: DataFrame) -> DataFrame:
     """mail_id of the row that may keep the count of its Message-ID.
 
     The first row per id, unless the id was recorded before. Rows without an
     id are not in the result.
     """
-    holders = first_per_key(
-        rows.filter(F.col("rfc_message_id").isNotNull()).select("rfc_message_id", "seq", "mail_id"),
-        "rfc_message_id",
+    return holders(rows).join(known, "rfc_message_id", "left_anti").select("mail_id")
+
+
+def flag_counted(fresh: DataFrame, holds: DataFrame) -> DataFrame:
+    """Rows to record with `counted`: they have no Message-ID, or hold theirs (a row in `holds`)."""
+    return fresh.join(holds, "mail_id", "left").select(
+        *fresh.columns,
+        (F.col("rfc_message_id").isNull() | F.coalesce("holds", F.lit(False))).alias("counted"),
+    )
+
+
+def flag_repairs(applied: DataFrame, holds: DataFrame) -> DataFrame:
+    """Repairs with `duplicate`: they have a Message-ID and do not hold it. '' stands for "has none"."""
+    return applied.join(holds, "mail_id", "left").select(
+        "mail_id",
+        F.coalesce("rfc_message_id", F.lit("")).alias("rfc_message_id"),
+        "sender",
+        (F.col("rfc_message_id").isNotNull() & F.col("holds").isNull()).alias("duplicate"),
     )
-    return holders.join(known, "rfc_message_id", "left_anti").select("mail_id")
 
 
 def new_rows(batch: DataFrame, seen: DataFrame) -> DataFrame:
@@ -49,11 +69,8 @@ def new_rows(batch: DataFrame, seen: DataFrame) -> DataFrame:
     """
     # A listing may be replayed whole: drop copies first, then what is known.
     fresh = first_per_key(batch, "mail_id").join(seen.select("mail_id"), "mail_id", "left_anti")
-    holders = first_holders(fresh, known_ids(seen)).withColumn("holds", F.lit(True))
-    return fresh.join(holders, "mail_id", "left").select(
-        *batch.columns,
-        (F.col("rfc_message_id").isNull() | F.coalesce("holds", F.lit(False))).alias("counted"),
-    )
+    holds = first_holders(fresh, known_ids(seen)).withColumn("holds", F.lit(True))
+    return flag_counted(fresh.select(*batch.columns), holds)
 
 
 def dedupe_stored(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -70,13 +87,8 @@ def repair_rows(fetched: DataFrame, seen: DataFrame) -> DataFrame:
     """
     pending = seen.filter(F.col("rfc_message_id").isNull()).select("mail_id")
     applied = first_per_key(fetched, "mail_id").join(pending, "mail_id", "left_semi")
-    holders = first_holders(applied, known_ids(seen)).withColumn("holds", F.lit(True))
-    return applied.join(holders, "mail_id", "left").select(
-        "mail_id",
-        F.coalesce("rfc_message_id", F.lit("")).alias("rfc_message_id"),
-        "sender",
-        (F.col("rfc_message_id").isNotNull() & F.col("holds").isNull()).alias("duplicate"),
-    )
+    holds = first_holders(applied, known_ids(seen)).withColumn("holds", F.lit(True))
+    return flag_repairs(applied, holds)
 
 
 def repair_outcome(fetched: DataFrame, repaired: DataFrame) -> DataFrame:

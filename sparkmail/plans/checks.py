@@ -233,6 +233,23 @@ def oracle_sql() -> dict[str, str]:
         SELECT CAST(sum(bytes) AS BIGINT) AS bytes,
                lower(to_hex(bit_xor(CAST('0x' || substr(md5(start || ':' || md5(text)), 1, 15) AS BIGINT)))) AS hash
         FROM records GROUP BY bundle"""
+    counted_streams = f"""WITH {_BASE}, {_DOCS},
+      scanned AS (SELECT * FROM doc_senders WHERE event_id % 4 <> 3),
+      imported AS (SELECT * FROM import WHERE mail_id NOT IN (SELECT 'mid:' || message_id FROM scanned WHERE message_id IS NOT NULL))
+    """
+    running_sums = f"""{counted_streams}
+      SELECT sender, count(*) AS mails_sent
+      FROM (SELECT sender FROM scanned UNION ALL SELECT address FROM imported) GROUP BY sender"""
+    sql["mbox_resume"] = sql["live_summary"] = running_sums
+    sql["run_rows_after_ingest"] = f"""{counted_streams}
+      SELECT 'gmail_api' AS source, 1::BIGINT AS runs, 'done' AS states, (SELECT count(*) FROM scanned) AS messages_seen,
+             (SELECT count(*) FROM scanned) AS messages_new, NULL::BOOLEAN AS all_bytes
+      UNION ALL
+      SELECT 'mbox', 2, 'cancelled,done', (SELECT count(*) FROM import_all), (SELECT count(*) FROM imported), true"""
+    sql["mbox_refused"] = f"""WITH {_BASE}
+      SELECT 'messages' AS reason, count(*) AS n FROM import
+      UNION ALL SELECT 'no separator', least(1, count(*)) FROM benchmark
+      UNION ALL SELECT 'compressed', least(1, count(*)) FROM benchmark"""
     sql["stream_ingest"] = f"""
         WITH {_BASE}, {_DOCS},
         counted AS (

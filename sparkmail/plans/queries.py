@@ -11,7 +11,7 @@ from sparkmail.functions.mbox_headers import parse_headers
 from sparkmail.operators import counters, dedupe, rates, runs as run_ops, summary
 from sparkmail.plans import views as v
 from sparkmail.session import cut_lineage, staging_path
-from sparkmail.sources import mbox, messages
+from sparkmail.sources import mbox, mbox_ranges, messages
 from sparkmail.streaming import ingest
 from sparkmail.streaming.store import StatsStore
 
@@ -152,15 +152,23 @@ def mbox_fingerprint(spark, sf):
     return prints.select(parts[0].cast("long").alias("bytes"), parts[2].alias("hash"))
 
 
+def _write_archive(spark, sf, path: str) -> None:
+    v.import_msgs(spark, sf).select(F.concat(
+        F.lit("From x\nFrom: "), F.col("from_header"),
+        F.coalesce(F.concat(F.lit("\nMessage-ID: "), F.col("message_id")), F.lit("")), F.lit("\n\nbody"),
+    ).alias("value")).write.text(path)
+
+
+def _write_documents(spark, sf, path: str) -> None:
+    v.message_documents(spark, sf).filter("CAST(substring(id, 2) AS BIGINT) % 4 <> 3").write.json(path)
+
+
 @query
 def stream_ingest(spark, sf):
     """Stream landed documents, then an archive, into a store; replay both."""
     root = staging_path(spark, "stream")
-    v.message_documents(spark, sf).filter("CAST(substring(id, 2) AS BIGINT) % 4 <> 3").write.json(f"{root}/documents")
-    v.import_msgs(spark, sf).select(F.concat(
-        F.lit("From x\nFrom: "), F.col("from_header"),
-        F.coalesce(F.concat(F.lit("\nMessage-ID: "), F.col("message_id")), F.lit("")), F.lit("\n\nbody"),
-    ).alias("value")).write.text(f"{root}/archive")
+    _write_documents(spark, sf, f"{root}/documents")
+    _write_archive(spark, sf, f"{root}/archive")
     store = StatsStore(spark, f"{root}/store")
     ingest.scan_messages(store, f"{root}/documents", f"{root}/c1")
     ingest.import_mbox(store, f"{root}/archive", f"{root}/c2")
@@ -168,6 +176,64 @@ def stream_ingest(spark, sf):
     return store.senders()
 
 
+def _stopped_and_resumed(spark, sf) -> StatsStore:
+    """A store after a scan, an import that stops inside its files, and one that goes on."""
+    root = staging_path(spark, "resume")
+    _write_documents(spark, sf, f"{root}/documents")
+    _write_archive(spark, sf, f"{root}/archive")
+    store = StatsStore(spark, f"{root}/store")
+    ingest.scan_messages(store, f"{root}/documents", f"{root}/c1")
+    size = sum(a.size for a in mbox_ranges.archives(f"{root}/archive"))
+    ingest.import_mbox(store, f"{root}/archive", f"{root}/c2", batch_bytes=max(1, size // 3), max_batches=1)
+    ingest.import_mbox(store, f"{root}/archive", f"{root}/c2", batch_bytes=max(1, size // 2))
+    return store
+
+
+@query
+def mbox_resume(spark, sf):
+    """Counters after an import was stopped inside a file and gone on with."""
+    return _stopped_and_resumed(spark, sf).senders()
+
+
+@query
+def run_rows_after_ingest(spark, sf):
+    """What the rows of a store's runs add up to: a scan, a stopped import and the rest of it."""
+    runs = _stopped_and_resumed(spark, sf).runs()
+    return runs.groupBy("source").agg(
+        F.count("*").alias("runs"), F.array_join(F.sort_array(F.collect_list("state")), ",").alias("states"),
+        F.sum("messages_seen").alias("messages_seen"), F.sum("messages_new").alias("messages_new"),
+        (F.max("bytes_total") == F.sum("bytes_done")).alias("all_bytes"))
+
+
+@query
+def live_summary(spark, sf):
+    """Running sums of a stream over the changes that batches commit."""
+    root = staging_path(spark, "live")
+    _write_documents(spark, sf, f"{root}/documents")
+    _write_archive(spark, sf, f"{root}/archive")
+    store = StatsStore(spark, f"{root}/store")
+    ingest.scan_messages(store, f"{root}/documents", f"{root}/c1")
+    ingest.watch_senders(store, f"{root}/w").awaitTermination()
+    ingest.import_mbox(store, f"{root}/archive", f"{root}/c2")
+    ingest.watch_senders(store, f"{root}/w").awaitTermination()
+    return ingest.live_senders(store)
+
+
+@query
+def mbox_refused(spark, sf):
+    """Files of an import folder that are refused unread, by reason, and the messages of the others."""
+    root = staging_path(spark, "refused")
+    _write_archive(spark, sf, f"{root}/archive")
+    text = v.table(spark, sf, "benchmark").select("text").repartition(1)
+    text.write.mode("append").text(f"{root}/archive")
+    text.select(F.concat(F.lit("From x\n"), "text").alias("text")).repartition(1).write.mode("append") \
+        .text(f"{root}/archive", compression="gzip")
+    store = StatsStore(spark, f"{root}/store")
+    ingest.import_mbox(store, f"{root}/archive", f"{root}/c")
+    refused = store.rejected_files().groupBy("reason").agg(F.count("*").alias("n"))
+    return refused.unionByName(store.ledger().agg(F.count("*").alias("n")).withColumn("reason", F.lit("messages")))
+
+
 # --- expressions ------------------------------------------------------------
 
 

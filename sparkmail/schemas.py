@@ -55,6 +55,26 @@ COMMITS_SCHEMA = T.StructType([
     T.StructField("messages_seen", T.LongType()),
     T.StructField("messages_new", T.LongType()),
     T.StructField("bytes_done", T.LongType()),
+    T.StructField("resume_token", T.StringType()),
+    # Of the run up to and with this batch.
+    T.StructField("total_seen", T.LongType()),
+    T.StructField("total_new", T.LongType()),
+    T.StructField("total_bytes", T.LongType()),
+])
+
+# Message-IDs that are recorded, for the test across sources.
+LEDGER_IDS_SCHEMA = T.StructType([
+    T.StructField("rfc_message_id", T.StringType()),
+    T.StructField("epoch", T.StringType()),
+])
+
+# How far the files of an import are committed. A file that changed has another fingerprint.
+OFFSETS_SCHEMA = T.StructType([
+    T.StructField("checkpoint", T.StringType()),
+    T.StructField("file", T.StringType()),
+    T.StructField("fingerprint", T.StringType()),
+    T.StructField("committed", T.LongType()),
+    T.StructField("epoch", T.StringType()),
 ])
 
 # Append-only run log. `event` is one of created, progress, auth, finished,

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -92,6 +94,14 @@ def archives(path: str) -> list[Archive]:
         return list(pool.map(lambda i: _look(system, i, prefix + i.base_name if prefix else path), files))
 
 
+def joint_fingerprint(found: list[Archive]) -> str | None:
+    """The fingerprint of one archive, or of several: their size, newest time, and a hash over all fingerprints."""
+    if len(found) < 2:
+        return found[0].fingerprint if found else None
+    every = hashlib.sha256("\n".join(a.fingerprint for a in found).encode()).hexdigest()[:16]
+    return f"{sum(a.size for a in found)}:{max(a.mtime for a in found)}:{every}"
+
+
 class _Window:
     """A moving part of a stream, searched by absolute offset."""
 
@@ -210,11 +220,36 @@ class MboxRanges(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_ranges(spark: SparkSession, ranges: list[Range], tile: int = TILE) -> DataFrame:
+class Progress:
+    """What tasks have scanned so far, summed up on the driver as they end: messages, and bytes between them."""
+
+    def __init__(self, spark: SparkSession):
+        self.messages, self.bytes = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def reset(self) -> None:
+        self.messages.value = self.bytes.value = 0
+
+
+def _counting(messages, size):
+    """Rows as they are; their number and the bytes they span are added up. A task run again is counted again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("start_offset")
+            messages.add(len(batch))
+            size.add(offsets[-1].as_py() - offsets[0].as_py() if len(batch) else 0)
+            yield batch
+
+    return run
+
+
+def read_ranges(spark: SparkSession, ranges: list[Range], tile: int = TILE, watch: Progress | None = None) -> DataFrame:
     """file, start_offset, bad, message_id, from_, return_path of the messages that begin in the ranges."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
     spark.dataSource.register(MboxRanges)
     plan = json.dumps([[r.file, r.start, r.stop] for r in ranges])
     rows = spark.read.format("mbox_ranges").option("ranges", plan).option("tile", str(tile)).load()
+    if watch is not None:
+        rows = rows.mapInArrow(_counting(watch.messages, watch.bytes), SCHEMA)
     parsed = rows.select("file", "start_offset", "too_long", parse_headers(F.col("head").cast("string")).alias("h"))
     return parsed.select("file", "start_offset", (F.col("h.bad") | F.col("too_long")).alias("bad"),
                          "h.message_id", "h.from_", "h.return_path")

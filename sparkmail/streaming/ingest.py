@@ -2,54 +2,52 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from sparkmail.functions.errors import error_kind
 from sparkmail.operators.runs import latest_runs
 from sparkmail.operators.summary import unrepaired
-from sparkmail.sources.mbox import archive_bytes, stream_mbox
+from sparkmail.sources import mbox_ranges
+from sparkmail.sources.mbox_ranges import Progress
 from sparkmail.sources.messages import stream_messages
 from sparkmail.streaming.store import StatsStore
 
 
+logger = logging.getLogger(__name__)
 # Fixed value: seconds between two signs of life of a run.
 HEARTBEAT_S = 5.0
-
-
-class Heartbeat(StreamingQueryListener):
-    """Touch the run's row whenever its query reports, busy or idle."""
-
-    def __init__(self, store: StatsStore, run_id: int):
-        self.store, self.run_id = store, run_id
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        self.store.record(self.run_id, "heartbeat")
-
-    def onQueryIdle(self, event) -> None:
-        self.store.record(self.run_id, "heartbeat")
-
-    def onQueryTerminated(self, event) -> None:
-        pass
+BATCH_BYTES = 64 << 30  # of archives that an import commits at once
 
 
 @contextmanager
-def beating(store: StatsStore, run_id: int, every: float = HEARTBEAT_S) -> Iterator[None]:
-    """Signs of life while a block runs, also inside one long batch, which no
-    listener reports before it ends."""
+def beating(
+    store: StatsStore, run_id: int, progress: Progress | None = None, every: float = HEARTBEAT_S,
+) -> Iterator[None]:
+    """Signs of life while a block runs, also inside one long batch.
+
+    A sign is one small file, no Spark job. With `progress` it says what the tasks that ended have scanned on top of what
+    is committed. A sign that cannot be written is tried again at the next beat.
+    """
     over = threading.Event()
 
     def beat() -> None:
         while not over.wait(every):
-            store.record(run_id, "heartbeat")
+            try:
+                if progress is None:
+                    store.record(run_id, "heartbeat")
+                    continue
+                done = store.totals(run_id)
+                store.record(run_id, "progress", messages_seen=done.get("total_seen", 0) + progress.messages.value,
+                             bytes_done=(done.get("total_bytes") or 0) + progress.bytes.value)
+            except Exception as e:  # noqa: BLE001
+                logger.warning("run %s: no sign of life written: %s", run_id, e)
 
     thread = threading.Thread(target=beat, daemon=True)
     thread.start()
@@ -62,66 +60,97 @@ def beating(store: StatsStore, run_id: int, every: float = HEARTBEAT_S) -> Itera
 
 def failure_kind(store: StatsStore, error: Exception, origin: str) -> str:
     """The kind of error a run ends with; paths that are gone count as such."""
-    if isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND":
+    if isinstance(error, FileNotFoundError) or isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND":
         origin = "not_found"
     message = F.lit(str(error))
     return store.spark.range(1).select(error_kind(message, F.lit(origin), F.lit(False))).first()[0]
 
 
+@contextmanager
+def _closing(store: StatsStore, run_id: int, origin: str, state: str = "done") -> Iterator[None]:
+    """Close a run as the block ends. `origin` says what its errors come from, unless they tell."""
+    try:
+        yield
+    except KeyboardInterrupt:
+        store.finish_run(run_id, "cancelled")
+        raise
+    except Exception as e:
+        store.finish_run(run_id, "failed", failure_kind(store, e, origin), str(e).splitlines()[0])
+        raise
+    store.finish_run(run_id, state)
+
+
 def _drain(
     store: StatsStore, run_id: int, rows: Callable[[], DataFrame], apply: Callable[[DataFrame, int, int], None],
     checkpoint: str, origin: str,
 ) -> int:
     """Run one ingest until the folder holds nothing new; returns its run_id.
-    `origin` says what its errors come from, unless they tell.
 
     The checkpoint remembers finished files, so the next run resumes there;
     what it replays is dropped by the ledger.
     """
-    try:
-        query: StreamingQuery = (
-            rows().writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        with beating(store, run_id):
+    query: StreamingQuery | None = None
+    with _closing(store, run_id, origin), beating(store, run_id):
+        try:
+            query = (
+                rows().writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            )
             query.awaitTermination()
-    except KeyboardInterrupt:
-        query.stop()
-        store.finish_run(run_id, "cancelled")
-        raise
-    except Exception as e:
-        store.finish_run(run_id, "failed", failure_kind(store, e, origin), str(e).splitlines()[0])
-        raise
-    store.finish_run(run_id, "done")
+        finally:
+            if query is not None:
+                query.stop()
     return run_id
 
 
-def finished_files(store: StatsStore, checkpoint: str) -> DataFrame:
-    """path of every file that a query with this checkpoint has taken up."""
-    try:
-        lines = store.spark.read.text(f"{checkpoint}/sources/0")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return store.spark.createDataFrame([], "path string")
-    return lines.select(F.get_json_object("value", "$.path").alias("path")).filter("path IS NOT NULL").distinct()
-
+def import_mbox(
+    store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None, batch_bytes: int = BATCH_BYTES,
+    max_batches: int | None = None,
+) -> int:
+    """Import the archives of a folder, or one archive, from where imports with this checkpoint have stopped.
 
-def import_mbox(store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None) -> int:
-    """Import the archives of a folder that the checkpoint does not know yet;
-    the run's total is the size of these."""
-    total = archive_bytes(store.spark, folder, finished_files(store, checkpoint))
-    run_id = store.start_run("mbox", mbox_path=folder, bytes_total=total)
-    rows = lambda: stream_mbox(store.spark, folder, max_files)
-    return _drain(store, run_id, rows, store.apply_mbox, checkpoint, "io")
+    The bytes that are left are taken in batches of ranges; each batch commits its messages and how far the files are done
+    in one marker. A killed import goes on behind the last marker, inside a file as well. A file whose size, time or first
+    bytes changed is read from its start; what was recorded is known by the ledger. The run's total is the bytes left, its
+    fingerprint that of the file, or of all files together. With max_batches it stops after so many, as cancelled if bytes
+    are left.
+    """
+    try:
+        found = mbox_ranges.archives(folder)
+    except FileNotFoundError as e:
+        run_id = store.start_run("mbox", mbox_path=folder)
+        store.finish_run(run_id, "failed", failure_kind(store, e, "io"), str(e).splitlines()[0])
+        raise
+    good = [a for a in found if not a.refused]
+    batches = mbox_ranges.plan_batches(good, store.offsets(checkpoint), batch_bytes, max_files)
+    run_id = store.start_run(
+        "mbox", mbox_path=folder, bytes_total=sum(r.stop - r.start for b in batches for r in b),
+        mbox_fingerprint=mbox_ranges.joint_fingerprint(good))
+    progress = mbox_ranges.Progress(store.spark)
+    left = max_batches is not None and len(batches) > max_batches
+    with _closing(store, run_id, "io", "cancelled" if left else "done"), beating(store, run_id, progress):
+        for batch_id, ranges in enumerate((batches or [[]])[:max_batches]):
+            if ranges or any(a.refused for a in found):
+                store.apply_ranges(ranges, found, checkpoint, run_id, batch_id, progress)
+            progress.reset()
+    return run_id
 
 
 def scan_messages(
     store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None, total_estimate: int | None = None,
+    after_page: str | None = None,
 ) -> int:
-    """Ingest landed documents; the mailbox total, where known, feeds the ETA."""
-    run_id = store.start_run("gmail_api", total_estimate=total_estimate)
-    rows = lambda: stream_messages(store.spark, folder, max_files)
+    """Ingest landed documents; the mailbox total, where known, feeds the ETA.
+
+    Each batch commits the name of its last page file as the run's resume token. `after_page`, such a token, leaves out the
+    pages up to it where the checkpoint is gone; for pages that land in the order of their names.
+    """
+    run_id = store.start_run("gmail_api", total_estimate=total_estimate, resume_token=after_page)
+
+    def rows() -> DataFrame:
+        landed = stream_messages(store.spark, folder, max_files)
+        return landed if after_page is None else landed.filter(F.substring_index("landed.file", "/", -1) > after_page)
+
     return _drain(store, run_id, rows, store.apply_messages, checkpoint, "other")
 
 
@@ -140,11 +169,24 @@ def watch_runs(store: StatsStore, checkpoint: str) -> StreamingQuery:
     """Keep the `latest_runs` table at the state the run log adds up to."""
     return (
         latest_runs(store.stream_events()).writeStream.outputMode("complete")
-        .foreachBatch(lambda runs, _: store.replace("latest_runs", runs))
+        .foreachBatch(lambda runs, _: store.replace("latest_runs", store.with_folded(runs)))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def watch_senders(store: StatsStore, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the `live_senders` table at the running sums of all committed changes; the sums are the stream's state."""
+    sums = store.stream_changes().groupBy("sender").agg(F.sum("n").alias("mails_sent"))
+    writer = sums.writeStream.outputMode("complete").foreachBatch(lambda found, _: store.replace("live_senders", found)) \
+        .option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def live_senders(store: StatsStore) -> DataFrame:
+    """What watch_senders() wrote last."""
+    return store.newest("live_senders", T.StructType.fromDDL("sender string, mails_sent long"))
+
+
 def print_senders(rows: DataFrame) -> StreamingQuery:
     """Verbose listing: the sender of every message on the console."""
     return rows.select("sender").writeStream.format("console").start()

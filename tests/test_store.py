@@ -1,14 +1,18 @@
 """Streaming ingest: replay, retry, resume, cross-source dedupe, repair."""
 
 import json
+import os
+import re
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from sparkmail.operators import summary
-from sparkmail.streaming import ingest
+from sparkmail.operators import runs as run_ops, summary
+from sparkmail.sources import mbox_ranges
+from sparkmail.streaming import ingest, store as store_module
 from sparkmail.streaming.store import StatsStore, epoch_of
 
 
@@ -56,13 +60,13 @@ def test_scan_then_import_counts_each_message_once(store, tmp_path):
     run = ingest.import_mbox(store, str(tmp_path / "mbox"), str(tmp_path / "c2"))
     assert run == 2 and senders(store) == [("a@x.com", 1), ("b@x.com", 1), ("c@x.com", 1)]
     assert store.ledger().count() == 5
-    assert rows(store.rejected_files().select(F.substring_index("file", "/", -1))) == [("notes.txt",)]
+    assert rows(store.rejected_files().select(F.substring_index("file", "/", -1), "reason")) == [("notes.txt", "no separator")]
 
     runs = store.runs().orderBy("run_id").collect()
     assert [(r.source, r.state, r.messages_seen, r.messages_new) for r in runs] == [
         ("gmail_api", "done", 2, 2), ("mbox", "done", 4, 1),
     ]
-    size = sum(f.stat().st_size for f in (tmp_path / "mbox").iterdir())
+    size = (tmp_path / "mbox" / "a.mbox").stat().st_size  # refused files are not part of the work
     assert (runs[1].bytes_total, runs[1].bytes_done, runs[1].mbox_path) == (size, size, str(tmp_path / "mbox"))
     # The same checkpoint finds nothing new; a fresh one replays everything.
     ingest.import_mbox(store, str(tmp_path / "mbox"), str(tmp_path / "c2"))
@@ -70,9 +74,8 @@ def test_scan_then_import_counts_each_message_once(store, tmp_path):
     ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c4"))
     assert senders(store) == [("a@x.com", 1), ("b@x.com", 1), ("c@x.com", 1)]
     assert store.readiness() == "ready"
-    # What a batch has staged is gone, and of the snapshots two are left.
-    assert not any(list(Path(store.root).glob(f"{t}/epoch=*")) for t in ("staged_mbox", "located_mbox", "staged_messages"))
-    assert len(list(Path(store.root).glob("senders/epoch=*"))) == 2
+    # What a batch has staged is gone.
+    assert not any(list(Path(store.root).glob(f"{t}/epoch=*")) for t in ("staged_mbox", "staged_fresh", "staged_messages"))
     assert json.loads(store.status(100).first()["last_run"])["run_id"] == 5
 
 
@@ -131,12 +134,28 @@ def test_repair_collapses_history_and_is_resumable(spark, store, tmp_path):
     assert store.runs().filter("run_id = 3").first()["state"] == "done"
 
 
-def test_heartbeat_touches_the_run(spark, store, tmp_path):
+def test_signs_of_life(spark, store, tmp_path, monkeypatch):
     run = store.start_run("mbox")
-    before = store.events().count()
-    ingest.Heartbeat(store, run).onQueryIdle(None)
-    assert store.events().count() == before + 1
-    assert store.runs().first()["state"] == "running"
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    progress, before = mbox_ranges.Progress(spark), jobs()
+    progress.messages.add(7)
+    progress.bytes.add(900)
+    written = store.record
+    monkeypatch.setattr(store, "record", lambda *a, **k: 1 / 0)  # the first signs cannot be written
+    with ingest.beating(store, run, progress, every=0.05):
+        time.sleep(0.3)
+        monkeypatch.setattr(store, "record", written)
+        time.sleep(0.5)
+    assert jobs() == before
+    state = store.runs().first()
+    assert (state["state"], state["messages_seen"], state["bytes_done"]) == ("running", 7, 900)
+    with ingest.beating(store, run, every=0.05):
+        time.sleep(0.2)
+    assert store.events().filter("event = 'heartbeat'").count() > 0
+    # Nothing was committed: that is what the row says once the run is over, or given up.
+    store.start_run("mbox")
+    state = store.runs().filter(F.col("run_id") == run).first()
+    assert (state["state"], state["messages_seen"], state["bytes_done"]) == ("abandoned", 0, None)
 
 
 def test_run_log_can_be_watched(spark, store, tmp_path):
@@ -173,3 +192,147 @@ def test_failed_run_tells_its_kind(store, tmp_path):
         ingest.scan_messages(store, str(tmp_path / "nowhere"), str(tmp_path / "c"))
     state = store.runs().first()
     assert (state.state, state.error_kind) == ("failed", "missing_credentials")
+
+
+def archive(n, first=0):
+    return "".join(mail(f"s{i % 7}@x.com", f"<m{i}@x>") for i in range(first, first + n))
+
+
+def test_killed_import_goes_on_inside_the_file(store, tmp_path, monkeypatch):
+    folder = tmp_path / "mbox"
+    folder.mkdir()
+    (folder / "a.mbox").write_text(archive(100))
+    size = (folder / "a.mbox").stat().st_size
+    read, taken = mbox_ranges.read_ranges, []
+
+    def dying(spark, ranges, **options):
+        taken.extend(ranges)
+        if len(taken) == 3:
+            raise RuntimeError("killed")
+        return read(spark, ranges, **options)
+
+    monkeypatch.setattr(mbox_ranges, "read_ranges", dying)
+    with pytest.raises(RuntimeError):
+        ingest.import_mbox(store, str(folder), str(tmp_path / "c"), batch_bytes=1500)
+    failed = store.runs().first()
+    assert (failed["state"], failed["bytes_done"], failed["bytes_total"]) == ("failed", 3000, size)
+    assert failed["mbox_fingerprint"] == mbox_ranges.archives(str(folder))[0].fingerprint
+    done = store.ledger().count()
+    assert 0 < done < 100
+
+    taken.clear()
+    monkeypatch.setattr(mbox_ranges, "read_ranges", lambda spark, ranges, **o: (taken.extend(ranges), read(spark, ranges, **o))[1])
+    run = ingest.import_mbox(store, str(folder), str(tmp_path / "c"), batch_bytes=2500)
+    assert taken[0].start == 3000 and taken[-1].stop == size
+    state = store.runs().filter(F.col("run_id") == run).first()
+    assert (state["state"], state["messages_seen"], state["bytes_done"]) == ("done", 100 - done, size - 3000)
+    expected = sorted((f"s{k}@x.com", sum(i % 7 == k for i in range(100))) for k in range(7))
+    assert senders(store) == expected
+
+    # A changed file is read from its start; its known messages do not count again.
+    taken.clear()
+    (folder / "a.mbox").write_text(archive(100) + archive(10, first=100))
+    ingest.import_mbox(store, str(folder), str(tmp_path / "c"))
+    assert taken[0].start == 0 and store.ledger().count() == 110
+    # One archive by its own path, and a folder that is not there.
+    ingest.import_mbox(store, str(folder / "a.mbox"), str(tmp_path / "c9"))
+    assert store.ledger().count() == 110
+    with pytest.raises(FileNotFoundError):
+        ingest.import_mbox(store, str(tmp_path / "none"), str(tmp_path / "c"))
+    assert store.runs().orderBy(F.desc("run_id")).first()["state"] == "failed"
+
+
+def test_stored_rows_are_not_shuffled(spark, store, tmp_path):
+    """The joins of a batch exchange the batch alone, broadcasts aside."""
+    folder = tmp_path / "mbox"
+    folder.mkdir()
+    (folder / "a.mbox").write_text(archive(100))
+    ingest.import_mbox(store, str(folder), str(tmp_path / "c"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        batch = spark.createDataFrame([("mid:<m5@x>", "m5@x", "s5@x.com")], "mail_id string, rfc_message_id string, sender string")
+        joins = [
+            store.dealt(batch, "mail_id").join(store.ledger().select("mail_id"), "mail_id", "left_anti"),
+            store.dealt(batch, "rfc_message_id").join(store.known_ids(), "rfc_message_id", "left_anti"),
+            store._committed("senders").join(store.dealt(batch, "sender").select("sender"), "sender", "left_semi"),
+        ]
+        for joined in joins:
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1, plan
+            assert "Bucketed: true" in plan
+        assert [j.count() for j in joins] == [0, 0, 1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batches_write_the_senders_they_touch(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "SENDER_EPOCHS", 3)
+    table = lambda i: spark.createDataFrame(
+        [(f"g{i}", [("From", f"s{i % 2}@x.com")]), (f"h{i}", [("From", f"only{i}@x.com")])],
+        "id string, headers array<struct<name:string,value:string>>").selectExpr("id", "struct(headers) AS payload")
+    run = store.start_run("gmail_api")
+    for i in range(7):
+        store.apply_messages(table(i), run, i)
+        if i == 1:
+            written = spark.read.parquet(f"{store.root}/senders/epoch={epoch_of(run, 1)}")
+            assert rows(written, "sender") == [("only1@x.com",), ("s1@x.com",)]
+    assert senders(store) == sorted([("s0@x.com", 4), ("s1@x.com", 3), *((f"only{i}@x.com", 1) for i in range(7))])
+    assert len(list(Path(store.root).glob("senders/epoch=*"))) < 7
+    again = StatsStore(spark, store.root, buckets=99)  # another reader; the number of buckets stays
+    assert senders(again) == senders(store) and again.buckets == store.buckets != 99
+
+
+def test_live_sums_follow_the_commits(spark, store, tmp_path):
+    old = spark.createDataFrame([(1, "g1", None), (2, "mid:<m1@x>", None)], "seq long, mail_id string, rfc_message_id string")
+    store.import_baseline(old, spark.createDataFrame([("a@x.com", 5), ("b@x.com", 2)], "sender string, mails_sent long"))
+    watch = lambda: ingest.watch_senders(store, str(tmp_path / "w")).awaitTermination()
+    land(tmp_path / "scan" / "p1.json", document("g2", "a@x.com", "<m2@x>"), document("g3", "c@x.com"))
+    ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c1"))
+    watch()
+    assert rows(ingest.live_senders(store)) == [("a@x.com", 6), ("b@x.com", 2), ("c@x.com", 1)]
+    land(tmp_path / "meta" / "1.json", document("g1", "a@x.com", "<m1@x>"))
+    publish, store._publish = store._publish, lambda: None  # a run that dies right behind its commit
+    ingest.repair(store, str(tmp_path / "meta"), str(tmp_path / "c2"))
+    store._publish = publish
+    watch()
+    assert rows(ingest.live_senders(store)) == [("a@x.com", 6), ("b@x.com", 2), ("c@x.com", 1)]
+    store.start_run("mbox")
+    watch()
+    assert rows(ingest.live_senders(store)) == senders(store) == [("a@x.com", 5), ("b@x.com", 2), ("c@x.com", 1)]
+
+
+def test_page_token_is_committed_with_its_page(store, tmp_path, monkeypatch):
+    for i in range(4):
+        land(tmp_path / "scan" / f"p{i}.json", document(f"g{i}", "a@x.com", f"<m{i}@x>"))
+        os.utime(tmp_path / "scan" / f"p{i}.json", (1000 + i, 1000 + i))  # pages land one after another
+    commit, pages = store._commit, []
+
+    def dying(*a, **k):
+        pages.append(a)
+        if len(pages) == 3:
+            raise RuntimeError("killed")
+        commit(*a, **k)
+
+    monkeypatch.setattr(store, "_commit", dying)
+    with pytest.raises(Exception):
+        ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c"), max_files=1)
+    monkeypatch.setattr(store, "_commit", commit)
+    token = run_ops.scan_resume_token(store.runs(), 1)
+    assert token == "p1.json" and senders(store) == [("a@x.com", 2)]
+    run = ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "lost"), after_page=token)
+    assert senders(store) == [("a@x.com", 4)]
+    state = store.runs().filter(F.col("run_id") == run).first()
+    assert (state["messages_seen"], state["resume_token"]) == (2, "p3.json")
+
+
+def test_run_log_stays_small(store):
+    for i in range(9):
+        run = store.start_run("mbox", mbox_path=f"/{i}")
+        store.record(run, "progress", messages_seen=i)
+        if i % 3:
+            store.finish_run(run, "failed" if i % 3 == 1 else "done", "io" if i % 3 == 1 else None)
+    assert len(list(Path(store.root).glob("run_events/run=*"))) == len(list(Path(store.root).glob("folded_runs/epoch=*"))) == 2
+    found = store.runs().orderBy("run_id").collect()
+    assert [r["run_id"] for r in found] == list(range(1, 10)) and [r["mbox_path"] for r in found] == [f"/{i}" for i in range(9)]
+    assert [r["state"] for r in found] == [("abandoned", "failed", "done")[i % 3] for i in range(9)]
+    assert [r["error_kind"] for r in found] == [(None, "io", None)[i % 3] for i in range(9)]
