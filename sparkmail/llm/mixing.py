@@ -150,8 +150,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Rows are told apart by id and text. Rows repeated in the input count together: one of them stands for all copies.
     """
     taken = _copies(docs, id_col, text_col, source_col, weights, share, cap, seed) \
-        .groupBy("id", "tie").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("string").alias("id"), _tie(id_col, text_col).alias("tie"))
-    same = F.col("r.id").eqNullSafe(F.col("t.id")) & (F.col("r.tie") == F.col("t.tie"))
-    found = rows.dropDuplicates(["id", "tie"]).alias("r").join(taken.alias("t"), same)
-    return found.select("r.row", F.explode(F.sequence(F.lit(1), F.col("t.copies")))).select("row.*")
+        .groupBy(F.struct("id", "tie").alias("key")).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    key = F.struct(F.col(id_col).cast("string").alias("id"), _tie(id_col, text_col).alias("tie"))  # nulls in it are equal
+    found = docs.select(F.struct("*").alias("row"), key.alias("key")).join(taken, "key").dropDuplicates(["key"])
+    return found.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
