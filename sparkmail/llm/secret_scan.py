@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmail.llm.common import remainder, stage
@@ -22,7 +22,8 @@ from sparkmail.llm.common import remainder, stage
 LEAST_CHARS = 16
 FEATURES = ("length", "changes", "digits", "hex", "coverage", "path", "address", "keyword", "assigned", "quoted",
             "issued", "named")
-TREES, DEPTH = 25, 5
+TREES, DEPTH = 25, 8
+EXAMPLES = 240  # findings that examples() writes of each kind
 LEAST_SCORE = 0.5
 MASK = "[secret]"
 
@@ -47,9 +48,11 @@ _VALUE = r"""(?:(?<=")[^"]*[^"\\]|(?<=')[^']*[^'\\]|(?<=`)[^`]+|(?<!["'`])[^"'`,
 _PASSWORD = r"(?i)passw(?:or)?d|passphrase|pwd"
 _STRONG = _PASSWORD + "|secret|credential"
 _ADDRESS = r"(?i)@|^https?:|^www\.|\.(?:com|org|net|html?)\b"
-_PATH = r"[A-Za-z0-9_.\-]*(?:/[A-Za-z0-9_.\-]+){2,}|\.[a-z]{1,4}$"
+_PATH = r"(?:/[A-Za-z0-9_.\-]+){2,}|\.[a-z]{1,4}$"
 DICTIONARY_WORDS = 1000  # the most frequent words of the corpus, of so many letters, are the dictionary
 DICTIONARY_LETTERS = (3, 12)
+#: Words of examples where the corpus has no dictionary.
+_WORDS = ("garden", "window", "letter", "station", "river", "market", "winter", "bridge")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -183,6 +186,10 @@ class Forest:
             total = total + v
         return total / len(votes)
 
+    def judge(self, values: dict[str, Column]) -> Column:
+        """score() with each value worked out once; all trees in one generated method would be too long for the JVM."""
+        return _let(F.struct(*[values[k].alias(k) for k in FEATURES]), lambda v: self.score({k: v[k] for k in FEATURES}))
+
 
 def _expression(tree, values: dict[str, Column]) -> Column:
     if isinstance(tree, float):
@@ -210,16 +217,89 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return rows.select("*", *[v.alias(k) for k, v in features(F.col("s"), words).items()])
 
 
-def fit(labelled: DataFrame, label_col: str = "label", seed: int = 1, words: Sequence[str] = ()) -> Forest:
-    """Learn from findings() with a label (1: secret) and with the dictionary `words`. Null labels are not used.
+def examples(spark: SparkSession, words: Sequence[str] = (), each: int = EXAMPLES) -> DataFrame:
+    """Written examples of findings: doc_id, kind, label (1: secret), value, text, `each` of every kind.
+
+    Secrets are issued forms, values assigned to names of keys, short and long passwords, and random runs that a sentence
+    calls a key. What looks like them and is none: commit ids, digests, UUIDs, paths, addresses, names made of dictionary
+    words, numbers, and remarks about keys; some of these stand beside words that speak of keys too.
+    """
+    i = F.col("id")
+    draw = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), i.cast("string")), 256)
+    pick = lambda salt, many: F.get(many, F.pmod(F.xxhash64(F.lit(salt), i), F.size(many)).cast("int"))
+    size = lambda salt, *sizes: pick(salt, F.array(*[F.lit(n) for n in sizes]))
+    hexes = lambda salt, *sizes: F.substr(draw(salt), F.lit(1), size(salt, *sizes))
+    packed = lambda salt: F.concat(F.base64(F.unhex(draw(salt))), F.base64(F.unhex(draw(salt + "'"))))
+    mixed = lambda salt, *sizes: F.substr(F.regexp_replace(packed(salt), "[+/=]", ""), F.lit(1), size(salt, *sizes))
+    digits = lambda salt, n: F.substr(F.regexp_replace(F.concat(draw(salt), draw(salt + "'")), "[a-f]", ""), F.lit(1), F.lit(n))
+    word = lambda salt: pick(salt, F.split(F.lit(" ".join(words or _WORDS)), " "))
+    glue = pick("glue", F.array(F.lit("_"), F.lit("-"), F.lit(".")))
+    uuid = F.regexp_replace(hexes("u", 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    assigned = ['token = "{}"', "api_key: {}", '{"secret":"{}"}', "client_secret={}", "access_token = '{}'", "x?a=1&token={}"]
+    kinds = [
+        ("issued id", 1, F.concat(F.lit("AKIA"), F.upper(mixed("a", 16))), ["the id is {} here", "{}", "it is {}. Then", "ID={}"]),
+        ("issued token", 1, F.concat(F.lit("ghp_"), mixed("g", 36)), ["use {} here", "{}", "user:{}:x", "see {}."]),
+        ("issued live key", 1, F.concat(F.lit("sk_live_"), mixed("l", 24)), ["pay with {} now", "{}", "live: {}"]),
+        ("issued web token", 1, F.concat(F.lit("eyJ"), mixed("w", 20), F.lit(".eyJ"), mixed("x", 30), F.lit("."), mixed("y", 40)),
+         ["header {} ends", "{}", "jwt={}"]),
+        ("assigned digest", 1, hexes("h", 32, 40, 64), assigned),
+        ("assigned value", 1, mixed("m", 20, 32, 40), assigned),
+        ("assigned packed value", 1, F.substr(packed("p"), F.lit(1), F.lit(40)), assigned),
+        ("password", 1, pick("pw", F.array(F.concat(word("p1"), digits("p2", 2)), mixed("p3", 8, 12), F.concat(word("p4"), digits("p5", 4), F.lit("!")),
+                                           F.concat_ws("-", word("p6"), word("p7"), word("p8")))),
+         ["password = {}", "password: {} ", "pwd={}", 'passphrase: "{}"', "db_password={}", '{"password":"{}"}']),
+        ("spoken key", 1, mixed("s", 32, 40), ["Authorization: Bearer {}", "with the key {} in hand", "your token {} is new", "the secret {} was sent"]),
+        ("commit", 0, hexes("c", 40), ["commit {}", "merge {} into main", "{} mend the build", "the key commit {} broke it",
+                                      "the token list as of commit {}", "revert {} again", "see {}"]),
+        ("digest", 0, hexes("d", 32, 64, 64), ["sha256:{}", "sha256 {} of it", "checksum {} holds", "md5 = {}", "digest: {} ok",
+                                              "{} file.tar.gz", "the key file has sha256 {}", "{}"]),
+        ("uuid", 0, uuid, ["request {} done", "id: {}", "uuid={}", "{}", "session {} closed", "password reset request {} sent"]),
+        ("path", 0, F.concat(pick("r", F.array(F.lit("src/"), F.lit("/usr/lib/"), F.lit("lib/"))), word("f1"), digits("f2", 2), F.lit("/"),
+                             word("f3"), F.lit("/"), word("f4"), digits("f5", 1), pick("e", F.array(F.lit(".py"), F.lit(".java"), F.lit("/")))),
+         ["see {} there", "in {}", "{}", "the key file {} is old", "the token parser {} fails", "file={}"]),
+        ("address", 0, F.concat(F.lit("https://example.com/"), word("u1"), F.lit("/"), digits("u2", 4), F.lit("/"), word("u3"), digits("u4", 3), F.lit(".html")),
+         ["see {}", "{}", "the key is explained at {}", "token={}", "link: {}"]),
+        ("name", 0, F.concat(F.concat_ws("_", word("n1"), word("n2"), word("n3"), word("n4")), glue, digits("n5", 2)),
+         ["call {} first", "the key {} is sorted", "your token {} is new", "{}", "name = {}", "with the key {} in hand"]),
+        ("number", 0, F.concat(digits("i1", 3), F.lit("-"), digits("i2", 4), F.lit("-"), digits("i3", 8), F.lit("-"), digits("i4", 1)),
+         ["ISBN {}", "order {} of today", "{}", "key figures {}", "number: {}"]),
+        ("remark", 0, word("k1"), ["The key: {} try", "The secret: {} more", "token: {} and more", "key = {}", "a key, {}"]),
+    ]
+    def of(each_kind: list[Column]) -> Column:
+        return F.coalesce(*[F.when(i % len(kinds) == k, c) for k, c in enumerate(each_kind)])
+
+    rows = spark.range(0, each * len(kinds), 1, 4).select(
+        "id", of([F.lit(kind) for kind, *_ in kinds]).alias("kind"), of([F.lit(float(label)) for _, label, *_ in kinds]).alias("label"),
+        of([value for _, _, value, _ in kinds]).alias("value"),
+        of([pick("t", F.array(*[F.lit(t) for t in texts])) for *_, texts in kinds]).alias("form"),
+        F.concat_ws(" ", word("b1"), word("b2")).alias("ahead"), word("b3").alias("behind"))
+    return rows.select(i.alias("doc_id"), "kind", "label", "value", F.concat_ws(
+        " ", "ahead", F.replace("form", F.lit("{}"), F.col("value")), "behind").alias("text"))
+
+
+def example_findings(spark: SparkSession, words: Sequence[str] = ()) -> DataFrame:
+    """findings() of examples(): doc_id is a struct of their columns, label and kind are columns too."""
+    written = examples(spark, words).select(F.struct("doc_id", "kind", "label", "value").alias("doc_id"), "text")
+    rows = findings(written, words=words)
+    own = F.contains("core", F.col("doc_id.value")) | F.contains(F.col("doc_id.value"), F.col("core"))
+    return rows.where(own).select("*", "doc_id.kind", "doc_id.label")
+
+
+def fit(labelled: DataFrame, label_col: str = "label", seed: int = 1, words: Sequence[str] = (), kind_col: str | None = None) -> Forest:
+    """Learn from findings() with a label (1: secret) and with the dictionary `words`. Null labels are not used. With
+    `kind_col`, the findings of each label and kind weigh the same together, however many they are.
 
     Findings are first counted by cell of their features. The scales allow some 200,000 cells and data fill few of them,
     whatever the number of findings; so the cells may be ordered in one task, which makes reruns agree. With findings of
     one kind only, or none, the forest says so everywhere (none: no secret).
     """
-    cells = labelled.where(F.col(label_col).isNotNull()).groupBy(*FEATURES, F.col(label_col).cast("double").alias("label")) \
-        .agg(F.count("*").cast("double").alias("weight"))
-    cells = stage(cells.repartition(1, "label").sortWithinPartitions("label", *FEATURES), "secret-cells")
+    kind = F.lit("") if kind_col is None else F.col(kind_col)
+    cells = labelled.where(F.col(label_col).isNotNull()) \
+        .groupBy(*FEATURES, F.col(label_col).cast("double").alias("label"), kind.alias("kind")).agg(F.count("*").cast("double").alias("weight"))
+    if kind_col is not None:
+        totals = cells.groupBy("label", "kind").agg(F.sum("weight").alias("total"))
+        cells = cells.join(totals, ["label", "kind"]).withColumn("weight", F.col("weight") / F.col("total") * EXAMPLES).drop("total")
+    cells = stage(cells.repartition(1, "label").sortWithinPartitions("label", "kind", *FEATURES), "secret-cells")
     kinds = [r[0] for r in cells.select("label").distinct().collect()]
     if len(kinds) < 2:
         return Forest([float(kinds[0]) if kinds else 0.0], words)
@@ -230,18 +310,20 @@ def fit(labelled: DataFrame, label_col: str = "label", seed: int = 1, words: Seq
 
 
 def fit_by_rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """A forest from the findings of documents that are not held out, labelled by rule_label; the dictionary is that of
-    all documents."""
+    """A forest from the findings of documents that are not held out, labelled by rule_label, and from the written examples
+    that are not held out. The corpus counts as one kind more. The dictionary is that of all documents."""
     words = dictionary(docs, text_col)
-    rows = findings(docs.where(remainder(id_col) != 2), id_col, text_col, words)
-    return fit(rows.withColumn("label", rule_label(F.col("s"))), words=words)
+    own = findings(docs.where(remainder(id_col) != 2), id_col, text_col, words).withColumn("label", rule_label(F.col("s")))
+    written = example_findings(docs.sparkSession, words).where(remainder(F.col("doc_id.doc_id")) != 2)
+    labelled = own.select(*FEATURES, "label", F.lit("corpus").alias("kind")).union(written.select(*FEATURES, "label", "kind"))
+    return fit(labelled, words=words, kind_col="kind")
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per candidate: id_col, place, token, core, score, is_secret, run. Texts without candidates, null and empty ones
     included, give no rows; repeated rows and null ids are scanned like others. Other columns are not read."""
     rows = findings(docs, id_col, text_col, forest.words)
-    score = forest.score({k: F.col(k) for k in FEATURES})
+    score = forest.judge({k: F.col(k) for k in FEATURES})
     return rows.withColumn("score", score).select(
         id_col, "place", "token", "core", "score", (F.col("score") >= LEAST_SCORE).alias("is_secret"), "run")
 
@@ -250,7 +332,7 @@ def mask(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """Every row of docs, all columns; each run of the text that is judged secret is replaced by MASK, and so are further
     copies of it if it is long. Null text stays null."""
     def secret(s: Column) -> Column:
-        return forest.score(features(s, forest.words)) >= LEAST_SCORE
+        return forest.judge(features(s, forest.words)) >= LEAST_SCORE
 
     def hide(words: Column, i: Column, piece: Column) -> Column:
         """The piece (word i and the white space after it) with its secrets hidden, and the long ones, if it has any."""
