@@ -74,6 +74,32 @@ def carry_last(
     )
 
 
+def carry_by_volume(df: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """carry_last() over tiles of equal volume, however dense the order column.
+
+    Tiles are range partitions of (keys, order), cut at quantiles that Spark
+    samples, so a key with all its rows in one instant's neighbourhood spreads
+    over all tasks. Kept by a checkpoint, as the tile numbers must not change;
+    one row per key and tile carries state on. NULL keys are a key.
+    """
+    placed = cut_lineage(
+        df.withColumn("__value", value).repartitionByRange(*keys, order).withColumn("__tile", F.spark_partition_id())
+    )
+    at = F.when(F.col("__value").isNotNull(), F.col(order))
+    tails = placed.groupBy(*keys, "__tile").agg(F.max_by("__value", at).alias("__tail"))
+    carries = tails.select(
+        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__tile").alias("__of"),
+        F.last("__tail", ignorenulls=True).over(_before(*keys, by="__tile")).alias("__carry"),
+    )
+    same = F.col("__tile") == F.col("__of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    local = F.last("__value", ignorenulls=True).over(_before("__tile", *keys, by=order))
+    return placed.withColumn("__local", local).join(carries, same).select(
+        *df.columns, F.coalesce("__local", "__carry").alias(name)
+    )
+
+
 def with_position(df: DataFrame, *order: Column, total: str | None = None) -> DataFrame:
     """Add `position`, the 0-based place of each row in the global order, and
     the number of all rows as column `total`, if named.

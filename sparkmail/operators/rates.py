@@ -9,8 +9,6 @@ from sparkmail.operators.ordered import tile_carry, tile_of
 # The rate window, and the span below which no rate is given.
 WINDOW_US = 30_000_000
 MIN_SPAN_S = 0.5
-# An hour of observations per tile when run changes are looked for.
-CHANGE_TILE_US = 3_600_000_000
 
 
 def _rates(samples: DataFrame, key: str) -> DataFrame:

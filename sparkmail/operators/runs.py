@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkmail.functions.errors import backoff_seconds, gives_up
-from sparkmail.operators.ordered import carry_last, newest_per_key
+from sparkmail.operators.ordered import carry_by_volume, carry_last, newest_per_key
 from sparkmail.schemas import PUBLIC_RUN_COLUMNS, RUN_COLUMNS, TERMINAL_STATES
 
 # History limits and log retention.
@@ -153,10 +153,9 @@ def log_tail(lines: DataFrame, line_bytes: int | None = None) -> DataFrame:
     return last.groupBy("run_id").agg(F.concat_ws(" | ", ordered["line"]).alias("tail"))
 
 
-def history_refreshes(observations: DataFrame, viewer: str, tile: int) -> DataFrame:
+def history_refreshes(observations: DataFrame, viewer: str) -> DataFrame:
     """Observations at which a viewer must reload the run history: the pair
-    (active run and state, last run and state) differs from the one before.
-    `tile` is the span of time whose observations one task orders."""
+    (active run and state, last run and state) differs from the one before."""
     def key(run_id, state):
         return F.coalesce(F.concat(F.col(run_id).cast("string"), F.lit(":"), F.col(state)), F.lit("-"))
 
@@ -164,5 +163,5 @@ def history_refreshes(observations: DataFrame, viewer: str, tile: int) -> DataFr
         "runs_key",
         F.concat_ws("|", key("active_run_id", "active_state"), key("last_run_id", "last_state")),
     )
-    rows = carry_last(keyed, [viewer], "t_us", F.col("runs_key"), "before", tile)
+    rows = carry_by_volume(keyed, [viewer], "t_us", F.col("runs_key"), "before")
     return rows.filter(~F.col("runs_key").eqNullSafe(F.col("before"))).drop("before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkmail.functions.identity import embedded_message_id, is_mid_key
 from sparkmail.functions.text import trim
@@ -13,6 +13,9 @@ from sparkmail.schemas import PUBLIC_RUN_COLUMNS, TERMINAL_STATES
 # Page sizes, repair batch size, domains a demo set may use.
 PAGE_SIZES, DEFAULT_PAGE_SIZE = (25, 50, 100, 500), 50
 REPAIR_BATCH = 500
+# Ranks per folder of a stored order: a multiple of all page sizes, so that a
+# page lies in one folder.
+SLAB = 100_000
 RESERVED_SUFFIXES = (".example", "example.com", "example.net", "example.org")
 
 
@@ -96,6 +99,41 @@ def page(
     )
 
 
+def store_order(ranked: DataFrame, path: str, slab: int = SLAB) -> None:
+    """Write senders by rank under `path`: rows in a folder per `slab` ranks,
+    and one row with their number. Sorted once for any number of pages."""
+    placed = with_position(ranked, *by_rank()).withColumn("slab", F.floor(F.col("position") / slab))
+    # Rows of a slab are neighbours in the sort; each task writes few folders.
+    placed.select("slab", (F.col("position") + 1).alias("rank"), "sender", "mails_sent") \
+        .write.mode("overwrite").partitionBy("slab").parquet(f"{path}/rows")
+    ranked.sparkSession.read.schema(_ORDER).parquet(f"{path}/rows").agg(F.count("*").alias("listed")).select(
+        "listed", F.lit(slab).cast("long").alias("slab_size")
+    ).write.mode("overwrite").parquet(f"{path}/total")
+
+
+_ORDER = "slab long, rank long, sender string, mails_sent long"
+
+
+def stored_page(
+    spark: SparkSession, path: str, page: int = 1, size: int = DEFAULT_PAGE_SIZE, hidden: Column | int = 0,
+) -> DataFrame:
+    """page() of what store_order() wrote. It reads one row and one folder and
+    sorts nothing; a page number outside the range is moved into it."""
+    size = size if size in PAGE_SIZES else DEFAULT_PAGE_SIZE
+    listed, slab = spark.read.schema("listed long, slab_size long").parquet(f"{path}/total").first()
+    if slab % size:
+        raise ValueError(f"pages of {size} cross folders of {slab} ranks")
+    pages = -(-listed // size)
+    number = min(max(1, page), pages)
+    first = max(0, number - 1) * size
+    rows = spark.read.schema(_ORDER).parquet(f"{path}/rows")
+    return rows.filter((F.col("slab") == first // slab) & F.col("rank").between(first + 1, first + size)).select(
+        F.lit(number).cast("long").alias("page"), F.lit(pages).cast("long").alias("pages"),
+        F.lit(listed).cast("long").alias("listed"),
+        (F.lit(hidden) if isinstance(hidden, int) else hidden).cast("long").alias("hidden"), "rank", "sender", "mails_sent",
+    )
+
+
 def document_rows(seen: DataFrame, ranked: DataFrame, generated_at_unix: int) -> DataFrame:
     """The summary document as JSON lines: one head, then one line per sender.
 

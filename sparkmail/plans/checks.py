@@ -413,6 +413,10 @@ def oracle_sql() -> dict[str, str]:
     sql["sender_page"] = f"""
         WITH {_RANKED}, shown AS (SELECT * FROM ranked WHERE NOT {out_of_sight} AND lower(sender) LIKE '%c1%'),
         {page.format(size=25, page=3, hidden=f"(SELECT count(*) FROM ranked WHERE {out_of_sight})")}"""
+    stored = "SELECT '{name}' AS store, * FROM (WITH {ranked}, shown AS (SELECT * FROM ranked), {page})"
+    sql["sender_page_stored"] = " UNION ALL ".join(
+        stored.format(name=name, ranked=_RANKED, page=page.format(size=size, page=number, hidden=0))
+        for name, size, number in (("later", 100, 7), ("last", 25, 1_000_000)))
     sql["sender_list"] = f"""
         WITH {_RANKED} SELECT 'on' AS store, * FROM ranked UNION ALL SELECT 'off', * FROM ranked WHERE NOT {out_of_sight}"""
     sql["sender_last_page"] = f"""

@@ -514,6 +514,15 @@ def sender_page(spark, sf):
     return summary.page(shown, page=3, size=25, hidden=summary.hidden_count(ranked, hidden))
 
 
+@query
+def sender_page_stored(spark, sf):
+    """A later page and one past the end of an order that is stored once."""
+    path = staging_path(spark, "order")
+    summary.store_order(_ranked(spark, sf), path, slab=500)
+    pages = {"later": summary.stored_page(spark, path, 7, 100), "last": summary.stored_page(spark, path, 1_000_000, 25)}
+    return _stacked(pages)
+
+
 @query
 def sender_list(spark, sf):
     """The list with the toggle for hidden senders off and on."""
@@ -640,7 +649,7 @@ def history_refreshes(spark, sf):
     seen = v.observations(spark, sf).select(
         "viewer", "t_us", "active_run_id", "active_state", "last_run_id", "last_state"
     )
-    return run_ops.history_refreshes(seen, "viewer", rates.CHANGE_TILE_US).select("viewer", "t_us", "runs_key")
+    return run_ops.history_refreshes(seen, "viewer").select("viewer", "t_us", "runs_key")
 
 
 @query

@@ -315,6 +315,38 @@ def test_pages(spark):
         assert {(r.page, r.pages, r.listed) for r in got} == {(at, pages, 120)}
 
 
+@pytest.mark.parametrize("n", [0, 120])
+def test_stored_pages(spark, tmp_path, n):
+    ranked = spark.range(n).select(F.format_string("s%03d", "id").alias("sender"), (F.col("id") % 4).alias("mails_sent"))
+    summary.store_order(ranked, str(tmp_path), slab=100)
+    for number, size in [(1, 25), (5, 25), (99, 50), (-3, 100), (2, 7)]:
+        got = summary.stored_page(spark, str(tmp_path), number, size, hidden=3)
+        wanted = summary.page(ranked, number, size, hidden=3)
+        assert got.columns == wanted.columns and rows(got) == rows(wanted)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Exchange" not in plan and (not n or "PartitionFilters: [isnotnull(slab" in plan)
+    with pytest.raises(ValueError):
+        summary.stored_page(spark, str(tmp_path), 1, 500)
+
+
+def test_carry_by_volume_spreads_a_dense_key(spark):
+    """One viewer, all samples within a moment: the same as one by one, and spread over all tiles."""
+    seen = spark.range(20_000).select(
+        F.when(F.col("id") % 7 > 0, "v").alias("viewer"), F.col("id").alias("t_us"),
+        F.when(F.hash("id") % 50 == 0, F.col("id").cast("string")).alias("mark"))
+    got = ordered.carry_by_volume(seen, ["viewer"], "t_us", F.col("mark"), "before")
+    assert got.columns == ["viewer", "t_us", "mark", "before"]
+    last, wanted = {}, []
+    for r in seen.orderBy("t_us").collect():
+        wanted.append((*r, last.get(r.viewer)))
+        if r.mark is not None:
+            last[r.viewer] = r.mark
+    assert rows(got) == sorted(wanted, key=repr)
+    tiles = spark.conf.get("spark.sql.shuffle.partitions")
+    placed = seen.repartitionByRange(int(tiles), "viewer", "t_us").groupBy(F.spark_partition_id()).count()
+    assert max(r[1] for r in placed.collect()) < 20_000 / int(tiles) * 1.5
+
+
 def test_quality_flags_problems(spark):
     listed = spark.createDataFrame([("a@x.example", 3), ("a@x.example", 1), ("b@evil.test", 2), ("no-at", 1)], SENDERS)
     got = summary.quality(listed, F.lit(8), 7, F.lit(3)).first()
