@@ -291,6 +291,10 @@ def oracle_sql() -> dict[str, str]:
     sql["mbox_skipped"] = f"""
         WITH {_TURNS} SELECT count(*) FILTER (NOT bad AND NOT junk) AS messages_seen,
                count(*) FILTER (junk OR bad OR message_id IS NULL) AS skipped FROM turns"""
+    sql["mbox_lossy"] = """
+        WITH marked AS (SELECT *, repeat(chr(65533), [1, 1, 1, 2, 3, 0][conv_id % 6 + 1]::BIGINT) AS lost FROM conversations)
+        SELECT conv_id, turn, false AS bad, '<' || conv_id || lost || '>' AS message_id,
+               'é' || role || lost || ' <a' || turn || '@example.com>' AS from_ FROM marked"""
     sql["populate_mid_rows"] = f"""
         WITH {_RAW_IDS}, stored AS (
           SELECT CASE seq % 4 WHEN 0 THEN 'g' || seq WHEN 1 THEN 'MID:' || coalesce(raw, '')
@@ -347,7 +351,22 @@ def oracle_sql() -> dict[str, str]:
         WITH {_HISTORY} SELECT mail_id, rfc_message_id FROM repaired
         UNION ALL SELECT mail_id, rfc FROM import"""
 
+    sql["stream_repair"] = sql["senders_after_backfill"]
+    sql["stream_repair_seen"] = f"""
+        WITH {_HISTORY} SELECT mail_id, coalesce(rfc_message_id, '') AS rfc_message_id FROM repaired
+        UNION ALL SELECT mail_id, rfc FROM import"""
+    sql["run_estimates"] = f"""
+        WITH {_BASE}, fetched AS (SELECT * FROM scan UNION ALL SELECT * FROM scan WHERE seq % 7 = 0)
+        SELECT 1::BIGINT AS run_id, 'backfill' AS source, (SELECT count(*) FROM scan) AS total_estimate,
+               (SELECT count(*) FROM fetched WHERE seq % 2 = 0) AS messages_seen
+        UNION ALL SELECT 2, 'backfill', (SELECT count(*) FROM scan WHERE seq % 2 = 1), (SELECT count(*) FROM fetched)
+        UNION ALL SELECT 3, 'gmail_api', (SELECT count(*) FROM scan), (SELECT count(*) FROM scan)
+        UNION ALL SELECT 4, 'gmail_api', NULL, 0"""
+
     # summary
+    sql["summary_read"] = f"""
+        WITH {_RANKED} SELECT 'sender' AS kind, sender, mails_sent FROM ranked
+        UNION ALL SELECT 'documents', '{NOW_UNIX}', CAST(sum(mails_sent) AS BIGINT) FROM ranked"""
     sql["mixed_sources"] = f"""
         WITH {_HISTORY}, rows AS (
           SELECT 'unrepaired' AS store, mail_id, rfc_message_id FROM hist_seen
@@ -401,6 +420,9 @@ def oracle_sql() -> dict[str, str]:
         SELECT c_mktsegment AS key, count(*) FILTER (c_acctbal <= 9000) AS tail_count,
                CAST(coalesce(sum(c_custkey) FILTER (c_acctbal <= 9000), 0) AS BIGINT) AS tail_budget
         FROM customer GROUP BY 1"""
+    sql["spec_read"] = f"""
+        {sql["category_budget"]}
+        UNION ALL SELECT 'limits', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer"""
     sql["top_senders"] = f"WITH {_RANKED} SELECT * FROM ranked ORDER BY mails_sent DESC, sender LIMIT 20"
     sql["search_senders"] = f"WITH {_RANKED} SELECT * FROM ranked WHERE lower(sender) LIKE '%machinery.ex%'"
     page = """

@@ -11,7 +11,7 @@ from sparkmail.functions.mbox_headers import parse_headers
 from sparkmail.operators import counters, dedupe, rates, runs as run_ops, summary
 from sparkmail.plans import views as v
 from sparkmail.session import cut_lineage, staging_path
-from sparkmail.sources import mbox, mbox_ranges, messages
+from sparkmail.sources import documents as summaries, mbox, mbox_ranges, messages
 from sparkmail.streaming import ingest
 from sparkmail.streaming.store import StatsStore
 
@@ -234,6 +234,90 @@ def mbox_refused(spark, sf):
     return refused.unionByName(store.ledger().agg(F.count("*").alias("n")).withColumn("reason", F.lit("messages")))
 
 
+def _write_repair_documents(spark, sf, path: str, rows) -> None:
+    header = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("name"), value.alias("value")))
+    headers = F.array_compact(F.array(
+        header("From", F.col("sender")), header("Message-ID", F.concat(F.lit("<"), "rfc_message_id", F.lit(">")))))
+    v.repair_documents(spark, sf).filter(rows).select(
+        F.col("mail_id").alias("id"), F.struct(headers.alias("headers")).alias("payload")).write.mode("append").json(path)
+
+
+def _repaired_store(spark, sf) -> StatsStore:
+    """A store with the history of both sources and two repair runs; the second finds the documents of the first again."""
+    root = staging_path(spark, "repair")
+    store = StatsStore(spark, f"{root}/store")
+    store.import_baseline(v.historical_seen(spark, sf).withColumn("seq", F.lit(0)), v.historical_senders(spark, sf))
+    _write_repair_documents(spark, sf, f"{root}/pages", F.col("seq") % 2 == 0)
+    ingest.repair(store, f"{root}/pages", f"{root}/c1")
+    _write_repair_documents(spark, sf, f"{root}/pages", F.col("seq") % 2 == 1)
+    ingest.repair(store, f"{root}/pages", f"{root}/c2")
+    return store
+
+
+@query
+def stream_repair(spark, sf):
+    """Counters after repairs that stream landed metadata into a store."""
+    return _repaired_store(spark, sf).senders()
+
+
+@query
+def stream_repair_seen(spark, sf):
+    """The ledger after the same repairs."""
+    return _repaired_store(spark, sf).seen().select("mail_id", "rfc_message_id")
+
+
+@query
+def run_estimates(spark, sf):
+    """Totals that runs record as they start: what a repair has to do, and a mailbox total that is known or not."""
+    store = _repaired_store(spark, sf)
+    root = staging_path(spark, "estimate")
+    _write_documents(spark, sf, f"{root}/documents")
+    listed = messages.read_messages(spark, f"{root}/documents").count()
+    ingest.scan_messages(store, f"{root}/documents", f"{root}/c1", total_estimate=listed)
+    ingest.scan_messages(store, f"{root}/documents", f"{root}/c1")
+    return store.runs().select("run_id", "source", "total_estimate", "messages_seen")
+
+
+@query
+def summary_read(spark, sf):
+    """Summary documents, a file each, read back: their senders and the totals they name."""
+    path, ranked = staging_path(spark, "summaries"), _ranked(spark, sf)
+    shards = F.pmod(F.xxhash64("sender"), F.lit(ranked.count() // 1000 + 1))
+    ranked.groupBy(shards.alias("shard")).agg(
+        F.sum("mails_sent").alias("total_messages"), F.lit(v.NOW_UNIX).cast("long").alias("generated_at_unix"),
+        F.collect_list(F.struct("sender", "mails_sent")).alias("senders"),
+    ).select("shard", F.to_json(F.struct("total_messages", "generated_at_unix", "senders"), {"pretty": "true"}).alias("value")) \
+        .repartition("shard").write.partitionBy("shard").text(path)
+    head, senders = summaries.read_summary(spark, path)
+    totals = head.agg(F.lit("documents").alias("kind"), F.max("generated_at_unix").cast("string").alias("sender"),
+                      F.sum("total_messages").alias("mails_sent"))
+    return totals.unionByName(senders.withColumn("kind", F.lit("sender")))
+
+
+@query
+def spec_read(spark, sf):
+    """Dataset specs, read back: what their pinned senders leave over in each category."""
+    path, customers = staging_path(spark, "specs"), v.table(spark, sf, "customer")
+    shard = F.pmod(F.xxhash64("c_custkey"), F.lit(customers.count() // 1000 + 1)).alias("shard")
+    pinned = F.struct(F.concat(F.lit("c"), "c_custkey").alias("sender"), F.col("c_custkey").cast("long").alias("mails_sent"),
+                      F.col("c_mktsegment").alias("category"))
+    customers.groupBy(shard, "c_mktsegment").agg(
+        F.count("*").alias("n"), F.sum("c_custkey").alias("m"),
+        F.collect_list(F.when(F.col("c_acctbal") > 9000, pinned)).alias("pinned"),
+    ).groupBy("shard").agg(
+        F.sum("m").alias("total_messages_min"), F.sum("n").alias("distinct_senders"),
+        F.flatten(F.collect_list("pinned")).alias("top_senders"),
+        F.collect_list(F.struct(F.col("c_mktsegment").alias("key"), F.col("n").alias("sender_count"),
+                                F.col("m").alias("total_messages"))).alias("categories"),
+    ).select("shard", F.to_json(F.struct("total_messages_min", "distinct_senders", "top_senders", "categories"),
+                                {"pretty": "true"}).alias("value")).repartition("shard").write.partitionBy("shard").text(path)
+    limits, categories, heroes = summaries.read_spec(spark, path)
+    whole = categories.groupBy("key").agg(F.sum("sender_count").alias("sender_count"), F.sum("total_messages").alias("total_messages"))
+    left = summary.category_budget(whole, heroes.select("category", "mails_sent"))
+    return left.unionByName(limits.agg(F.lit("limits").alias("key"), F.sum("distinct_senders").alias("tail_count"),
+                                       F.sum("total_messages_min").alias("tail_budget")))
+
+
 # --- expressions ------------------------------------------------------------
 
 
@@ -284,6 +368,18 @@ def mbox_headers(spark, sf):
     return _headers(spark, sf).filter(~F.col("bad")).drop("bad")
 
 
+@query
+def mbox_lossy(spark, sf):
+    """Header values that are not UTF-8: each maximal broken part becomes one replacement character."""
+    broken = F.get(F.array(*[F.lit(h) for h in v.BROKEN_BYTES]), (F.col("conv_id") % len(v.BROKEN_BYTES)).cast("int"))
+    record = F.concat(
+        F.encode(F.concat(F.lit("x\nFrom: é"), F.col("role")), "UTF-8"), F.unhex(broken), F.encode(F.concat(
+            F.lit(" <a"), F.col("turn").cast("string"), F.lit("@example.com>\nMessage-ID: <"), F.col("conv_id").cast("string")),
+            "UTF-8"), F.unhex(broken), F.encode(F.concat(F.lit(">\n\n"), "text"), "UTF-8"))
+    parsed = v.table(spark, sf, "conversations").select("conv_id", "turn", parse_headers(record.cast("string")).alias("h"))
+    return parsed.select("conv_id", "turn", "h.bad", "h.message_id", "h.from_")
+
+
 @query
 def mbox_skipped(spark, sf):
     return mbox.import_counts(_framed(spark, sf))
