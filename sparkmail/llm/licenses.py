@@ -18,30 +18,96 @@ from pyspark.sql import types as T
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Wording of public licence notices, as templates.
+_BSD_OPENING = """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+[[1]] Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+[[2]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """
+[[3]] Neither the name of {{12}} nor the names of [[its]] {{6}} may be used to endorse or promote products derived from this
+software without specific prior written permission.
+"""
+_BSD_DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY {{10}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{10}} BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+_ISC_DISCLAIMER = """
+THE SOFTWARE IS PROVIDED "AS IS" AND {{10}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{10}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+
+#: Wording of public licences, whole with their conditions and disclaimers, and of sentences that name a licence. Fixed values.
 TEMPLATES = {
+    "0bsd": ["""
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+""" + _ISC_DISCLAIMER],
     "apache-2.0": [
-        "licensed under the apache license version 2 0 [[the license]]",
-        "apache license version 2 0 [[january 2004]]",
+        "[[released]] [[licensed]] under the [[terms of the]] Apache License, Version 2.0 [[(the License)]]",
+        "Apache License Version 2.0 [[January 2004]]",
     ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-        "following conditions are met",
-        "[[released]] [[licensed]] under the [[{{1}} clause]] bsd license",
-    ],
-    "cc-by-nc": ["cc by nc [[{{1}} 0]]", "creative commons attribution noncommercial {{1}} 0 [[international]] license"],
-    "cc-by-sa": ["cc by sa [[{{1}} 0]]", "creative commons attribution sharealike {{1}} 0 [[international]] license"],
-    "copyright-notice": ["copyright {{8}} all rights reserved"],
+    "apache-2.0-notice": ["""
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this {{3}} except in compliance with the
+License. You may obtain a copy of the License at {{10}} Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
+or implied. See the License for the specific language governing permissions and limitations under the License.
+"""],
+    "bsd": ["[[released]] [[licensed]] under the [[{{1}} clause]] BSD license"],
+    "bsd-2-clause": [_BSD_OPENING + _BSD_DISCLAIMER],
+    "bsd-3-clause": [_BSD_OPENING + _BSD_NAMES + _BSD_DISCLAIMER],
+    "cc-by-nc": ["CC BY-NC [[{{1}} 0]]", "Creative Commons Attribution-NonCommercial {{1}}.0 [[International]] License"],
+    "cc-by-sa": ["CC BY-SA [[{{1}} 0]]", "Creative Commons Attribution-ShareAlike {{1}}.0 [[International]] License"],
+    "copyright-notice": ["Copyright {{8}} all rights reserved"],
+    "gpl-notice": ["""
+This {{2}} is free software: you can redistribute it and/or modify it under the terms of the GNU [[Lesser]] [[Affero]]
+General Public License as published by the Free Software Foundation, either version {{2}} of the License, or (at your option)
+any later version. This {{2}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU [[Lesser]] [[Affero]] General Public License for
+more details.
+"""],
     "gpl-versioned": [
-        "[[gnu]] general public license [[as published by the free software foundation]] [[either]] version {{1}} "
-        "[[of the license]] [[or [[at your option]] any later version]]",
-        "[[gnu]] general public license v3",
+        "[[GNU]] General Public License [[as published by the Free Software Foundation]] [[either]] version {{1}} "
+        "[[of the License]] [[or [[at your option]] any later version]]",
+        "[[GNU]] General Public License v3",
     ],
+    "isc": ["""
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies.
+""" + _ISC_DISCLAIMER, """
+Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies.
+""" + _ISC_DISCLAIMER],
     "mit": [
-        "[[released]] [[licensed]] under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files [[the {{1}}]] to deal in {{2}} without restriction",
-    ],
+        "[[released]] [[licensed]] under the MIT license", """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the {{2}}), to deal in the {{2}} without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the {{2}}, and to permit persons to whom the {{2}} is furnished to do so,
+subject to the following conditions:
+The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or
+substantial portions of the {{2}}.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {{6}} BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""],
+    "zlib": ["""
+This software is provided 'as-is', without any express or implied warranty. In no event will {{6}} be held liable for any
+damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+[[1]] The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+[[2]] Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+[[3]] This notice may not be removed or altered from any source distribution.
+"""],
 }
 
 _OTHER = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
@@ -86,11 +152,13 @@ class Automaton:
                     self.free[here].append(after)
                 at = after
             else:
-                after = self._state()
-                self.words[at][token.encode()] = after
-                at = after
+                for word in words_of(token):
+                    after = self._state()
+                    self.words[at][word] = after
+                    at = after
+                    if not starts:
+                        run.append(word)
                 if not starts:
-                    run.append(token.encode())
                     continue
             run = []
             self.must.append(run)

@@ -89,5 +89,51 @@ def test_labels(spark, text, labels):
     assert row["labels"] == labels
 
 
+def whole(label):
+    """The longest template of a label as a text: optional regions as they stand, a holder for what may be replaced."""
+    text = max(licenses.TEMPLATES[label], key=len)
+    return re.sub(r"\{\{\d+\}\}", "Acme Works", re.sub(r"\[\[|\]\]", "", text))
+
+
+WHOLE = ["0bsd", "apache-2.0-notice", "bsd-2-clause", "bsd-3-clause", "gpl-notice", "isc", "mit", "zlib"]
+
+
+def labels_of(spark, texts):
+    found = licenses.summarise(licenses.scan(docs(spark, list(enumerate(texts))))).collect()
+    return [set(r["labels"].split(",")) - {""} for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def test_whole_licenses(spark):
+    texts = [f"Some words. {whole(label).upper()} More words." for label in WHOLE]
+    for label, found in zip(WHOLE, labels_of(spark, texts)):
+        assert {x for x in WHOLE if x in found} == {label}
+
+
+def test_a_changed_license_is_not_labelled(spark):
+    """Any mandatory word left out, or a word put in anywhere between them, and the text is no longer that licence."""
+    rng = random.Random(3)
+    texts, of = [], []
+    for label in WHOLE:
+        words = whole(label).split()
+        gap = next(i for i in range(len(words) // 2, len(words)) if "Acme" not in words[i - 7:i + 8]
+                   and not {"1", "2", "3"} & set(words[i - 1:i + 2]))
+        for changed in (words[:gap] + words[gap + 1:], words[:gap] + ["never"] + words[gap:], words[:len(words) // 3],
+                        words[:gap] + ["except", "commercially"] + words[gap:], words[:-1], words[rng.randint(2, 5):]):
+            texts.append(" ".join(changed))
+            of.append(label)
+    assert not [(label, found) for label, found in zip(of, labels_of(spark, texts)) if label in found]
+
+
+def test_openings_with_other_conditions(spark):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, except that commercial use is "
+        "forbidden.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: you pay us.",
+    ]
+    assert labels_of(spark, texts) == [set(), set()]
+
+
 def test_empty_table(spark):
     assert licenses.summarise(licenses.scan(docs(spark, []))).collect() == []
