@@ -29,7 +29,7 @@ from sparkmail.functions.mbox_headers import parse_headers
 
 SEPARATOR = b"From "
 _NEXT = b"\n" + SEPARATOR
-_BLANKS = (b"\n\n", b"\n\r\n")
+_HEAD_END = re.compile(rb"\n(?:\r?\n|From )")  # a blank line or the next separator, whichever comes first
 CHUNK = 4 << 20  # bytes read at a time
 TILE = 64 << 20  # bytes of a file that one task scans
 HEAD_BYTES = 64 << 20  # a longer header section makes its message malformed
@@ -125,6 +125,11 @@ class _Window:
         place = self.data.find(what, max(0, start - self.base))
         return None if place < 0 else self.base + place
 
+    def head_end(self, start: int) -> int | None:
+        """One pass that stops at the first end: what a file never holds is not looked for in the rest of the window."""
+        found = _HEAD_END.search(self.data, max(0, start - self.base))
+        return found and self.base + found.start()
+
 
 def messages(stream: BinaryIO, start: int, stop: int) -> Iterator[tuple[int, bytes, bool]]:
     """(offset, header section, whether it was cut) of the messages whose separator begins in start..stop.
@@ -153,12 +158,12 @@ def messages(stream: BinaryIO, start: int, stop: int) -> Iterator[tuple[int, byt
                 return
         seen = head
         while True:
-            ends = [p for p in (window.find(what, seen) for what in (*_BLANKS, _NEXT)) if p is not None]
-            if ends or window.over or window.end - head > HEAD_BYTES:
+            end = window.head_end(seen)
+            if end is not None or window.over or window.end - head > HEAD_BYTES:
                 break
             seen = max(head, window.end - len(_NEXT) + 1)
             window.more(offset)
-        at = min(ends) if ends else window.end
+        at = window.end if end is None else end
         too_long = at - head > HEAD_BYTES
         yield offset, window.data[head - window.base:min(at, head + HEAD_BYTES) - window.base], too_long
 

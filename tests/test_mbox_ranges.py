@@ -3,6 +3,7 @@
 import gzip
 import io
 import random
+import time
 
 import pytest
 
@@ -74,6 +75,16 @@ def test_a_range_reads_little_beyond_its_end():
     assert stream.asked <= 2 * mbox_ranges.CHUNK
 
 
+@pytest.mark.parametrize("blank", [b"\n", b"\r\n", b""])
+def test_many_small_messages_cost_no_more_each_than_few(blank):
+    """A look for the end of a header section stops there, also if one kind of blank line is nowhere in the file."""
+    data = b"".join(b"From a\nX: header of message %06d\n" % i + blank for i in range(60_000))
+    start = time.process_time()
+    found = list(mbox_ranges.messages(io.BytesIO(data), 0, len(data)))
+    assert time.process_time() - start < 5
+    assert len(found) == 60_000 and all(b"%06d" % i in head for i, (_, head, _) in enumerate(found))
+
+
 def test_files_are_refused_before_they_are_read(tmp_path):
     (tmp_path / "a.mbox").write_bytes(b"From a\n\nbody")
     (tmp_path / "b.mbox.gz").write_bytes(gzip.compress(b"From a\n\nbody"))
