@@ -27,6 +27,7 @@ from tokenizers import Tokenizer
 
 BLOCK_CHARS = 2_000_000  # characters of text in a block; a longer text is a block of its own
 BUCKET_BYTES = 16_000_000  # of text for each bucket of words, so a bucket's size does not grow with the input
+LEVEL = 9  # of compression; shuffles are most of the disk that a run needs
 ENCODED_AT_ONCE = 4096  # distinct words handed to the library in one call
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,10 +67,14 @@ def _pieces(path: str) -> list[bytes]:
     return out
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(LEVEL).compress(raw)
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers as byte planes, compressed: most high bytes are zero."""
     planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(3).compress(planes.tobytes())
+    return _squeeze(planes.tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -77,13 +82,27 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids one after the other, so that repeated runs of them are found; their width in bytes comes first."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([width]) + _squeeze(ids.astype(f"<u{width}").tobytes())
+
+
+def _unpack_ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.uint32)
+
+
 def _pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
-    return _pack(np.array([len(w) for w in words], np.uint32)), zstandard.ZstdCompressor(3).compress(b"".join(words))
+    """Lengths and bytes of words. Most begin with a blank: it is left out, and the lowest bit of the length tells."""
+    blank = [w[:1] == b" " for w in words]
+    bare = [w[1:] if b else w for w, b in zip(words, blank)]
+    return _pack(np.array([2 * len(w) + b for w, b in zip(bare, blank)], np.uint32)), _squeeze(b"".join(bare))
 
 
 def _unpack_words(lengths: bytes, joined: bytes) -> list[bytes]:
-    raw, ends = zstandard.ZstdDecompressor().decompress(joined), np.cumsum(_unpack(lengths)).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+    raw, sizes = zstandard.ZstdDecompressor().decompress(joined), _unpack(lengths)
+    ends, blank = np.cumsum(sizes >> 1, dtype=np.int64).tolist(), (sizes & 1).tolist()
+    return [b" " + raw[a:b] if k else raw[a:b] for a, b, k in zip([0, *ends], ends, blank)]
 
 
 class _Numbering(dict):
@@ -136,7 +155,7 @@ def _blocks(path: str, buckets: int, id_type: pa.DataType) -> Callable[[Iterator
         for b in np.unique(bucket).tolist():
             own = words[bucket == b].tolist()
             listed.append((b, *_pack_words(own)))
-        total = zlib.crc32(b"".join(joined for _, _, joined in listed))  # a rerun with other rows gets another name
+        total = zlib.crc32(b"".join(lengths + joined for _, lengths, joined in listed))  # a rerun with other rows gets another name
         kind = pa.list_(pa.struct([("bucket", pa.int64()), ("lengths", pa.binary()), ("joined", pa.binary())]))
         return pa.RecordBatch.from_arrays([
             pa.array([f"{name}-{total:08x}"]), pa.array([ids], pa.list_(id_type)), pa.array([_pack(np.array(counts))], pa.binary()),
@@ -187,7 +206,7 @@ def _encode(path: str) -> Callable[[pa.Table], pa.Table]:
         for words in lists:
             found = [ids_of[w] for w in words]
             counts.append(_pack(np.array([len(x) for x in found], np.uint32)))
-            flat.append(_pack(np.array([i for x in found for i in x], np.uint32)))
+            flat.append(_pack_ids(np.array([i for x in found for i in x], np.uint32)))
         return pa.table({"block": listed.column("block"), "bucket": listed.column("bucket"),
                          "counts": pa.array(counts, pa.binary()), "flat": pa.array(flat, pa.binary())})
 
@@ -203,7 +222,7 @@ def _assemble(path: str, id_col: str, id_type: pa.DataType, with_ids: bool) -> C
             chunks, at = [], 0
             for row in encoded.select(["bucket", "counts", "flat"]).to_pylist():
                 own = np.flatnonzero(buckets == row["bucket"])
-                sizes, flat = _unpack(row["counts"]).astype(np.int64), _unpack(row["flat"])
+                sizes, flat = _unpack(row["counts"]).astype(np.int64), _unpack_ids(row["flat"])
                 if len(own) != len(sizes):
                     raise RuntimeError(f"block {block['block']} and its word list differ; the input changed between reads")
                 size[own], start[own] = sizes, at + np.cumsum(sizes) - sizes

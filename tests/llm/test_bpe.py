@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -61,3 +62,18 @@ def test_words_split_as_the_tokenizer_splits():
     for _ in range(2000):
         text = "".join(rng.choices("ab1 '\n\t  st.é½\r", k=12))
         assert split(text) == [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
+
+
+def test_what_is_shuffled_comes_back_and_stays_small():
+    rng = random.Random(3)
+    words = sorted({" " + "".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 8))) for _ in range(3000)}, key=lambda w: rng.random())
+    words = [w.encode() for w in [*words, "", " ", "  ", "\n", "中", "a b", "\x00"]]
+    lengths, joined = bpe._pack_words(words)
+    assert bpe._unpack_words(lengths, joined) == words and bpe._unpack_words(*bpe._pack_words([])) == []
+    whole = bpe.zstandard.ZstdCompressor(3).compress(b"".join(words)), bpe._pack(np.array([len(w) for w in words]))
+    assert len(lengths) + len(joined) < 0.95 * sum(map(len, whole))
+    tokenizer = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
+    ids = np.array([i for w in words for i in tokenizer.encode(w.decode(), add_special_tokens=False).ids], np.uint32)
+    assert bpe._unpack_ids(bpe._pack_ids(ids)).tolist() == ids.tolist() and len(bpe._pack_ids(ids)) < 0.95 * len(bpe._pack(ids))
+    for some in ([], [65535], [65536, 7]):
+        assert bpe._unpack_ids(bpe._pack_ids(np.array(some, np.uint32))).tolist() == some
