@@ -173,6 +173,7 @@ def stream_ingest(spark, sf):
     ingest.scan_messages(store, f"{root}/documents", f"{root}/c1")
     ingest.import_mbox(store, f"{root}/archive", f"{root}/c2")
     ingest.import_mbox(store, f"{root}/archive", f"{root}/c3")
+    ingest.scan_messages(store, f"{root}/documents", f"{root}/c4")
     return store.senders()
 
 

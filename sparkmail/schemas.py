@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 # One landed message document: a full or a metadata-only fetch.
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
+    T.StructField("labelIds", T.ArrayType(T.StringType())),
     T.StructField("payload", T.StructType([
         T.StructField("headers", T.ArrayType(T.StructType([
             T.StructField("name", T.StringType()),

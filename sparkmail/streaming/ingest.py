@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import logging
+import random
+import re
 import threading
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkmail.functions.errors import error_kind
+from sparkmail.functions.errors import MAX_BACKOFF_DOUBLINGS, MAX_RETRIES, error_kind
 from sparkmail.operators.runs import latest_runs
 from sparkmail.operators.summary import unrepaired
 from sparkmail.sources import mbox_ranges
@@ -24,6 +27,13 @@ logger = logging.getLogger(__name__)
 # Fixed value: seconds between two signs of life of a run.
 HEARTBEAT_S = 5.0
 BATCH_BYTES = 64 << 30  # of archives that an import commits at once
+# Fixed value: labels of messages that a listing leaves out.
+UNLISTED = ["SPAM", "TRASH"]
+# Failures that may pass, by the names in their text: a lost connection, a time that ran out, a store that asks to wait.
+PASSING = re.compile(
+    r"\b(?:Connection\w*Error|BrokenPipeError|TimeoutError|SocketException|SocketTimeoutException|Connect\w*Exception"
+    r"|NoRouteToHostException|UnknownHostException|NoHttpResponseException|TimeoutException|SlowDown|TooManyRequests"
+    r"|ServiceUnavailable|InternalError|Status Code: (?:429|5\d\d))\b")
 
 
 @contextmanager
@@ -80,26 +90,45 @@ def _closing(store: StatsStore, run_id: int, origin: str, state: str = "done") -
     store.finish_run(run_id, state)
 
 
+def _wait(retries: int) -> None:
+    """Before a try: 1, 2, 4 ... 32 seconds and up to one more."""
+    time.sleep(2 ** min(retries - 1, MAX_BACKOFF_DOUBLINGS) + random.random())
+
+
 def _drain(
     store: StatsStore, run_id: int, rows: Callable[[], DataFrame], apply: Callable[[DataFrame, int, int], None],
-    checkpoint: str, origin: str,
+    checkpoint: str, origin: str, most: int = 0,
 ) -> int:
     """Run one ingest until the folder holds nothing new; returns its run_id.
 
     The checkpoint remembers finished files, so the next run resumes there;
-    what it replays is dropped by the ledger.
+    what it replays is dropped by the ledger. A failure that may pass is tried
+    again from the batch that failed, up to `most` times in a row; a batch that
+    was committed in between starts the count over.
     """
-    query: StreamingQuery | None = None
     with _closing(store, run_id, origin), beating(store, run_id):
-        try:
-            query = (
-                rows().writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
-                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-            )
-            query.awaitTermination()
-        finally:
-            if query is not None:
-                query.stop()
+        retries = 0
+        while True:
+            query: StreamingQuery | None = None
+            before = store.totals(run_id).get("batch_id")
+            try:
+                query = (
+                    rows().writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
+                    .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+                )
+                query.awaitTermination()
+                if retries:
+                    store._publish()  # of a batch that failed behind its commit
+                break
+            except Exception as e:  # noqa: BLE001
+                retries = 1 if store.totals(run_id).get("batch_id") != before else retries + 1
+                if retries > most or not PASSING.search(str(e)):
+                    raise
+                logger.warning("run %s: try %s of %s after: %s", run_id, retries, most, str(e).splitlines()[0])
+            finally:
+                if query is not None:
+                    query.stop()
+            _wait(retries)
     return run_id
 
 
@@ -143,15 +172,26 @@ def scan_messages(
     """Ingest landed documents; the mailbox total, where known, feeds the ETA.
 
     Each batch commits the name of its last page file as the run's resume token. `after_page`, such a token, leaves out the
-    pages up to it where the checkpoint is gone; for pages that land in the order of their names.
+    pages up to it where the checkpoint is gone; for pages that land in the order of their names. A token that names no page
+    of the folder is no good any more: the scan begins with the first page. Messages with a label of UNLISTED are left out,
+    as a listing leaves them out. Failures that may pass are tried again MAX_RETRIES times.
     """
     run_id = store.start_run("gmail_api", total_estimate=total_estimate, resume_token=after_page)
 
     def rows() -> DataFrame:
         landed = stream_messages(store.spark, folder, max_files)
-        return landed if after_page is None else landed.filter(F.substring_index("landed.file", "/", -1) > after_page)
+        listed = landed.filter(~F.coalesce(F.arrays_overlap("labelIds", F.array(*map(F.lit, UNLISTED))), F.lit(False)))
+        if after_page is None or not _has_page(store, folder, after_page):
+            return listed
+        return listed.filter(F.substring_index("landed.file", "/", -1) > after_page)
+
+    return _drain(store, run_id, rows, store.apply_messages, checkpoint, "other", MAX_RETRIES)
+
 
-    return _drain(store, run_id, rows, store.apply_messages, checkpoint, "other")
+def _has_page(store: StatsStore, folder: str, name: str) -> bool:
+    """Whether a page file of the folder has this name; only names are read."""
+    files = store.spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("file"))
+    return not files.filter(F.substring_index("file", "/", -1) == name).isEmpty()
 
 
 def repair(store: StatsStore, folder: str, checkpoint: str, max_files: int | None = None) -> int:

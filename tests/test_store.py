@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from sparkmail.operators import runs as run_ops, summary
+from sparkmail.plans import queries
 from sparkmail.sources import mbox_ranges
 from sparkmail.streaming import ingest, store as store_module
 from sparkmail.streaming.store import StatsStore, epoch_of
@@ -325,6 +326,86 @@ def test_page_token_is_committed_with_its_page(store, tmp_path, monkeypatch):
     assert (state["messages_seen"], state["resume_token"]) == (2, "p3.json")
 
 
+def test_token_without_its_page_starts_over(store, tmp_path):
+    for i in range(3):
+        land(tmp_path / "scan" / f"p {i}.json", document(f"g{i}", "a@x.com", f"<m{i}@x>"))
+    ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c1"), after_page="p9.json")
+    assert senders(store) == [("a@x.com", 3)]
+    token = run_ops.scan_resume_token(store.runs(), 1)
+    run = ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c2"), after_page=token)
+    assert store.runs().filter(F.col("run_id") == run).first()["messages_seen"] == 0
+
+
+def test_scan_leaves_out_spam_and_trash(store, tmp_path):
+    labels = [["INBOX"], ["SPAM"], ["INBOX", "TRASH"], [], None, [None, "UNREAD"], [None, "SPAM"], "odd"]
+    land(tmp_path / "scan" / "p.json", *(document(f"g{i}", f"s{i}@x.com") | {"labelIds": x} for i, x in enumerate(labels)),
+         document("g8", "s8@x.com"))
+    ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c"))
+    assert senders(store) == [(f"s{i}@x.com", 1) for i in (0, 3, 4, 5, 7, 8)]
+    assert store.runs().first()["messages_seen"] == 6
+
+
+def failing(store, monkeypatch, errors, after=False):
+    """Commits fail with these errors, None for none, one after another; `after`: once the marker is written."""
+    commit, left, waits = store._commit, list(errors), []
+
+    def sometimes(*a, **k):
+        error = left.pop(0) if left else None
+        if error is None or after:
+            commit(*a, **k)
+        if error is not None:
+            raise error
+
+    monkeypatch.setattr(store, "_commit", sometimes)
+    monkeypatch.setattr(ingest, "_wait", waits.append)
+    return waits
+
+
+def pages(folder, n):
+    for i in range(n):
+        land(folder / f"p{i}.json", document(f"g{i}", "a@x.com", f"<m{i}@x>"))
+
+
+def test_scan_tries_again_after_failures_that_pass(store, tmp_path, monkeypatch):
+    pages(tmp_path / "scan", 3)
+    lost = ConnectionResetError("connection reset by peer")
+    waits = failing(store, monkeypatch, [lost, TimeoutError("too late"), lost, None, lost, lost])
+    ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c"), max_files=1)
+    assert waits == [1, 2, 3, 1, 2]  # a page that was done starts the count over
+    state = store.runs().first()
+    assert senders(store) == [("a@x.com", 3)] and (state["state"], state["messages_seen"]) == ("done", 3)
+
+
+def test_scan_gives_up(store, tmp_path, monkeypatch):
+    pages(tmp_path / "scan", 1)
+    waits = failing(store, monkeypatch, [ConnectionResetError("reset")] * 4)
+    with pytest.raises(Exception, match="reset"):
+        ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c"))
+    assert waits == [1, 2, 3] and store.runs().first()["state"] == "failed"
+    waits = failing(store, monkeypatch, [RuntimeError("no such column")])
+    with pytest.raises(Exception, match="no such column"):
+        ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c2"))
+    assert waits == []
+
+
+def test_failure_behind_a_commit_counts_once(store, tmp_path, monkeypatch):
+    pages(tmp_path / "scan", 2)
+    failing(store, monkeypatch, [ConnectionResetError("reset")], after=True)
+    ingest.scan_messages(store, str(tmp_path / "scan"), str(tmp_path / "c"))
+    ingest.watch_senders(store, str(tmp_path / "w")).awaitTermination()
+    assert senders(store) == rows(ingest.live_senders(store)) == [("a@x.com", 2)]
+
+
+def test_stream_ingest_replays_both(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id AS event_id", "id % 5 AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    stores = []
+    monkeypatch.setattr(queries, "StatsStore", lambda *a: stores.append(StatsStore(*a)) or stores[0])
+    counted = rows(queries.stream_ingest(spark, str(tmp_path)))
+    runs = stores[0].runs().orderBy("run_id").collect()
+    assert [(r["source"], r["messages_seen"]) for r in runs] == [("gmail_api", 30), ("mbox", 24), ("mbox", 24), ("gmail_api", 30)]
+    assert [r["messages_new"] for r in runs[2:]] == [0, 0] and sum(n for _, n in counted) == sum(r["messages_new"] for r in runs[:2])
+
+
 def test_run_log_stays_small(store):
     for i in range(9):
         run = store.start_run("mbox", mbox_path=f"/{i}")
