@@ -107,10 +107,9 @@ def _drain(
     was committed in between starts the count over.
     """
     with _closing(store, run_id, origin), beating(store, run_id):
-        retries = 0
+        retries, committed = 0, None
         while True:
             query: StreamingQuery | None = None
-            before = store.totals(run_id).get("batch_id")
             try:
                 query = (
                     rows().writeStream.foreachBatch(lambda df, batch_id: apply(df, run_id, batch_id))
@@ -121,8 +120,11 @@ def _drain(
                     store._publish()  # of a batch that failed behind its commit
                 break
             except Exception as e:  # noqa: BLE001
-                retries = 1 if store.totals(run_id).get("batch_id") != before else retries + 1
-                if retries > most or not PASSING.search(str(e)):
+                if not most or not PASSING.search(str(e)):
+                    raise
+                before, committed = committed, store.totals(run_id).get("batch_id")
+                retries = retries + 1 if committed == before else 1
+                if retries > most:
                     raise
                 logger.warning("run %s: try %s of %s after: %s", run_id, retries, most, str(e).splitlines()[0])
             finally:
